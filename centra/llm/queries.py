@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op8_byte_bpe
 from .language_id import op1_language_id
+from .simhash import op4_simhash
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op8_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op4_simhash, op8_byte_bpe)}
 ORACLE: dict[str, str] = {}
