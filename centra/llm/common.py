@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -34,3 +35,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """checkpoint() into the shared folder, for small tables inside iterations; Spark's cleaner removes the files."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def row_sign() -> Column:
+    """A hash of doc_id and text, by which rows find their decisions again."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+
+
+def same_id(a: str, b: str) -> Column:
+    """Both null or equal, written so that a join does not deal rows out by it."""
+    return F.coalesce(F.col(a) == F.col(b), F.col(a).isNull() & F.col(b).isNull())

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from .bpe import op8_byte_bpe
 from .language_id import op1_language_id
+from .mixing import op10_mixing
 from .simhash import op4_simhash
+from .substrings import op3_suffix_array
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op4_simhash, op8_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_suffix_array, op4_simhash, op8_byte_bpe, op10_mixing)}
 ORACLE: dict[str, str] = {}

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, row_sign, same_id
 from .components import components
 
 SHINGLE = 4
@@ -51,14 +51,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, sign) of every row of docs(doc_id, text); fp holds the 64 bits, sign is a hash of the text."""
+    """(doc_id, fp, sign) of every row of docs(doc_id, text); fp holds the 64 bits, sign is a hash of doc_id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.fromiter((fingerprint(x.as_py()) for x in batch.column(1)), np.uint64, batch.num_rows).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), batch.column(2)], names=["doc_id", "fp", "sign"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("sign")).mapInArrow(run, "doc_id long, fp long, sign long")
+    return docs.select("doc_id", "text", row_sign().alias("sign")).mapInArrow(run, "doc_id long, fp long, sign long")
 
 
 def _syndromes(low: np.ndarray) -> np.ndarray:
@@ -206,6 +206,6 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = near_duplicates(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sign")).alias("first")
     kept = durable(found.groupBy("component_id").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.sign").alias("__of")).distinct(), "simhash-kept")
-    signed = docs.withColumn("__sign", F.xxhash64("text"))
-    stay = signed.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sign") == F.col("__of")), "left_semi")
-    return stay.dropDuplicates(["doc_id", "__sign"]).drop("__sign")
+    signed = docs.withColumn("__sign", row_sign())
+    stay = signed.join(kept, (F.col("__sign") == F.col("__of")) & same_id("doc_id", "__id"), "left_semi")
+    return stay.dropDuplicates(["__sign", "doc_id"]).drop("__sign")
