@@ -1,8 +1,9 @@
 """Byte-level BPE: every distinct word is encoded once, ids are joined back and reassembled by position.
 
 1. Documents are cut into pre-tokens and dealt into blocks. A block keeps each document as a sequence of numbers of its
-   own word list (a pre-token's position is its place in the sequence); both are written once.
-2. The blocks' word lists are shuffled by word over the whole corpus, and each distinct word is encoded once.
+   own word list (a pre-token's position is its place in the sequence); both are written once, packed.
+2. The blocks' word lists are shuffled by word over the whole corpus, and each distinct word is encoded once. A word
+   travels once for each block that has it, however often it occurs there.
 3. Ids go back to the blocks that asked for them, and each block puts its documents together.
 
 Decoding looks up every id in the table of token bytes, which is as small as the vocabulary.
@@ -25,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +39,9 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 BLOCK_CHARS = 8 << 20
 BLOCK_WORDS = 300_000
-#: What one row of decoded word ids may cost at most: distinct words of a block.
-BLOCK_SCHEMA = "block long, doc_id long, seq binary, words array<string>"
+#: Words that one group of the word shuffle gets at most on average, counted once for each block.
+PART_WORDS = 300_000
+LEVEL = 3
 
 # Letters and digits among the first 256 code points, as in PATTERN's \p{L} and \p{N}; white space as in \s.
 LOW_LETTER = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
@@ -95,80 +98,133 @@ def decode_ids(ids: np.ndarray, path: str = RANKS) -> bytes:
     return flat[np.repeat(first[ids] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
 
 
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Unsigned numbers below 2^32 byte plane by byte plane, compressed."""
+    planes = b"".join(np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for a in arrays)
+    return zstandard.ZstdCompressor(level=LEVEL).compress(planes)
+
+
+def _unpack(data: bytes, n: int = 1) -> list[np.ndarray]:
+    """n arrays of one length."""
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(n, 4, -1)
+    return [np.ascontiguousarray(p.T).view("<u4").ravel() for p in planes]
+
+
+def _pack_words(words: list[bytes]) -> bytes:
+    sizes = np.array([len(words), *map(len, words)], "<u4").tobytes()
+    return zstandard.ZstdCompressor(level=LEVEL).compress(sizes + b"".join(words))
+
+
+def _unpack_words(data: bytes) -> list[bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    ends = np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64) + 4 + 4 * n
+    return [raw[a:b] for a, b in zip([4 + 4 * n, *ends[:-1].tolist()], ends.tolist())]
+
+
 def blocks(docs: DataFrame, pattern: str = PATTERN) -> DataFrame:
-    """Rows (block, doc_id, seq) for documents and (block, words) for their word lists; seq is compressed uint32."""
+    """A row for each block: its documents' ids, their lengths in words, all their words' numbers, and the word list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
         ids: defaultdict[str, int] = defaultdict(count().__next__)
-        held, chars, pack = [], 0, zstandard.ZstdCompressor(level=1).compress
+        held: list = []
+        seqs: list[np.ndarray] = []
+        chars = 0
 
         def flush() -> pa.RecordBatch:
-            n = len(held) + 1
+            seq = np.concatenate([np.zeros(0, np.uint32), *seqs])
+            words = _pack_words([w.encode("utf-8") for w in ids])
             return pa.RecordBatch.from_arrays([
-                pa.array([number] * n, pa.int64()), pa.array([d for d, _ in held] + [None], pa.int64()),
-                pa.array([s for _, s in held] + [None], pa.binary()), pa.array([None] * (n - 1) + [list(ids)], pa.list_(pa.string())),
-            ], names=["block", "doc_id", "seq", "words"])
+                pa.array([number]), pa.array([held], pa.list_(pa.int64())), pa.array([[len(x) for x in seqs]], pa.list_(pa.int32())),
+                pa.array([_pack(seq)], pa.binary()), pa.array([words], pa.binary()), pa.array([len(ids)], pa.int64()),
+            ], names=["block", "doc_ids", "sizes", "seq", "words", "n_words"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = pretokens(text or "", pattern)
-                seq = np.fromiter(map(ids.__getitem__, words), np.uint32, len(words))
-                held.append((doc_id, pack(_planes(seq))))
+                seqs.append(np.fromiter(map(ids.__getitem__, words), np.uint32, len(words)))
+                held.append(doc_id)
                 chars += len(text or "")
                 if chars >= BLOCK_CHARS or len(ids) >= BLOCK_WORDS:
                     yield flush()
                     ids = defaultdict(count().__next__)
-                    held, chars, number = [], 0, number + 1
+                    held, seqs, chars, number = [], [], 0, number + 1
         if held:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, BLOCK_SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(run, "block long, doc_ids array<long>, sizes array<int>, seq binary, words binary, n_words long")
 
 
-def _planes(seq: np.ndarray) -> bytes:
-    """A sequence byte plane by byte plane, which compresses better."""
-    return np.ascontiguousarray(seq.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+def asks(table: DataFrame, parts: int) -> DataFrame:
+    """Each block's words dealt by their hash: (part, block, at, words); at are the words' numbers in the block."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = _unpack_words(packed.as_py())
+                part = np.fromiter(map(xxhash.xxh32_intdigest, words), np.uint32, len(words)) % parts
+                order = np.argsort(part, kind="stable")
+                cuts = np.searchsorted(part[order], np.arange(parts + 1))
+                some = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
+                own = [sorted(order[cuts[p] : cuts[p + 1]].tolist(), key=words.__getitem__) for p in some]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(some, pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array([_pack(np.array(x)) for x in own], pa.binary()),
+                    pa.array([_pack_words([words[i] for i in x]) for x in own], pa.binary()),
+                ], names=["part", "of", "at", "words"])
 
-def _unplaned(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return table.select("block", "words").mapInArrow(run, "part int, of long, at binary, words binary")
 
 
-def encode_words(words: DataFrame, path: str = RANKS) -> DataFrame:
-    """Distinct words (word) with their ids."""
+def answers(asked: DataFrame, parts: int, path: str = RANKS) -> DataFrame:
+    """(of, at, sizes, ids) for each row of asked; each distinct word of a part is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _word_encoder(path)
+        encode, known = _word_encoder(path), {}
+
+        def ids_of(word: bytes) -> np.ndarray:
+            if (found := known.get(word)) is None:
+                found = known[word] = np.array(encode(word.decode()), "<u4").tobytes()
+            return found
+
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(encode, batch.column(0).to_pylist()), pa.list_(pa.int32()))], names=["word", "ids"])
+            of, at, words = (batch.column(i) for i in (1, 2, 3))
+            for i in range(batch.num_rows):
+                got = [ids_of(w) for w in _unpack_words(words[i].as_py())]
+                sizes = _pack(np.array([len(x) >> 2 for x in got]))
+                ids = _pack(np.frombuffer(b"".join(got), "<u4"))
+                yield pa.RecordBatch.from_arrays([of.slice(i, 1), at.slice(i, 1), pa.array([sizes], pa.binary()), pa.array([ids], pa.binary())], names=["of", "at", "sizes", "ids"])
 
-    return words.mapInArrow(run, "word string, ids array<int>")
+    return asked.repartition(parts, "part").mapInArrow(run, "of long, at binary, sizes binary, ids binary")
 
 
 def _assembled(docs: DataFrame, emit, fields: list[tuple[str, str, pa.DataType]], pattern: str, path: str) -> DataFrame:
-    """encode: for each document a row (doc_id, *fields) from emit(ids of each of the block's words, document's sequence)."""
+    """For each document a row (doc_id, *fields): emit(ids of all the block's words, their ends) maps its words to fields."""
     table = durable(blocks(docs, pattern), "bpe-blocks")
-    asked = table.where("words is not null").select("block", F.posexplode("words").alias("at", "word"))
-    coded = encode_words(asked.select("word").distinct(), path)
-    back = asked.join(coded, "word").select(F.col("block").alias("of"), "at", "ids")
-    seqs = table.where("seq is not null").select("block", "doc_id", "seq")
+    parts = -(-(table.agg(F.sum("n_words")).first()[0] or 1) // PART_WORDS)
+    back = answers(asks(table, parts), parts, path)
     names = ["doc_id", *(n for n, _, _ in fields)]
+    kinds = [pa.int64(), *(k for _, _, k in fields)]
 
     def run(key, own: pa.Table, words: pa.Table) -> pa.Table:
-        at, ids = words.column("at").to_numpy(), words.column("ids").combine_chunks()
-        flat, ends = ids.flatten().to_numpy(), ids.offsets.to_numpy()
-        order = np.argsort(at)
-        lookup = emit(flat, ends[:-1][order], ends[1:][order])
-        unpack = zstandard.ZstdDecompressor().decompress
-        rows = [(d, *lookup(_unplaned(unpack(s.as_py())))) for d, s in zip(own.column("doc_id").to_pylist(), own.column("seq"))]
-        kinds = [pa.int64(), *(k for _, _, k in fields)]
+        got = [(*_unpack(a.as_py()), *_unpack(s.as_py()), *_unpack(i.as_py())) for a, s, i in zip(words.column("at"), words.column("sizes"), words.column("ids"))]
+        none = [np.zeros(0, np.uint32)]
+        at, size, flat = (np.concatenate(none + [g[k] for g in got]).astype(np.int64) for k in range(3))
+        first, order = np.cumsum(size) - size, np.argsort(at)
+        lookup = emit(flat, first[order], (first + size)[order])
+        rows = []
+        for ids, sizes, packed in zip(own.column("doc_ids").to_pylist(), own.column("sizes").to_pylist(), own.column("seq")):
+            seq, cut = _unpack(packed.as_py())[0], 0
+            for doc_id, n in zip(ids, sizes):
+                rows.append((doc_id, *lookup(seq[cut : cut + n])))
+                cut += n
         return pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
 
     schema = "doc_id long, " + ", ".join(f"{n} {s}" for n, s, _ in fields)
-    return seqs.groupBy("block").cogroup(back.groupBy("of")).applyInArrow(run, schema)
+    own = table.select("block", "doc_ids", "sizes", "seq")
+    return own.groupBy("block").cogroup(back.groupBy("of")).applyInArrow(run, schema)
 
 
 def _gather(flat: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
