@@ -37,8 +37,8 @@ from .common import durable
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
-BLOCK_CHARS = 8 << 20
-BLOCK_WORDS = 300_000
+BLOCK_CHARS = 32 << 20
+BLOCK_WORDS = 600_000
 #: Words that one group of the word shuffle gets at most on average, counted once for each block.
 PART_WORDS = 300_000
 LEVEL = 3
@@ -135,8 +135,11 @@ def blocks(docs: DataFrame, pattern: str = PATTERN) -> DataFrame:
         chars = 0
 
         def flush() -> pa.RecordBatch:
-            seq = np.concatenate([np.zeros(0, np.uint32), *seqs])
-            words = _pack_words([w.encode("utf-8") for w in ids])
+            seq, words = np.concatenate([np.zeros(0, np.uint32), *seqs]), list(ids)
+            order = np.argsort(-np.bincount(seq, minlength=len(words)), kind="stable")  # frequent words get small numbers
+            rank = np.empty(len(words), np.uint32)
+            rank[order] = np.arange(len(words))
+            seq, words = rank[seq], _pack_words([words[i].encode("utf-8") for i in order.tolist()])
             return pa.RecordBatch.from_arrays([
                 pa.array([number]), pa.array([held], pa.list_(pa.int64())), pa.array([[len(x) for x in seqs]], pa.list_(pa.int32())),
                 pa.array([_pack(seq)], pa.binary()), pa.array([words], pa.binary()), pa.array([len(ids)], pa.int64()),
