@@ -41,7 +41,7 @@ BLOCK_CHARS = 32 << 20
 BLOCK_WORDS = 600_000
 #: Words that one group of the word shuffle gets at most on average, counted once for each block.
 PART_WORDS = 300_000
-LEVEL = 3
+LEVEL = 6
 
 # Letters and digits among the first 256 code points, as in PATTERN's \p{L} and \p{N}; white space as in \s.
 LOW_LETTER = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
@@ -136,10 +136,12 @@ def blocks(docs: DataFrame, pattern: str = PATTERN) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             seq, words = np.concatenate([np.zeros(0, np.uint32), *seqs]), list(ids)
-            order = np.argsort(-np.bincount(seq, minlength=len(words)), kind="stable")  # frequent words get small numbers
+            # Frequent words get small numbers, and the many that occur once follow in order, which packs best.
+            often = np.bincount(seq, minlength=len(words)).tolist()
+            order = sorted(range(len(words)), key=lambda i: (-often[i], words[i]))
             rank = np.empty(len(words), np.uint32)
             rank[order] = np.arange(len(words))
-            seq, words = rank[seq], _pack_words([words[i].encode("utf-8") for i in order.tolist()])
+            seq, words = rank[seq], _pack_words([words[i].encode("utf-8") for i in order])
             return pa.RecordBatch.from_arrays([
                 pa.array([number]), pa.array([held], pa.list_(pa.int64())), pa.array([[len(x) for x in seqs]], pa.list_(pa.int32())),
                 pa.array([_pack(seq)], pa.binary()), pa.array([words], pa.binary()), pa.array([len(ids)], pa.int64()),
@@ -162,7 +164,8 @@ def blocks(docs: DataFrame, pattern: str = PATTERN) -> DataFrame:
 
 
 def asks(table: DataFrame, parts: int) -> DataFrame:
-    """Each block's words dealt by their hash: (part, block, at, words); at are the words' numbers in the block."""
+    """Each block's words dealt by their hash: (part, of, at, words); at are the steps between the
+    words' numbers in the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,9 +175,9 @@ def asks(table: DataFrame, parts: int) -> DataFrame:
                 order = np.argsort(part, kind="stable")
                 cuts = np.searchsorted(part[order], np.arange(parts + 1))
                 some = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
-                own = [sorted(order[cuts[p] : cuts[p + 1]].tolist(), key=words.__getitem__) for p in some]
+                own = [order[cuts[p] : cuts[p + 1]].tolist() for p in some]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(some, pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array([_pack(np.array(x)) for x in own], pa.binary()),
+                    pa.array(some, pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array([_pack(np.diff(x, prepend=0)) for x in own], pa.binary()),
                     pa.array([_pack_words([words[i] for i in x]) for x in own], pa.binary()),
                 ], names=["part", "of", "at", "words"])
 
@@ -212,7 +215,7 @@ def _assembled(docs: DataFrame, emit, fields: list[tuple[str, str, pa.DataType]]
     kinds = [pa.int64(), *(k for _, _, k in fields)]
 
     def run(key, own: pa.Table, words: pa.Table) -> pa.Table:
-        got = [(*_unpack(a.as_py()), *_unpack(s.as_py()), *_unpack(i.as_py())) for a, s, i in zip(words.column("at"), words.column("sizes"), words.column("ids"))]
+        got = [(np.cumsum(_unpack(a.as_py())[0]), *_unpack(s.as_py()), *_unpack(i.as_py())) for a, s, i in zip(words.column("at"), words.column("sizes"), words.column("ids"))]
         none = [np.zeros(0, np.uint32)]
         at, size, flat = (np.concatenate(none + [g[k] for g in got]).astype(np.int64) for k in range(3))
         first, order = np.cumsum(size) - size, np.argsort(at)
