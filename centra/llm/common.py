@@ -1,26 +1,17 @@
-"""Shared helpers: the cluster's shared folder, durable intermediate tables, Arrow row mapping."""
+"""Shared helpers: durable intermediate tables and the keys by which rows find their decisions again."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD = r"[^\x20\x09-\x0D]+"
+from centra.functions.storage import checkpointed, shared_dir
 
+__all__ = ["WORD", "checkpointed", "durable", "row_sign", "same_id"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor reaches, from spark.checkpoint.dir; a local one only where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = found.get() if found.isDefined() else None
-    if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="centra-"))
-        found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def durable(df: DataFrame, label: str) -> DataFrame:
@@ -31,12 +22,6 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """checkpoint() into the shared folder, for small tables inside iterations; Spark's cleaner removes the files."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def row_sign() -> Column:
     """A hash of doc_id and text, by which rows find their decisions again."""
     return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, row_sign, same_id
-from .components import components
+from centra.operators.components import components
 
 SHINGLE = 4
 SEED = 42

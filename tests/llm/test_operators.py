@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from centra.llm import bpe, language_id, licenses, lm_score, mixing, neighbours, quality, simhash, substrings, suffix, url_filter
-from centra.llm.components import components
+from centra.operators.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 CLASH = "doc_id long, text string, lang string, source string, n_chars long, score double, block long, fp long, sign string, h int, root int, copies int, kept string"
