@@ -1,12 +1,14 @@
 """Removal of repeated substrings: every byte that a string of WINDOW bytes covers which also starts earlier.
 
-1. Documents are dealt into blocks, written once. Of all grams of GRAM bytes, a block picks those whose hash is least in
-   some window; equal windows pick the same grams, so two windows can only be equal if they share a picked gram at the
-   same place. A gram's context is all that windows around it cover.
+1. Documents are dealt into blocks, written once. Each window picks the gram of GRAM bytes whose hash is least in it, the
+   leftmost of several; equal windows pick equal grams at the same place. Neighbouring windows that pick one gram form
+   its context, so each window belongs to one context, and equal windows belong to contexts of equal grams.
 2. Picks meet by gram (class), one for each block and context. A context that an earlier one equals is repeated
    throughout. A class whose contexts are all equal is thereby done.
 3. The other classes' contexts, each once, are dealt into shards by class. A shard's suffix array is made by induced
    sorting; permuted common prefixes of WINDOW and more join equal windows, and all but the earliest are repeated.
+   Classes of more than HOT_CONTEXTS contexts, which one task might not hold, are compared window by window instead:
+   each window's hash of 128 bits is aggregated to its earliest place and joined back, whatever the class.
 4. Each block takes its repeated intervals out of its documents.
 
 Cases: a null text is empty; texts shorter than WINDOW keep all their bytes. Documents come in the order of doc_id, null
@@ -37,7 +39,8 @@ BLOCK_BYTES = 8 << 20
 SLICE = 1 << 19
 #: Picks that one group of the class shuffle gets, and bytes of contexts that one shard gets, on average.
 PART_PICKS = 600_000
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
+HOT_CONTEXTS = 1 << 14
 LAST = np.iinfo(np.int64).max
 NONE = np.iinfo(np.uint64).max
 
@@ -103,13 +106,13 @@ def _byte_codes() -> np.ndarray:
 
 
 def _gram_hashes(data: np.ndarray) -> dict[int, np.ndarray]:
-    """Hashes of all strings of 8, 32 and 128 bytes, by their first place; each level joins two halves."""
+    """Hashes of all strings of 32, 64 and 128 bytes, by their first place; each level joins two halves."""
     h, size, out = _byte_codes()[data], 1, {}
-    while size < 128 and len(h) > size:
+    while size < 128:
         h = (h[:-size] * np.uint64(0x9E3779B97F4A7C15 + 2 * size)) + h[size:]
         h ^= h >> np.uint64(32)
         size *= 2
-        if size in (8, GRAM, 128):
+        if size >= GRAM:
             out[size] = h * np.uint64(0xD6E8FEB86659FD93) ^ (h >> np.uint64(29))
     return out
 
@@ -123,54 +126,35 @@ def _sliding(h: np.ndarray, width: int, best) -> np.ndarray:
     return best(out[: len(h) - width + 1], out[width - size : width - size + len(h) - width + 1]) if size < width else out
 
 
-def picks(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Picked grams of documents in a row: places, gram hashes, context hashes."""
+def picks(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts of documents in a row: first places, lengths, gram hashes, hashes of their bytes."""
     n = len(data)
     ends = np.cumsum(sizes)
-    begins = ends - sizes
-    long = sizes >= WINDOW
-    # Windows that would leave their document are void, and so are grams that do.
+    # Windows that would leave their document are void.
     step = np.zeros(n + 1, np.int32)
-    np.add.at(step, np.maximum(begins, ends - WINDOW + 1), 1)
+    np.add.at(step, np.maximum(ends - sizes, ends - WINDOW + 1), 1)
     np.add.at(step, ends, -1)
     void = np.cumsum(step[:-1]) > 0
-    step[:] = 0
-    np.add.at(step, np.maximum(begins, ends - GRAM + 1), 1)
-    np.add.at(step, ends, -1)
-    torn = np.cumsum(step[:-1]) > 0
-    if not long.any():
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    found = []
+    place = np.uint64((1 << 20) - 1)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
     for a in range(0, n, SLICE):
         b = min(n, a + SLICE)
-        low, high = max(0, a - 2 * REACH), min(n, b + WINDOW + REACH)
-        part = np.concatenate([np.zeros(REACH, np.uint8), data[low:high], np.zeros(WINDOW + 128, np.uint8)])
-        hashes = _gram_hashes(part)
-        pad = high - low
-        h = hashes[GRAM][REACH : REACH + pad].copy()
-        h[torn[low:high]] = NONE
-        filled = np.concatenate([h, np.full(REACH, NONE)])
-        least = _sliding(filled, REACH + 1, np.minimum)  # of the window that starts here
-        least[void[low:high]] = 0
-        most = _sliding(np.concatenate([np.zeros(REACH, np.uint64), least]), REACH + 1, np.maximum)
-        at = np.flatnonzero((most == h) & (h != NONE))
-        at = at[(at + low >= a) & (at + low < b)]
-        c = hashes[128][at] ^ (hashes[GRAM][at + 128] * np.uint64(0xA24BAED4963EE407)) ^ (hashes[8][at + 128 + GRAM] * np.uint64(0x9FB21C651E98DF25))
-        found.append((at + low, h[at], c))
-    at, h, c = (np.concatenate([f[i] for f in found]) for i in range(3))
-    doc = np.searchsorted(ends, at, "right")
-    left, right = np.maximum(begins[doc], at - REACH), np.minimum(ends[doc], at + WINDOW)
-    raw = data.tobytes()
-    for i in np.flatnonzero((left > at - REACH) | (right < at + WINDOW)).tolist():
-        c[i] = xxhash.xxh64_intdigest(raw[left[i] : right[i]], int(at[i] - left[i]) << 8 | int(right[i] - left[i]))
-    return at, h, c
-
-
-def _contexts(at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Documents, first and last places of the contexts around picks."""
-    ends = np.cumsum(sizes)
-    doc = np.searchsorted(ends, at, "right")
-    return doc, np.maximum(ends[doc] - sizes[doc], at - REACH), np.minimum(ends[doc], at + WINDOW)
+        start = np.flatnonzero(~void[a:b])
+        if not len(start):
+            continue
+        hashes = _gram_hashes(np.concatenate([data[a : b + WINDOW], np.zeros(256, np.uint8)]))
+        grams = hashes[GRAM][: b - a + REACH]
+        # The place stands in the low bits, so the least number tells the leftmost least gram.
+        at = (_sliding(grams & ~place | np.arange(len(grams), dtype=np.uint64), REACH + 1, np.minimum)[start] & place).astype(np.int64)
+        first = np.flatnonzero(np.append(True, (np.diff(at) != 0) | (np.diff(start) > 1)))
+        left, last = start[first], start[np.append(first[1:], len(start)) - 1]
+        size = last - left + WINDOW
+        half = np.where(size > 128, 128, 64)
+        ends_at = left + size - half
+        c = np.where(size > 128, hashes[128][left], hashes[64][left]) ^ (np.where(size > 128, hashes[128][ends_at], hashes[64][ends_at]) * np.uint64(0xA24BAED4963EE407))
+        c = (c ^ size.astype(np.uint64)) * np.uint64(0x9FB21C651E98DF25)
+        found.append((left + a, size, hashes[GRAM][at[first]], c))
+    return tuple(np.concatenate([f[i] for f in found]) for i in range(4))
 
 
 def _merged(left: np.ndarray, right: np.ndarray, touching: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -190,108 +174,149 @@ def _doc_keys(ids: list[int | None]) -> np.ndarray:
 
 
 def shared(table: DataFrame, parts: int) -> DataFrame:
-    """Rows (block, left, right) of intervals repeated within the block, or (part, block, h, c, doc, at) of other picks."""
-    names = ["part", "block", "left", "right", "h", "c", "doc", "at"]
+    """Rows (part, block, left, right) of intervals repeated in the block, or (part, block, left, size, h, c, doc) of other
+    contexts."""
+    names = ["part", "block", "left", "right", "size", "h", "c", "doc"]
     kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, ids, sizes, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
                 sizes = np.array(sizes, np.int64)
-                data = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed.as_py()), np.uint8)
-                at, h, c = picks(data, sizes)
+                left, size, h, c = picks(np.frombuffer(zstandard.ZstdDecompressor().decompress(packed.as_py()), np.uint8), sizes)
                 order = np.lexsort((c, h))  # stable: places ascend among equals
-                h, c, at = h[order], c[order], at[order]
+                left, size, h, c = left[order], size[order], h[order], c[order]
                 first = np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1]))[: len(h)]
-                _, left, right = _contexts(at[~first], sizes)
-                left, right = _merged(left, right)
-                h, c, at = h[first], c[first], at[first]
-                doc = _doc_keys(ids)[_contexts(at, sizes)[0]] if len(at) else np.zeros(0, np.int64)
-                rows = [[block % parts, block, _zip(left), _zip(right), None, None, None, None]] if len(left) else []
+                cut_left, cut_right = _merged(left[~first], (left + size)[~first])
+                rows = [[block % parts, block, _zip(cut_left), _zip(cut_right), None, None, None, None]] if len(cut_left) else []
                 part = (h >> np.uint64(20)) % np.uint64(parts)
-                order = np.argsort(part, kind="stable")
+                order = np.flatnonzero(first)[np.argsort(part[first], kind="stable")]
                 cuts = np.searchsorted(part[order], np.arange(parts + 1))
+                doc = _doc_keys(ids)
                 for p in np.flatnonzero(np.diff(cuts)).tolist():
                     own = order[cuts[p] : cuts[p + 1]]
-                    rows.append([p, block, None, None, h[own].tobytes(), c[own].tobytes(), _zip(doc[own]), _zip(at[own].astype("<u4"))])
+                    of = doc[np.searchsorted(np.cumsum(sizes), left[own], "right")]
+                    rows.append([p, block, _zip(left[own].astype("<u4")), None, size[own].astype(np.uint8).tobytes(), h[own].tobytes(), c[own].tobytes(), _zip(of)])
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
-    schema = "part int, block long, left binary, right binary, h binary, c binary, doc binary, at binary"
+    schema = "part int, block long, left binary, right binary, size binary, h binary, c binary, doc binary"
     return table.select("block", "doc_ids", "sizes", "data").mapInArrow(run, schema)
 
 
-def met(picked: DataFrame, parts: int) -> DataFrame:
-    """By class: rows (block, left, right) as they come; (block, whole) places of picks whose context came earlier; and
-    (block, at, h, n) picks whose class has several contexts, the first ones of each."""
-    names = ["block", "left", "right", "whole", "at", "h", "n"]
-    kinds = [pa.int64(), *[pa.binary()] * 5, pa.int64()]
+def met(picked: DataFrame, parts: int, hot_contexts: int) -> DataFrame:
+    """By class: rows (block, left, right) of repeated intervals, as they come and of contexts that came earlier; and
+    (block, at, size, h, n, hot) of the classes with several contexts, the first ones of each; hot counts them where
+    there are more than HOT_CONTEXTS in a class, else n does."""
+    names = ["block", "left", "right", "at", "size", "h", "n", "hot"]
+    kinds = [pa.int64(), *[pa.binary()] * 5, pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
+        held, now = [], None
         for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns]
-            for _, block, left, right, h, c, doc, at in zip(*cols):
+            for part, block, left, right, size, h, c, doc in zip(*(c.to_pylist() for c in batch.columns)):
+                if part != now and held:
+                    yield from compare(held)
+                    held = []
+                now = part
                 if h is None:
-                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((block, left, right, None, None, None, 0), kinds)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((block, left, right, None, None, None, 0, 0), kinds)], names=names)
                 else:
-                    held.append((block, np.frombuffer(h, np.uint64), np.frombuffer(c, np.uint64), _unzip(doc, np.int64), _unzip(at, "<u4").astype(np.int64)))
-        if not held:
-            return
+                    held.append((block, np.frombuffer(h, np.uint64), np.frombuffer(c, np.uint64), _unzip(doc, np.int64), _unzip(left, "<u4"), np.frombuffer(size, np.uint8)))
+        if held:
+            yield from compare(held)
+
+    def compare(held: list) -> Iterator[pa.RecordBatch]:
         own = np.array(sorted({x[0] for x in held}))
         block = np.repeat(np.searchsorted(own, [x[0] for x in held]), [len(x[1]) for x in held])
-        h, c, doc, at = (np.concatenate([x[i] for x in held]) for i in range(1, 5))
-        del held
-        order = np.lexsort((at, block, doc, c, h))
-        block, h, c, at = block[order], h[order], c[order], at[order]
+        h, c, doc, left, size = (np.concatenate([x[i] for x in held]) for i in range(1, 6))
+        held.clear()
+        order = np.lexsort((left, block, doc, c, h))
+        block, h, c, left, size = block[order], h[order], c[order], left[order].astype(np.int64), size[order]
         new_class = np.append(True, h[1:] != h[:-1])
         first = new_class | np.append(True, c[1:] != c[:-1])
-        number = np.cumsum(new_class) - 1
-        several = (np.bincount(number, first) > 1)[number] & first
+        many = np.bincount(np.cumsum(new_class) - 1, first)[np.cumsum(new_class) - 1]
+        several, hot = (many > 1) & first, many > hot_contexts
         order = np.argsort(block, kind="stable")
         bounds = np.searchsorted(block[order], np.arange(len(own) + 1))
         for b in range(len(own)):
             rows = order[bounds[b] : bounds[b + 1]]
-            whole, asked = rows[~first[rows]], rows[several[rows]]
-            if len(whole) or len(asked):
-                values = (int(own[b]), None, None, _zip(np.sort(at[whole]).astype("<u4")), _zip(at[asked].astype("<u4")), h[asked].tobytes(), len(asked))
-                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(values, kinds)], names=names)
+            known, asked = rows[~first[rows]], rows[several[rows]]
+            lo, hi = _merged(left[known], left[known] + size[known])
+            for apart in (False, True):
+                some = asked[hot[asked] == apart]
+                if len(some) or (len(known) and not apart):
+                    counts = (0, len(some)) if apart else (len(some), 0)
+                    cuts = (None, None) if apart else (_zip(lo), _zip(hi))
+                    values = (int(own[b]), *cuts, _zip(left[some].astype("<u4")), size[some].tobytes(), h[some].tobytes(), *counts)
+                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(values, kinds)], names=names)
 
-    schema = "block long, left binary, right binary, whole binary, at binary, h binary, n long"
-    return picked.repartition(parts, "part").mapInArrow(run, schema)
+    schema = "block long, left binary, right binary, at binary, size binary, h binary, n long, hot long"
+    return picked.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, schema)
 
 
-SHIPPED = ["shard", "block", "h", "doc", "left", "size", "data"]
+SHIPPED = ["shard", "block", "doc", "left", "size", "data"]
 
 
 def contexts(table: DataFrame, asked: DataFrame, shards: int) -> DataFrame:
-    """The contexts asked for, with their bytes: (shard, block, h, doc, left, size, data), a row for each block and shard."""
-    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
+    """The contexts asked for, with their bytes: (shard, block, doc, left, size, data), a row for each block and shard."""
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
 
     def run(key, own: pa.Table, wanted: pa.Table) -> pa.Table:
         rows = []
+        left = np.concatenate([np.zeros(0, np.int64), *(_unzip(x, "<u4").astype(np.int64) for x in wanted.column("at").to_pylist())])
+        size = np.frombuffer(b"".join(wanted.column("size").to_pylist()), np.uint8).astype(np.int64)
+        h = np.frombuffer(b"".join(wanted.column("h").to_pylist()), np.uint64)
         for block, ids, sizes, packed in zip(*(own.column(c).to_pylist() for c in ("block", "doc_ids", "sizes", "data"))):
-            at = np.concatenate([_unzip(x, "<u4").astype(np.int64) for x in wanted.column("at").to_pylist()] or [np.zeros(0, np.int64)])
-            h = np.concatenate([np.frombuffer(x, np.uint64) for x in wanted.column("h").to_pylist()] or [np.zeros(0, np.uint64)])
-            if not len(at):
+            if not len(left):
                 continue
             data = zstandard.ZstdDecompressor().decompress(packed)
-            doc, left, right = _contexts(at, np.array(sizes, np.int64))
-            doc = _doc_keys(ids)[doc]
+            doc = _doc_keys(ids)[np.searchsorted(np.cumsum(sizes), left, "right")]
             shard = (h >> np.uint64(7)) % np.uint64(shards)
             order = np.lexsort((h, shard))
             bounds = np.searchsorted(shard[order], np.arange(shards + 1))
             for s in np.flatnonzero(np.diff(bounds)).tolist():
                 of = order[bounds[s] : bounds[s + 1]]
-                text = zstandard.ZstdCompressor(level=3).compress(b"".join(data[a:b] for a, b in zip(left[of].tolist(), right[of].tolist())))
-                rows.append((s, block, h[of].tobytes(), _zip(doc[of]), _zip(left[of]), _zip((right - left)[of].astype("<u4")), text))
+                text = zstandard.ZstdCompressor(level=3).compress(b"".join(data[a : a + n] for a, n in zip(left[of].tolist(), size[of].tolist())))
+                rows.append((s, block, _zip(doc[of]), _zip(left[of]), size[of].astype(np.uint8).tobytes(), text))
         return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=SHIPPED)
 
-    schema = "shard int, block long, h binary, doc binary, left binary, size binary, data binary"
-    wanted = asked.where("n > 0").select(F.col("block").alias("of"), "at", "h")
+    schema = "shard int, block long, doc binary, left binary, size binary, data binary"
+    wanted = asked.where("n > 0").select(F.col("block").alias("of"), "at", "size", "h")
     own = table.join(wanted.select(F.col("of").alias("block")).distinct(), "block", "left_semi").select("block", "doc_ids", "sizes", "data")
     return own.groupBy("block").cogroup(wanted.groupBy("of")).applyInArrow(run, schema)
 
 
+def hot_windows(table: DataFrame, asked: DataFrame) -> DataFrame:
+    """(block, left, right) of the repeated windows of hot classes, each found by the hash of its bytes."""
+
+    def run(key, own: pa.Table, wanted: pa.Table) -> pa.Table:
+        left = np.concatenate([np.zeros(0, np.int64), *(_unzip(x, "<u4").astype(np.int64) for x in wanted.column("at").to_pylist())])
+        size = np.frombuffer(b"".join(wanted.column("size").to_pylist()), np.uint8).astype(np.int64)
+        n = size - WINDOW + 1
+        at = np.repeat(left - np.cumsum(n) + n, n) + np.arange(n.sum())
+        out = []
+        for block, ids, sizes, packed in zip(*(own.column(c).to_pylist() for c in ("block", "doc_ids", "sizes", "data"))):
+            data = zstandard.ZstdDecompressor().decompress(packed)
+            sums = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[a : a + WINDOW]) for a in at.tolist()), np.int64).reshape(-1, 2)
+            doc = _doc_keys(ids)[np.searchsorted(np.cumsum(sizes), at, "right")]
+            out.append(pa.table([sums[:, 0].copy(), sums[:, 1].copy(), doc, np.full(len(at), block), at], names=["a", "b", "doc", "block", "start"]))
+        return pa.concat_tables(out)
+
+    def pack(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        start = rows.column("start").to_numpy()
+        lo, hi = _merged(start, start + WINDOW)
+        return pa.table([pa.array([x], k) for x, k in ((key[0].as_py(), pa.int64()), (_zip(lo), pa.binary()), (_zip(hi), pa.binary()))], names=["block", "left", "right"])
+
+    wanted = asked.where("hot > 0").select(F.col("block").alias("of"), "at", "size")
+    own = table.join(wanted.select(F.col("of").alias("block")).distinct(), "block", "left_semi").select("block", "doc_ids", "sizes", "data")
+    found = own.groupBy("block").cogroup(wanted.groupBy("of")).applyInArrow(run, "a long, b long, doc long, block long, start long")
+    found = durable(found, "substring-windows")
+    place = F.struct("doc", "block", "start")
+    least = found.groupBy("a", "b").agg(F.min(place).alias("first"))
+    later = found.join(least, ["a", "b"]).where(place > F.col("first")).select("block", "start")
+    return later.groupBy("block").applyInArrow(pack, CUTS)
+
+
 def repeated(text: list[bytes], doc: np.ndarray, block: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of contexts in one shard: the context numbers and offsets of windows that also start earlier."""
     size = np.array([len(x) for x in text])
@@ -328,7 +353,7 @@ def sorted_shards(shipped: DataFrame) -> DataFrame:
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         text, doc, left, block = [], [], [], []
         for at, d, of, size, data in zip(*(rows.column(c).to_pylist() for c in ("block", "doc", "left", "size", "data"))):
-            ends = np.cumsum(_unzip(size, "<u4"), dtype=np.int64)
+            ends = np.cumsum(np.frombuffer(size, np.uint8), dtype=np.int64)
             raw = zstandard.ZstdDecompressor().decompress(data)
             text += [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
             doc.append(_unzip(d, np.int64)), left.append(_unzip(of, np.int64)), block.append(np.full(len(ends), at))
@@ -355,12 +380,8 @@ def cut(table: DataFrame, cuts: DataFrame, emit, schema: str, names: list[str])
         for ids, sizes, packed, rest in zip(*(own.column(c).to_pylist() for c in ("doc_ids", "sizes", "data", "rest"))):
             sizes = np.array(sizes, np.int64)
             lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for left, right, whole in zip(*(found.column(c).to_pylist() for c in ("left", "right", "whole"))):
-                if left is not None:
-                    lefts.append(_unzip(left, np.int64)), rights.append(_unzip(right, np.int64))
-                if whole is not None:
-                    _, a, b = _contexts(_unzip(whole, "<u4").astype(np.int64), sizes)
-                    lefts.append(a), rights.append(b)
+            for left, right in zip(found.column("left").to_pylist(), found.column("right").to_pylist()):
+                lefts.append(_unzip(left, np.int64)), rights.append(_unzip(right, np.int64))
             left, right = np.concatenate(lefts), np.concatenate(rights)
             ends = np.cumsum(sizes)
             # Runs of neighbouring documents touch but are not one, so documents are set apart by their number.
@@ -384,20 +405,21 @@ def _kept(text: bytes, left: list[int], right: list[int]) -> bytes:
     return b"".join(text[a:b] for a, b in zip([0, *right], [*left, len(text)]))
 
 
-def find(docs: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """The blocks of docs(doc_id, text), and (of, left, right, whole): their repeated intervals."""
+def find(docs: DataFrame, carry: tuple[str, ...] = (), hot_contexts: int = HOT_CONTEXTS) -> tuple[DataFrame, DataFrame]:
+    """The blocks of docs(doc_id, text), and (of, left, right): their repeated intervals."""
     table = durable(blocks(docs, carry), "substring-blocks")
     size = table.agg(F.sum("n_bytes")).first()[0] or 0
     parts = int(size * 2 / (REACH + 2)) // PART_PICKS + 1
-    classes = durable(met(shared(table, parts), parts), "substring-classes")
-    asked = classes.agg(F.sum("n")).first()[0] or 0
-    shards = asked * (WINDOW + REACH) // SHARD_BYTES + 1
-    later = sorted_shards(contexts(table, classes, shards)).withColumn("whole", F.lit(None).cast("binary"))
-    known = classes.where("left is not null or whole is not null").select("block", "left", "right", "whole")
-    return table, known.unionByName(later).withColumnRenamed("block", "of")
+    classes = durable(met(shared(table, parts), parts, hot_contexts), "substring-classes")
+    asked, hot = classes.agg(F.sum("n"), F.sum("hot")).first()
+    shards = (asked or 0) * (WINDOW + REACH // 2) // SHARD_BYTES + 1
+    cuts = classes.where("left is not null").select("block", "left", "right").unionByName(sorted_shards(contexts(table, classes, shards)))
+    if hot:
+        cuts = cuts.unionByName(hot_windows(table, classes))
+    return table, cuts.withColumnRenamed("block", "of")
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of docs(doc_id, text)."""
 
     def emit(ids, texts, runs, rest):
@@ -406,7 +428,7 @@ def digests(docs: DataFrame) -> DataFrame:
         return [pa.array(x, pa.int64()) for x in (ids, *counts)] + [pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    return cut(*find(docs), emit, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", names)
+    return cut(*find(docs, hot_contexts=hot_contexts), emit, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", names)
 
 
 def clean(docs: DataFrame) -> DataFrame:

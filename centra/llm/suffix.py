@@ -90,29 +90,32 @@ def _induce_buckets(t: np.ndarray, small: np.ndarray, lms: np.ndarray, sizes: np
 
 
 def _induce_singly(t: np.ndarray, small: np.ndarray, lms: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The same, one suffix at a time."""
     n = len(t)
-    text, s, sa = t.tolist(), small.tolist(), [-1] * n
     ends = np.cumsum(sizes)
-    tail, head = ends.tolist(), (ends - sizes).tolist()
-    for i in lms[::-1].tolist():
-        c = text[i]
-        tail[c] -= 1
-        sa[tail[c]] = i
-    c = text[n - 1]
+    # By suffix, the bucket of the one before it if a pass has to enter that, else -1; [-1] stands for an empty place.
+    forth, back = np.full(n + 1, -1, np.int64), np.full(n + 1, -1, np.int64)
+    forth[1:n] = np.where(small[:-1], -1, t[:-1])
+    back[1:n] = np.where(small[:-1], t[:-1], -1)
+    sa = np.full(n, -1, np.int64)
+    held = np.bincount(t[lms], minlength=len(sizes))
+    order = lms[np.argsort(t[lms], kind="stable")]
+    sa[np.repeat(ends - np.cumsum(held), held) + np.arange(len(lms))] = order
+    sa, head = sa.tolist(), (ends - sizes).tolist()
+    c = int(t[n - 1])
     sa[head[c]] = n - 1
     head[c] += 1
+    of = forth.tolist()
     for i in sa:  # grows ahead of the reader
-        if i > 0 and not s[i - 1]:
-            c = text[i - 1]
-            sa[head[c]] = i - 1
-            head[c] += 1
-    tail = ends.tolist()
-    for at in range(n - 1, -1, -1):
-        i = sa[at]
-        if i > 0 and s[i - 1]:
-            c = text[i - 1]
-            tail[c] -= 1
-            sa[tail[c]] = i - 1
+        if (c := of[i]) >= 0:
+            at = head[c]
+            sa[at] = i - 1
+            head[c] = at + 1
+    tail, of = ends.tolist(), back.tolist()
+    for i in reversed(sa):
+        if (c := of[i]) >= 0:
+            tail[c] = at = tail[c] - 1
+            sa[at] = i - 1
     return np.array(sa)
 
 
