@@ -68,12 +68,11 @@ class Csr:
         dep = np.zeros(self.n)
         for a, b in reversed(links):
             dep += np.bincount(a, sigma[a] * (1 + dep[b]) / sigma[b], self.n)
+        dep[source] = 0
         if endpoints:
             reached = sigma > 0
             dep[reached] += 1
             dep[source] += reached.sum() - 2
-        else:
-            dep[source] = 0
         return dep
 
     def strong_components(self) -> tuple[np.ndarray, list[int]]:
