@@ -8,9 +8,9 @@ the corpus as it is (every document once). The convex dual has one multiplier fo
 its solution tilts the odds of a document exponentially in its size x: r / (MOST - r) = exp(m x) / (MOST - 1). Newton
 steps with a bracket solve the dual; each iteration is one pre-aggregated sum over the table of (source, size, count).
 
-Copies: rates are rounded to the whole number below or above. The documents of a source are dealt into groups of
-bounded size; in a group, larger ones first, each takes the choice that leaves the words taken so far nearer to the sum
-of the rates times sizes so far. What is left over is at most about half a small document for each group.
+Copies: rates are rounded to a whole number, the one below or above or at most one further. The documents of a source
+are dealt into groups of bounded size; in a group, larger ones first, each takes the choice that leaves the words taken
+so far nearest to the sum of the rates times sizes so far. What is left over is about half a small document for a group.
 
 Cases: null and empty texts have size 0 and are taken once in the mix, which adds no words. Null sources form a source
 of their own. Repeated rows are documents of their own. An empty table gives an empty mix. Groups and ties depend on
@@ -123,7 +123,7 @@ def _rounded(group: np.ndarray, size: np.ndarray, rate: np.ndarray, most: int) -
             continue
         due += r * s
         least = int(r)
-        copies[i] = min(most, max(least, min(least + (r > least), round(due / s))))
+        copies[i] = min(most, max(0, least - 1, min(least + (r > least) + 1, round(due / s))))
         due -= int(copies[i]) * s
     return copies
 
