@@ -132,6 +132,7 @@ def copies(sized: DataFrame, tilts: DataFrame, most: float = MOST, group: int =
     """(doc_id, sign, size, source_size, target, copies) for each row of sized(doc_id, sign, source, size)."""
     counts = sized.groupBy("source").agg((F.ceil(F.count("*") / group)).alias("groups")).withColumnRenamed("source", "of")
     known = tilts.join(counts, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumnRenamed("source", "of")
+    known = checkpointed(known)  # so that Spark can broadcast it if it is small, and split a source's rows if it is not
     joined = sized.join(known, F.col("source").eqNullSafe(F.col("of")))
     dealt = joined.select(
         F.xxhash64("source", F.pmod(F.xxhash64("doc_id", "size", "sign"), F.col("groups"))).alias("group"),
