@@ -4,24 +4,37 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from centra.functions.storage import checkpointed, shared_dir
 
-__all__ = ["WORD", "checkpointed", "durable", "row_sign", "same_id"]
+__all__ = ["WORD", "checkpointed", "durable", "forget", "row_sign", "same_id"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Paths of the tables that this session has written, oldest first.
+written: list[str] = []
+
+
 def durable(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and return the reread table: lineage is cut, lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tables/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables written from number since on but for the last one, when nothing reads them any more."""
+    for path in written[since:-1]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    del written[since:-1]
+
+
 def row_sign() -> Column:
     """A hash of doc_id and text, by which rows find their decisions again."""
     return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
