@@ -157,7 +157,9 @@ def search_run(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, code
 
 def index(vectors: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, Codebook] | None:
     """The table (vec_id, vector, code) of the rows that take part, and the codebook; None without any."""
-    number = F.transform("embedding", lambda v: v.cast("float"))
+    kind = vectors.schema["embedding"].dataType.elementType.simpleString()
+    kind = kind if kind in ("float", "double") else "double"
+    number = F.transform("embedding", lambda v: v.cast(kind))
     sound = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
     valid = vectors.where(F.col("vec_id").isNotNull() & F.coalesce(sound, F.lit(False))).select("vec_id", number.alias("vector"))
     sizes = valid.groupBy(F.size("vector").alias("dim")).count().orderBy(F.col("count").desc(), "dim").first()
@@ -168,7 +170,7 @@ def index(vectors: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, Codebook
     share = int(min(1.0, sample / n) * 2**32)
     drawn = rows.where(F.xxhash64("vec_id").bitwiseAND(F.lit(2**32 - 1)) < share) if share < 2**32 else rows
     x = drawn.select("vector").toArrow().column(0).combine_chunks().flatten().to_numpy().reshape(-1, dim)
-    book = fit(x if len(x) else np.eye(dim, dtype=np.float32))
+    book = fit(x.astype(np.float32) if len(x) else np.eye(dim, dtype=np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,7 +179,7 @@ def index(vectors: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, Codebook
                 packed = np.ascontiguousarray(c[:, 0::2] << 4 | c[:, 1::2])
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.tobytes() for r in packed], pa.binary())], names=["vec_id", "vector", "code"])
 
-    return durable(rows.dropDuplicates(["vec_id", "vector"]).mapInArrow(run, "vec_id long, vector array<float>, code binary"), "vectors"), book
+    return durable(rows.dropDuplicates(["vec_id", "vector"]).mapInArrow(run, f"vec_id long, vector array<{kind}>, code binary"), "vectors"), book
 
 
 def nearest_neighbours(vectors: DataFrame, asking, nearest: int = NEAREST, rerank: int = RERANK) -> DataFrame:

@@ -362,7 +362,7 @@ def test_neighbours_odd_cases(spark):
         got[r.query_id].append(r.vec_id)
     assert got == {q: [61, *[i for i in range(20) if i != q][: 19 - (q >= 20) + (q >= 20)]] for q in (0, 20, 40)}
     assert neighbours.nearest_neighbours(table.limit(0), F.col("vec_id") % 20 == 0).collect() == []
-    one = spark.createDataFrame([(20, same), (3, same)], "vec_id long, embedding array<float>")
+    one = spark.createDataFrame([(20, same), (3, same)], "vec_id long, embedding array<double>")
     assert [(r.query_id, r.rank, r.vec_id) for r in neighbours.nearest_neighbours(one, F.col("vec_id") % 20 == 0).collect()] == [(20, 1, 3)]
 
 
