@@ -21,6 +21,7 @@ from functools import cache
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Phrases of words and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -146,7 +147,7 @@ def licenses(docs: DataFrame) -> DataFrame:
             cols = [pa.array([g[i] for g in got], kind) for i, (_, _, kind) in enumerate(FIELDS)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", *(n for n, _, _ in FIELDS)])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} {t}" for n, t, _ in FIELDS))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} {t}" for n, t, _ in FIELDS))
 
 
 def op7_licenses(spark, sf_dir: str) -> DataFrame:

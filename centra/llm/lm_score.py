@@ -258,7 +258,7 @@ def score(docs: DataFrame, words: Vocabulary, p: Params) -> DataFrame:
             mean = pa.array(s / np.maximum(n, 1), pa.float64(), mask=n == 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(s), mean], names=["doc_id", "n_tokens", "sum_logp", "mean_logp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, sum_logp double, mean_logp double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, sum_logp double, mean_logp double")
 
 
 def op2_lm_score(spark, sf_dir: str) -> DataFrame:

@@ -173,7 +173,7 @@ def word_count(text: Column) -> Column:
 
 def mix(docs: DataFrame) -> DataFrame:
     """(doc_id, sign, size, source_size, target, copies) of every row of docs(doc_id, text, source)."""
-    sized = durable(docs.select("doc_id", row_sign().alias("sign"), "source", word_count(F.col("text")).alias("size")), "mix")
+    sized = durable(docs.select(F.col("doc_id").cast("long"), row_sign().alias("sign"), "source", word_count(F.col("text")).alias("size")), "mix")
     sizes = sized.groupBy("source", "size").count()
     goals = targets(sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("count")).alias("source_size")))
     return copies(sized, balance(sizes, goals))

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Fixed values.
 SPACE = " \t\n\x0b\x0c\r"
@@ -107,7 +108,7 @@ def clean(docs: DataFrame, texts: bool = True) -> DataFrame:
             cols = [pa.array([g[i] for g in got], kind) for i, (_, _, kind) in enumerate(fields)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", *(n for n, _, _ in fields)])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} {t}" for n, t, _ in fields))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} {t}" for n, t, _ in fields))
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:

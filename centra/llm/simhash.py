@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fp = np.fromiter((fingerprint(x.as_py()) for x in batch.column(1)), np.uint64, batch.num_rows).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), batch.column(2)], names=["doc_id", "fp", "sign"])
 
-    return docs.select("doc_id", "text", row_sign().alias("sign")).mapInArrow(run, "doc_id long, fp long, sign long")
+    return docs.select(F.col("doc_id").cast("long"), "text", row_sign().alias("sign")).mapInArrow(run, "doc_id long, fp long, sign long")
 
 
 def _syndromes(low: np.ndarray) -> np.ndarray:
