@@ -159,3 +159,21 @@ def peeling_index(wimpy: np.ndarray, m: int, base: float = 2.0) -> np.ndarray:
 
 def gcn_flops(nodes: int, edges: int, widths: list[int]) -> int:
     return sum(2 * nodes * a * b + 2 * edges * b for a, b in zip(widths, widths[1:]))
+
+
+def unfinished(b: np.ndarray, pairs: float, k: int, err: float, delta_low: np.ndarray, delta_up: np.ndarray, omega: float) -> np.ndarray:
+    """Places of tracked vertices whose deviations are not below err yet."""
+    f, g = deviation_below(b, pairs, delta_low, omega), deviation_above(b, pairs, delta_up, omega)
+    return np.flatnonzero((f >= err) | (g >= err))
+
+
+def predicted_stop(b: np.ndarray, k: int, err: float, delta_low: np.ndarray, delta_up: np.ndarray, omega: float, variant: str = "paper_bd") -> int:
+    """The least number of pairs at which the stopping test holds if the estimates stay as they are; omega at most."""
+    low, high = 1, math.ceil(omega)
+    while low < high:
+        middle = (low + high) // 2
+        if finished(b, middle, k, err, delta_low, delta_up, omega, variant):
+            high = middle
+        else:
+            low = middle + 1
+    return low

@@ -146,3 +146,127 @@ def pairs(truth: DataFrame, per_vertex: int = 20, seed: int = 0) -> DataFrame:
     other = named.select(F.col("n").alias("p"), F.col("id").alias("t"), F.col("score").alias("other"))
     met = drawn.withColumn("p", partner).join(other, "p")
     return met.where("score != other").select(F.col("id").alias("s"), "t", F.signum(F.col("score") - F.col("other")).alias("y"))
+
+
+# --- training, on graphs that fit the driver
+
+
+class _Sparse:
+    """A matrix of a graph of bounded size as rows (at, to) with an optional row mask, times dense ones."""
+
+    def __init__(self, at: np.ndarray, to: np.ndarray, kept: np.ndarray):
+        src = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        own = kept[src]
+        self.src, self.dst, self.n = src[own], to[own], len(at) - 1
+
+    def times(self, x: np.ndarray, transposed: bool = False) -> np.ndarray:
+        a, b = (self.dst, self.src) if transposed else (self.src, self.dst)
+        return np.stack([np.bincount(a, x[b, j], self.n) for j in range(x.shape[1])], 1)
+
+    def masses(self, hops: int) -> np.ndarray:
+        x, total, out = np.ones((self.n, 1)), 0.0, []
+        for _ in range(hops):
+            x = self.times(x)
+            total = total + x
+            out.append(np.log1p(total))
+        return np.hstack(out)
+
+
+def _mlp_back(x: np.ndarray, scorer, d: np.ndarray, grads: list) -> np.ndarray:
+    """Gradient of mlp at x for output gradient d; weight gradients are added to grads."""
+    inputs, h = [], x
+    for i, (w, b) in enumerate(scorer):
+        inputs.append(h)
+        h = h @ w + b
+        if i + 1 < len(scorer):
+            h = np.maximum(h, 0)
+    d = d[:, None]
+    for i in range(len(scorer) - 1, -1, -1):
+        grads[i][0] += inputs[i].T @ d
+        grads[i][1] += d.sum(0)
+        d = d @ scorer[i][0].T
+        if i:
+            d = d * (inputs[i] > 0)
+    return d
+
+
+def _unit_back(y: np.ndarray, d: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((y * y).sum(1, keepdims=True)) + EPS
+    x = y / norm
+    return (d - x * (d * x).sum(1, keepdims=True)) / norm
+
+
+def stream_forward(a: _Sparse, features: np.ndarray, w: Weights) -> tuple[np.ndarray, list]:
+    """Scores, and what the way back needs: each layer's sums before the cut at 0 and its output."""
+    y = features @ w.embed[0] + w.embed[1]
+    x = unit(np.maximum(y, 0))
+    tape, score = [(y, x)], mlp(x, w.scorer)
+    for k, (weight, bias) in enumerate(w.layers):
+        y = a.times(x @ weight) + bias
+        x = np.maximum(y, 0) if k + 1 == len(w.layers) else unit(np.maximum(y, 0))
+        tape.append((y, x))
+        score = score + mlp(x, w.scorer)
+    return score, tape
+
+
+def stream_backward(a: _Sparse, features: np.ndarray, w: Weights, tape: list, d: np.ndarray, grads: Weights) -> None:
+    down = None
+    for k in range(len(w.layers), -1, -1):
+        y, x = tape[k]
+        dx = _mlp_back(x, w.scorer, d, grads.scorer)
+        dx = dx if down is None else dx + down
+        dy = (dx if k and k == len(w.layers) else _unit_back(np.maximum(y, 0), dx)) * (y > 0)
+        if k:
+            weight, before = w.layers[k - 1][0], tape[k - 1][1]
+            back = a.times(dy, transposed=True)
+            grads.layers[k - 1][0][:] += before.T @ back
+            grads.layers[k - 1][1][:] += dy.sum(0)
+            down = back @ weight.T
+        else:
+            grads.embed[0][:] += features.T @ dy
+            grads.embed[1][:] += dy.sum(0)
+
+
+def loss_and_gradient(streams: list[tuple[_Sparse, np.ndarray]], w: Weights, s: np.ndarray, t: np.ndarray, y: np.ndarray) -> tuple[float, Weights]:
+    """Margin ranking loss of the product of both streams' scores over pairs, and its gradient."""
+    zero = lambda pairs_: [(np.zeros_like(p), np.zeros_like(q)) for p, q in pairs_]
+    grads = Weights(zero([w.embed])[0], zero(w.layers), [list(p) for p in zero(w.scorer)])
+    (a, tape_a), (b, tape_b) = (stream_forward(m, f, w) for m, f in streams)
+    score = a * b
+    margin = 1 - y * (score[s] - score[t])
+    on = margin > 0
+    d = np.zeros(len(score))
+    step = np.where(on, -y, 0.0) / max(len(y), 1)
+    np.add.at(d, s, step)
+    np.add.at(d, t, -step)
+    for (m, f), tape, other in zip(streams, (tape_a, tape_b), (b, a)):
+        stream_backward(m, f, w, tape, d * other, grads)
+    return float(np.where(on, margin, 0).mean()), grads
+
+
+def train(edges: DataFrame, truth: DataFrame, hops: int = 5, hidden: int = 12, layers: int = 2, epochs: int = 10, rate: float = 5e-3, per_vertex: int = 20, seed: int = 0) -> tuple[Weights, list[float]]:
+    """Weights fitted to rank vertices by truth(id, score) with Adam, and the loss of each epoch. The graph's size is
+    checked before it comes to the driver; larger graphs are ranked with weights from smaller ones."""
+    from .csr import collected
+
+    g = collected(edges)
+    kept = np.zeros(g.n, bool)
+    kept[np.searchsorted(g.ids, between(edges).toArrow().column(0).to_numpy())] = True
+    streams = [(m, m.masses(hops)) for m in (_Sparse(g.out_at, g.out_to, kept), _Sparse(g.in_at, g.in_to, kept))]
+    table = truth.toArrow()
+    score = np.zeros(g.n)
+    score[np.searchsorted(g.ids, table.column("id").to_numpy())] = table.column("score").to_numpy()
+    w, rng, losses = Weights.seeded(hops, hidden, layers, seed), np.random.default_rng(seed), []
+    flat = lambda x: [p for pair in (x.embed, *x.layers, *x.scorer) for p in pair]
+    first, second = [np.zeros_like(p) for p in flat(w)], [np.zeros_like(p) for p in flat(w)]
+    for step in range(1, epochs + 1):
+        s, t = rng.integers(g.n, size=per_vertex * g.n), rng.integers(g.n, size=per_vertex * g.n)
+        unlike = score[s] != score[t]
+        s, t = s[unlike], t[unlike]
+        loss, grads = loss_and_gradient(streams, w, s, t, np.sign(score[s] - score[t]))
+        losses.append(loss)
+        for p, d, m, v in zip(flat(w), flat(grads), first, second):
+            m += 0.1 * (d - m)
+            v += 0.001 * (d * d - v)
+            p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return w, losses

@@ -230,3 +230,41 @@ def test_generators(spark):
     near = generators.disk_neighbours(generators.disk_points(spark, 40), 3)
     assert near.groupBy("src").count().where("count != 3").count() == 0
     assert generators.partition_graph(spark, 40, 10, 1.0, 0.0).count() == 40 * 9
+
+
+def test_network_gradient_and_training(spark):
+    rng = np.random.default_rng(2)
+    rows = np.unique(rng.integers(0, 12, (40, 2)), axis=0)
+    rows = rows[rows[:, 0] != rows[:, 1]]
+    g = Csr(rows[:, 0], rows[:, 1])
+    kept = np.ones(g.n, bool)
+    streams = [(m, m.masses(3)) for m in (gnn._Sparse(g.out_at, g.out_to, kept), gnn._Sparse(g.in_at, g.in_to, kept))]
+    w = gnn.Weights.seeded(3, hidden=5)
+    s, t = rng.integers(g.n, size=60), rng.integers(g.n, size=60)
+    y = rng.choice([-1.0, 1.0], 60)
+    loss, grads = gnn.loss_and_gradient(streams, w, s, t, y)
+    for p, d in ((w.embed[0], grads.embed[0]), (w.layers[0][0], grads.layers[0][0]), (w.layers[1][1], grads.layers[1][1]), (w.scorer[0][0], grads.scorer[0][0]), (w.scorer[2][1], grads.scorer[2][1])):
+        at = np.unravel_index(np.abs(d).argmax(), d.shape)
+        p[at] += 1e-6
+        more = gnn.loss_and_gradient(streams, w, s, t, y)[0]
+        p[at] -= 1e-6
+        assert (more - loss) / 1e-6 == pytest.approx(d[at], rel=2e-3, abs=1e-6)
+    edges = generators.preferential(spark, 60, 2)
+    fitted, losses = gnn.train(edges, betweenness(edges), hops=3, epochs=60, rate=0.02)
+    assert losses[-1] < losses[0]
+    # The joins and the driver's kernels give the same scores.
+    small = spark.createDataFrame(list(map(tuple, rows.tolist())), "src long, dst long")
+    got = {r.id: r.score for r in gnn.rank_scores(small, w, 3).collect()}
+    keep = np.isin(g.ids, [r.id for r in graph.between(small).collect()])
+    own = [(m, m.masses(3)) for m in (gnn._Sparse(g.out_at, g.out_to, keep), gnn._Sparse(g.in_at, g.in_to, keep))]
+    want = gnn.stream_forward(*own[0], w)[0] * gnn.stream_forward(*own[1], w)[0]
+    assert got == {int(i): pytest.approx(v) for i, v in zip(g.ids, want)}
+
+
+def test_predicted_stop():
+    b = np.array([0.3, 0.1, 0.05, 0.01])
+    omega = bounds.worst_case_samples(6, 0.02, 0.1)
+    low, up = bounds.calibrated_deltas(b, *bounds.error_budgets(b, 0, 0.02), 100, 0.02, 0.1)
+    stop = bounds.predicted_stop(b, 0, 0.02, low, up, omega)
+    assert 1 < stop <= math.ceil(omega)
+    assert not bounds.finished(b, stop - 1, 0, 0.02, low, up, omega) and len(bounds.unfinished(b, stop - 1, 0, 0.02, low, up, omega))
