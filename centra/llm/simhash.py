@@ -1,7 +1,8 @@
 """SimHash near-duplicates by anchor-point covering.
 
 Fingerprints of 64 bits fall into PARTS groups of bits; two that differ in at most LINK bits differ in at most
-LINK // PARTS bits of some part. A part's values are covered by anchors: the words of the Hamming code of length 15 on
+LINK // PARTS bits of some part. Fewer parts copy a fingerprint to more anchors (44 with three parts, some hundreds with
+two) and leave fewer to compare at each: three suit some 1e8 distinct fingerprints, two more than that. A part's values are covered by anchors: the words of the Hamming code of length 15 on
 its first 15 bits, any value on the others, so every value has an anchor within 1 (its home). Each distinct fingerprint
 is copied to every anchor within 1 + LINK // PARTS of it, where it meets all fingerprints at home there that might link.
 An anchor yields its links, or where they are many a spanning forest of them; components join them.
@@ -69,12 +70,12 @@ def _syndromes(low: np.ndarray) -> np.ndarray:
     return out
 
 
-def visits(fps: np.ndarray, part: int, reach: int = LINK // PARTS) -> tuple[np.ndarray, np.ndarray]:
-    """For each fingerprint its home anchor in this part, then the anchors within 1 + reach as a matrix, -1 for none.
+def visits(fps: np.ndarray, part: int, parts: int = PARTS, link: int = LINK) -> tuple[np.ndarray, np.ndarray]:
+    """For each fingerprint its home anchor in this part, then the anchors within 1 + link // parts as a matrix, -1 for none.
 
-    Every such anchor is the home of a value within reach of the fingerprint's value, so these values' homes are listed.
+    Every such anchor is the home of a value within link // parts of the fingerprint's value, so these values' homes are listed.
     """
-    edges = np.linspace(0, 64, PARTS + 1).astype(int)
+    edges = np.linspace(0, 64, parts + 1).astype(int)
     first, width = int(edges[part]), int(edges[part + 1] - edges[part])
     value = (fps >> np.uint64(first) & np.uint64((1 << width) - 1)).astype(np.int64)
 
@@ -83,7 +84,7 @@ def visits(fps: np.ndarray, part: int, reach: int = LINK // PARTS) -> tuple[np.n
         return v ^ np.where(s > 0, 1 << np.maximum(s - 1, 0), 0)
 
     near = [np.zeros(1, np.int64)]
-    for _ in range(reach):
+    for _ in range(link // parts):
         near.append(np.unique((near[-1][:, None] ^ (1 << np.arange(width))).ravel()))
     flips = np.unique(np.concatenate(near))
     found = np.sort(home(value[:, None] ^ flips[None, :]), axis=1)
@@ -146,14 +147,14 @@ def links_at(anchor: np.ndarray, fp: np.ndarray, at_home: np.ndarray, link: int
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
-def links(distinct: DataFrame, link: int = LINK) -> DataFrame:
+def links(distinct: DataFrame, link: int = LINK, parts: int = PARTS) -> DataFrame:
     """(a, b) connecting all of distinct(fp) that differ in at most link bits, without listing dense groups' pairs."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy().view(np.uint64)
-            for part in range(PARTS):
-                home, found = visits(fps, part, link // PARTS)
+            for part in range(parts):
+                home, found = visits(fps, part, parts, link)
                 row, col = np.nonzero(found >= 0)
                 anchor = found[row, col]
                 yield pa.RecordBatch.from_arrays([pa.array(anchor | part << 32), pa.array(fps[row].view(np.int64)), pa.array(anchor == home[row])], names=["anchor", "fp", "home"])
@@ -185,11 +186,11 @@ def _edges(parts: list[list[np.ndarray]], link: int) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, link: int = LINK) -> DataFrame:
+def near_duplicates(docs: DataFrame, link: int = LINK, parts: int = PARTS) -> DataFrame:
     """(doc_id, fp, sign, component_id) of every row of docs(doc_id, text)."""
     marked = durable(fingerprints(docs), "simhash")
     groups = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(groups, link)).select(F.col("node").alias("fp"), "root")
+    roots = components(links(groups, link, parts)).select(F.col("node").alias("fp"), "root")
     rooted = groups.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")

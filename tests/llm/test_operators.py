@@ -189,7 +189,8 @@ def test_simhash_matches_brute_force(docs, odd):
         assert sorted(got, key=repr) == brute_components(rows)
 
 
-def test_simhash_links_planted_fingerprints(spark):
+@pytest.mark.parametrize("parts", [2, 3, 5])
+def test_simhash_links_planted_fingerprints(spark, parts):
     rng = random.Random(3)
     fps = {rng.getrandbits(64) for _ in range(300)}
     for x in list(fps):
@@ -200,7 +201,7 @@ def test_simhash_links_planted_fingerprints(spark):
             fps.add(y)
     fps = np.array(sorted(fps), np.uint64)
     table = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
-    got = {tuple(sorted((r.a & 2**64 - 1, r.b & 2**64 - 1))) for r in simhash.links(table).collect()}
+    got = {tuple(sorted((r.a & 2**64 - 1, r.b & 2**64 - 1))) for r in simhash.links(table, parts=parts).collect()}
     want = {(int(a), int(b)) for a, b in itertools.combinations(fps, 2) if np.bitwise_count(a ^ b) <= 4}
     assert got == want
 
