@@ -80,9 +80,15 @@ def _letters(texts: list[str]):
 
 
 def _chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts of about CHUNK_CHARS characters; nulls are empty."""
+    """Runs of texts of about CHUNK_CHARS characters, long texts by themselves; nulls are empty."""
     begin, size = 0, 0
     for i, t in enumerate(texts):
+        if len(t or "") > CHUNK_CHARS:
+            if i > begin:
+                yield begin, [x or "" for x in texts[begin:i]]
+            yield i, [t]
+            begin, size = i + 1, 0
+            continue
         size += len(t or "")
         if size >= CHUNK_CHARS or i + 1 == len(texts):
             yield begin, [x or "" for x in texts[begin : i + 1]]
@@ -154,20 +160,38 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     return path
 
 
-def _label(texts: list[str], model: Model) -> Iterator[tuple[str, float, list[dict]]]:
+def _word_scores(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words of all texts: scores, begins and ends in their text; and the texts' bounds in words."""
+    if len(texts) == 1 and len(texts[0]) > 2 * CHUNK_CHARS:  # piece by piece, cut where no word is
+        parts, at = [], 0
+        while at < len(texts[0]):
+            end = min(len(texts[0]), at + CHUNK_CHARS)
+            while end < min(len(texts[0]), at + 2 * CHUNK_CHARS) and texts[0][end].isalpha():
+                end += 1
+            score, begins, ends, _ = _word_scores([texts[0][at:end]], model)
+            parts.append((score, begins + at, ends + at))
+            at = end
+        score, begins, ends = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        return score, begins, ends, np.array([0, len(score)])
     at, kind, bucket, first = _letters(texts)
-    if not len(at) or not model.langs:
-        yield from ((UND, 0.0, []) for _ in texts)
-        return
+    if not len(at):
+        return np.zeros((0, len(model.langs)), np.float32), at, at, np.zeros(len(texts) + 1, np.int64)
     starts = np.flatnonzero(np.diff(at, prepend=-5) > 1)
     score = np.add.reduceat(model.logp[bucket], starts, axis=0)
     cands = model.candidates[kind[starts]]
-    some = cands.any(1, keepdims=True)
-    score = np.where(some, np.where(cands, score, -1e4), 0).astype(np.float32)
+    score = np.where(cands.any(1, keepdims=True), np.where(cands, score, -1e4), 0).astype(np.float32)
     begins, ends = at[starts], at[np.append(starts[1:], len(at)) - 1] + 1
     bounds = np.searchsorted(begins, first)
-    for i in range(len(texts)):
-        a, b = bounds[i], bounds[i + 1]
+    shift = np.repeat(first[:-1], np.diff(bounds))
+    return score, begins - shift, ends - shift, bounds
+
+
+def _label(texts: list[str], model: Model) -> Iterator[tuple[str, float, list[dict]]]:
+    if not model.langs:
+        yield from ((UND, 0.0, []) for _ in texts)
+        return
+    score, begins, ends, bounds = _word_scores(texts, model)
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         if a == b:
             yield UND, 0.0, []
             continue
@@ -181,7 +205,7 @@ def _label(texts: list[str], model: Model) -> Iterator[tuple[str, float, list[di
         sure = 1 / (1 + np.exp(-np.clip(total[lang] - other, -50, 50))) if share[lang] == 1 else 1.0
         turn = np.flatnonzero(np.diff(path, prepend=-1))
         last = np.append(turn[1:], b - a) - 1
-        spans = [{"start": int(begins[a + x] - first[i]), "end": int(ends[a + y] - first[i]), "lang": model.langs[path[x]]} for x, y in zip(turn, last)]
+        spans = [{"start": int(begins[a + x]), "end": int(ends[a + y]), "lang": model.langs[path[x]]} for x, y in zip(turn, last)]
         yield model.langs[lang], float(share[lang] * sure), spans
 
 

@@ -71,6 +71,15 @@ def test_language_held_out_accuracy_and_spans(spark, docs):
     assert {s.lang for s in row.spans} == {"en", "fr"} and all(0 <= s.start < s.end <= len(mixed) for s in row.spans)
 
 
+def test_long_texts_are_labelled_in_pieces(docs, monkeypatch):
+    model = language_id.fit_documents(docs)
+    text = "\n".join(r.text for r in docs.limit(20).collect())
+    whole = list(language_id._label([text], model))
+    monkeypatch.setattr(language_id, "CHUNK_CHARS", 700)
+    assert list(language_id._label([text], model)) == whole
+    assert [x for _, part in language_id._chunks([None, "a", text, "b" * 300, "c" * 500, "d"]) for x in part] == ["", "a", text, "b" * 300, "c" * 500, "d"]
+
+
 def test_language_odd_cases(odd, empty):
     model = language_id.fit_documents(odd)
     got = language_id.identify(odd, model).collect()
