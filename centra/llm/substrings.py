@@ -8,7 +8,8 @@
 3. The other classes' contexts, each once, are dealt into shards by class. A shard's suffix array is made by induced
    sorting; permuted common prefixes of WINDOW and more join equal windows, and all but the earliest are repeated.
    Classes of more than HOT_CONTEXTS contexts, which one task might not hold, are compared window by window instead:
-   each window's hash of 128 bits is aggregated to its earliest place and joined back, whatever the class.
+   a block sends the hash of 128 bits and the place of each window, the earliest of equal ones, and these are dealt
+   by their hash, whatever the class.
 4. Each block takes its repeated intervals out of its documents.
 
 Cases: a null text is empty; texts shorter than WINDOW keep all their bytes. Documents come in the order of doc_id, null
@@ -41,6 +42,8 @@ SLICE = 1 << 19
 PART_PICKS = 600_000
 SHARD_BYTES = 1 << 20
 HOT_CONTEXTS = 1 << 14
+#: Windows of hot classes that one group gets, on average.
+HOT_WINDOWS = 500_000
 LAST = np.iinfo(np.int64).max
 NONE = np.iinfo(np.uint64).max
 
@@ -89,7 +92,7 @@ def blocks(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         if ids:
             yield flush()
 
-    columns = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)))
+    columns = docs.select(F.col("doc_id").cast("long"), "text", *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)))
     return columns.mapInArrow(run, "block long, doc_ids array<long>, sizes array<long>, data binary, n_bytes long, rest binary")
 
 
@@ -254,67 +257,58 @@ def met(picked: DataFrame, parts: int, hot_contexts: int) -> DataFrame:
     return picked.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, schema)
 
 
-SHIPPED = ["shard", "block", "doc", "left", "size", "data"]
+SHIPPED = ["shard", "block", "doc", "left", "right", "size", "data"]
 
 
-def contexts(table: DataFrame, asked: DataFrame, shards: int) -> DataFrame:
-    """The contexts asked for, with their bytes: (shard, block, doc, left, size, data), a row for each block and shard."""
-    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
+def contexts(table: DataFrame, asked: DataFrame, shards: int, hot_shards: int) -> DataFrame:
+    """Rows (shard, block, doc, left, size, data) with the bytes of the contexts asked for; for hot classes, from shard
+    number shards on, rows (shard, block, doc, left, data) with windows and their hashes, the first of equal ones in the
+    block, and rows (shard, block, left, right) of the others."""
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
 
     def run(key, own: pa.Table, wanted: pa.Table) -> pa.Table:
         rows = []
         left = np.concatenate([np.zeros(0, np.int64), *(_unzip(x, "<u4").astype(np.int64) for x in wanted.column("at").to_pylist())])
         size = np.frombuffer(b"".join(wanted.column("size").to_pylist()), np.uint8).astype(np.int64)
         h = np.frombuffer(b"".join(wanted.column("h").to_pylist()), np.uint64)
+        hot = np.repeat(np.array(wanted.column("hot").to_pylist()) > 0, [len(x) for x in wanted.column("size").to_pylist()])
         for block, ids, sizes, packed in zip(*(own.column(c).to_pylist() for c in ("block", "doc_ids", "sizes", "data"))):
             if not len(left):
                 continue
-            data = zstandard.ZstdDecompressor().decompress(packed)
-            doc = _doc_keys(ids)[np.searchsorted(np.cumsum(sizes), left, "right")]
+            data, ends, keys = zstandard.ZstdDecompressor().decompress(packed), np.cumsum(sizes), _doc_keys(ids)
+            doc = keys[np.searchsorted(ends, left, "right")]
             shard = (h >> np.uint64(7)) % np.uint64(shards)
             order = np.lexsort((h, shard))
-            bounds = np.searchsorted(shard[order], np.arange(shards + 1))
-            for s in np.flatnonzero(np.diff(bounds)).tolist():
-                of = order[bounds[s] : bounds[s + 1]]
+            order = order[~hot[order]]
+            for s, of in _dealt(shard, order, shards):
                 text = zstandard.ZstdCompressor(level=3).compress(b"".join(data[a : a + n] for a, n in zip(left[of].tolist(), size[of].tolist())))
-                rows.append((s, block, _zip(doc[of]), _zip(left[of]), size[of].astype(np.uint8).tobytes(), text))
+                rows.append((s, block, _zip(doc[of]), _zip(left[of]), None, size[of].astype(np.uint8).tobytes(), text))
+            if hot.any():
+                n = size[hot] - WINDOW + 1
+                at = np.repeat(left[hot] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                sums = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[a : a + WINDOW]) for a in at.tolist()), np.uint64).reshape(-1, 2)
+                order = np.lexsort((at, sums[:, 1], sums[:, 0]))
+                at, sums = at[order], sums[order]
+                first = np.append(True, (sums[1:] != sums[:-1]).any(1))
+                lo, hi = _merged(at[~first], at[~first] + WINDOW)
+                rows.append((block % shards, block, None, _zip(lo), _zip(hi), None, None))
+                shard = sums[:, 0] % np.uint64(hot_shards)
+                order = np.flatnonzero(first)[np.argsort(shard[first], kind="stable")]
+                for s, of in _dealt(shard, order, hot_shards):
+                    rows.append((shards + s, block, _zip(keys[np.searchsorted(ends, at[of], "right")]), _zip(at[of]), None, None, sums[of].tobytes()))
         return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=SHIPPED)
 
-    schema = "shard int, block long, doc binary, left binary, size binary, data binary"
-    wanted = asked.where("n > 0").select(F.col("block").alias("of"), "at", "size", "h")
+    schema = "shard int, block long, doc binary, left binary, right binary, size binary, data binary"
+    wanted = asked.where("n > 0 or hot > 0").select(F.col("block").alias("of"), "at", "size", "h", "hot")
     own = table.join(wanted.select(F.col("of").alias("block")).distinct(), "block", "left_semi").select("block", "doc_ids", "sizes", "data")
     return own.groupBy("block").cogroup(wanted.groupBy("of")).applyInArrow(run, schema)
 
 
-def hot_windows(table: DataFrame, asked: DataFrame) -> DataFrame:
-    """(block, left, right) of the repeated windows of hot classes, each found by the hash of its bytes."""
-
-    def run(key, own: pa.Table, wanted: pa.Table) -> pa.Table:
-        left = np.concatenate([np.zeros(0, np.int64), *(_unzip(x, "<u4").astype(np.int64) for x in wanted.column("at").to_pylist())])
-        size = np.frombuffer(b"".join(wanted.column("size").to_pylist()), np.uint8).astype(np.int64)
-        n = size - WINDOW + 1
-        at = np.repeat(left - np.cumsum(n) + n, n) + np.arange(n.sum())
-        out = []
-        for block, ids, sizes, packed in zip(*(own.column(c).to_pylist() for c in ("block", "doc_ids", "sizes", "data"))):
-            data = zstandard.ZstdDecompressor().decompress(packed)
-            sums = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[a : a + WINDOW]) for a in at.tolist()), np.int64).reshape(-1, 2)
-            doc = _doc_keys(ids)[np.searchsorted(np.cumsum(sizes), at, "right")]
-            out.append(pa.table([sums[:, 0].copy(), sums[:, 1].copy(), doc, np.full(len(at), block), at], names=["a", "b", "doc", "block", "start"]))
-        return pa.concat_tables(out)
-
-    def pack(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        start = rows.column("start").to_numpy()
-        lo, hi = _merged(start, start + WINDOW)
-        return pa.table([pa.array([x], k) for x, k in ((key[0].as_py(), pa.int64()), (_zip(lo), pa.binary()), (_zip(hi), pa.binary()))], names=["block", "left", "right"])
-
-    wanted = asked.where("hot > 0").select(F.col("block").alias("of"), "at", "size")
-    own = table.join(wanted.select(F.col("of").alias("block")).distinct(), "block", "left_semi").select("block", "doc_ids", "sizes", "data")
-    found = own.groupBy("block").cogroup(wanted.groupBy("of")).applyInArrow(run, "a long, b long, doc long, block long, start long")
-    found = durable(found, "substring-windows")
-    place = F.struct("doc", "block", "start")
-    least = found.groupBy("a", "b").agg(F.min(place).alias("first"))
-    later = found.join(least, ["a", "b"]).where(place > F.col("first")).select("block", "start")
-    return later.groupBy("block").applyInArrow(pack, CUTS)
+def _dealt(shard: np.ndarray, order: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Numbers of shards that have some of order, which is sorted by shard, and what they have."""
+    bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+    for s in np.flatnonzero(np.diff(bounds)).tolist():
+        yield s, order[bounds[s] : bounds[s + 1]]
 
 
 def repeated(text: list[bytes], doc: np.ndarray, block: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -348,25 +342,37 @@ def repeated(text: list[bytes], doc: np.ndarray, block: np.ndarray, left: np.nda
 
 
 def sorted_shards(shipped: DataFrame) -> DataFrame:
-    """(block, left, right) of the intervals that the shards' suffix arrays find repeated."""
+    """(block, left, right) of the intervals that the shards find repeated, or that blocks have found."""
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        text, doc, left, block = [], [], [], []
-        for at, d, of, size, data in zip(*(rows.column(c).to_pylist() for c in ("block", "doc", "left", "size", "data"))):
+        text, doc, left, block, sums, out = [], [], [], [], [], []
+        for at, d, of, right, size, data in zip(*(rows.column(c).to_pylist() for c in SHIPPED[1:])):
+            if d is None:
+                out.append((at, of, right))
+                continue
+            doc.append(_unzip(d, np.int64)), left.append(_unzip(of, np.int64)), block.append(np.full(len(doc[-1]), at))
+            if size is None:
+                sums.append(np.frombuffer(data, np.uint64).reshape(-1, 2))
+                continue
             ends = np.cumsum(np.frombuffer(size, np.uint8), dtype=np.int64)
             raw = zstandard.ZstdDecompressor().decompress(data)
             text += [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
-            doc.append(_unzip(d, np.int64)), left.append(_unzip(of, np.int64)), block.append(np.full(len(ends), at))
-        doc, left, block = map(np.concatenate, (doc, left, block))
-        own, offset = repeated(text, doc, block, left)
-        start, at = left[own] + offset, block[own]
-        order = np.argsort(at, kind="stable")
-        start, at = start[order], at[order]
-        out = []
-        for b in np.unique(at):
-            a, z = np.searchsorted(at, [b, b + 1])
-            lo, hi = _merged(start[a:z], start[a:z] + WINDOW)
-            out.append((int(b), _zip(lo), _zip(hi)))
+        if doc:
+            doc, left, block = map(np.concatenate, (doc, left, block))
+            if sums:
+                sums = np.concatenate(sums)
+                order = np.lexsort((left, block, doc, sums[:, 1], sums[:, 0]))
+                later = order[1:][(sums[order[1:]] == sums[order[:-1]]).all(1)]
+                start, at = left[later], block[later]
+            else:
+                own, offset = repeated(text, doc, block, left)
+                start, at = left[own] + offset, block[own]
+            order = np.argsort(at, kind="stable")
+            start, at = start[order], at[order]
+            for b in np.unique(at):
+                a, z = np.searchsorted(at, [b, b + 1])
+                lo, hi = _merged(start[a:z], start[a:z] + WINDOW)
+                out.append((int(b), _zip(lo), _zip(hi)))
         return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["block", "left", "right"])
 
     return shipped.groupBy("shard").applyInArrow(run, CUTS)
@@ -413,9 +419,9 @@ def find(docs: DataFrame, carry: tuple[str, ...] = (), hot_contexts: int = HOT_C
     classes = durable(met(shared(table, parts), parts, hot_contexts), "substring-classes")
     asked, hot = classes.agg(F.sum("n"), F.sum("hot")).first()
     shards = (asked or 0) * (WINDOW + REACH // 2) // SHARD_BYTES + 1
-    cuts = classes.where("left is not null").select("block", "left", "right").unionByName(sorted_shards(contexts(table, classes, shards)))
-    if hot:
-        cuts = cuts.unionByName(hot_windows(table, classes))
+    hot_shards = (hot or 0) * (REACH // 2) // HOT_WINDOWS + 1
+    later = sorted_shards(contexts(table, classes, shards, hot_shards))
+    cuts = classes.where("left is not null").select("block", "left", "right").unionByName(later)
     return table, cuts.withColumnRenamed("block", "of")
 
 
