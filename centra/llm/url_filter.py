@@ -82,6 +82,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     value = propagate(seeds, edges(pages))
     of = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("value"))), F.lit(0.0))
     blocked = value.groupBy("host").agg(of("t").alias("trust"), of("d").alias("distrust")).where("distrust > trust").select(F.col("host").alias("bad"))
+    blocked = checkpointed(blocked)  # so that Spark can broadcast it if it is small, and split a host's pages if not
     met = table.join(blocked, F.col("host") == F.col("bad"), "left")
     verdict = F.coalesce("ruling", F.when(F.col("bad").isNotNull(), "block").otherwise("allow"))
     return met.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
