@@ -160,7 +160,7 @@ def blocks(docs: DataFrame, pattern: str = PATTERN) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "block long, doc_ids array<long>, sizes array<int>, seq binary, words binary, n_words long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "block long, doc_ids array<long>, sizes array<int>, seq binary, words binary, n_words long")
 
 
 def asks(table: DataFrame, parts: int) -> DataFrame:
@@ -188,22 +188,24 @@ def answers(asked: DataFrame, parts: int, path: str = RANKS) -> DataFrame:
     """(of, at, sizes, ids) for each row of asked; each distinct word of a part is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, known = _word_encoder(path), {}
+        encode, known, now = _word_encoder(path), {}, None
 
-        def ids_of(word: bytes) -> np.ndarray:
+        def ids_of(word: bytes) -> bytes:
             if (found := known.get(word)) is None:
                 found = known[word] = np.array(encode(word.decode()), "<u4").tobytes()
             return found
 
         for batch in batches:
             of, at, words = (batch.column(i) for i in (1, 2, 3))
-            for i in range(batch.num_rows):
+            for i, part in enumerate(batch.column(0).to_pylist()):
+                if part != now:
+                    known, now = {}, part
                 got = [ids_of(w) for w in _unpack_words(words[i].as_py())]
                 sizes = _pack(np.array([len(x) >> 2 for x in got]))
                 ids = _pack(np.frombuffer(b"".join(got), "<u4"))
                 yield pa.RecordBatch.from_arrays([of.slice(i, 1), at.slice(i, 1), pa.array([sizes], pa.binary()), pa.array([ids], pa.binary())], names=["of", "at", "sizes", "ids"])
 
-    return asked.repartition(parts, "part").mapInArrow(run, "of long, at binary, sizes binary, ids binary")
+    return asked.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "of long, at binary, sizes binary, ids binary")
 
 
 def _assembled(docs: DataFrame, emit, fields: list[tuple[str, str, pa.DataType]], pattern: str, path: str) -> DataFrame:
