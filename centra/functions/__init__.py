@@ -1,0 +1 @@
+"""Bounds, rank metrics, numbering and storage."""

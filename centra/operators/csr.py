@@ -49,7 +49,7 @@ class Csr:
         """Distances, numbers of shortest paths, levels, and the shortest-path edges into each level after the first."""
         dist, sigma = np.full(self.n, -1), np.zeros(self.n)
         dist[source], sigma[source] = 0, 1.0
-        levels, links, depth = [np.array([source])], [], 0
+        levels, links, depth, last = [np.array([source])], [], 0, np.empty(self.n, np.int64)
         while True:
             a, b = self.expand(self.out_at, self.out_to, levels[-1])
             new = dist[b] < 0
@@ -57,8 +57,10 @@ class Csr:
             if not len(b):
                 return dist, sigma, levels, links
             depth += 1
-            sigma += np.bincount(b, sigma[a], self.n)
-            ends = np.unique(b)
+            np.add.at(sigma, b, sigma[a])
+            place = np.arange(len(b))
+            last[b] = place
+            ends = b[last[b] == place]  # each end once
             dist[ends] = depth
             levels.append(ends), links.append((a, b))
 
@@ -67,7 +69,7 @@ class Csr:
         _, sigma, _, links = self.paths(source)
         dep = np.zeros(self.n)
         for a, b in reversed(links):
-            dep += np.bincount(a, sigma[a] * (1 + dep[b]) / sigma[b], self.n)
+            np.add.at(dep, a, sigma[a] * (1 + dep[b]) / sigma[b])
         dep[source] = 0
         if endpoints:
             reached = sigma > 0

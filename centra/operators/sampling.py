@@ -26,7 +26,18 @@ def _pair(g: Csr, rng: np.random.Generator) -> tuple[int, int]:
     return s, (s + 1 + int(rng.integers(g.n - 1))) % g.n
 
 
-def sample_path(g: Csr, s: int, t: int, rng: np.random.Generator, endpoints: bool = False) -> list[int]:
+class Workspace:
+    """Arrays over all vertices that samples share; a sample clears what it has touched."""
+
+    def __init__(self, n: int):
+        self.dist, self.sigma = [np.full(n, -1) for _ in range(2)], [np.zeros(n) for _ in range(2)]
+
+    def clear(self, side: int, touched: list[np.ndarray]) -> None:
+        for v in touched:
+            self.dist[side][v] = -1
+
+
+def sample_path(g: Csr, s: int, t: int, rng: np.random.Generator, endpoints: bool = False, work: Workspace | None = None) -> list[int]:
     """The vertices of a shortest path s -> t drawn uniformly from all; none if t is s or out of reach.
 
     Two balls grow, the one whose border has fewer edges next, until an edge joins them; every such edge of that level
@@ -34,56 +45,66 @@ def sample_path(g: Csr, s: int, t: int, rng: np.random.Generator, endpoints: boo
     """
     if s == t:
         return []
+    work = work or Workspace(g.n)
+    dist, sigma = work.dist, work.sigma
     sides = [(g.out_at, g.out_to), (g.in_at, g.in_to)]
-    dist, sigma = [np.full(g.n, -1), np.full(g.n, -1)], [np.zeros(g.n), np.zeros(g.n)]
     border, links = [np.array([s]), np.array([t])], [[], []]
+    touched = [[border[0]], [border[1]]]
     for k, v in ((0, s), (1, t)):
         dist[k][v], sigma[k][v] = 0, 1.0
+    edges = [int(at[v + 1] - at[v]) for (at, _), v in zip(sides, (s, t))]
+    path: list[int] = []
     while True:
-        work = [int((at[b + 1] - at[b]).sum()) for (at, _), b in zip(sides, border)]
-        k = 0 if work[0] <= work[1] else 1
+        k = 0 if edges[0] <= edges[1] else 1
         a, b = g.expand(*sides[k], border[k])
         meets = dist[1 - k][b] >= 0
         if meets.any():
             a, b = a[meets], b[meets]
             weight = np.cumsum(sigma[k][a] * sigma[1 - k][b])
             at = min(int(np.searchsorted(weight, rng.random() * weight[-1], "right")), len(a) - 1)
-            path = []
             for side, v in ((k, int(a[at])), (1 - k, int(b[at]))):
                 for x, y in reversed(links[side]):
                     path.append(v)
                     own = x[y == v]
                     w = np.cumsum(sigma[side][own])
                     v = int(own[min(int(np.searchsorted(w, rng.random() * w[-1], "right")), len(own) - 1)])
-            return [*path, s, t] if endpoints else path
+            if endpoints:
+                path += [s, t]
+            break
         new = dist[k][b] < 0
         a, b = a[new], b[new]
         if not len(b):
-            return []
-        sigma[k] += np.bincount(b, sigma[k][a], g.n)
-        border[k] = np.unique(b)
-        dist[k][border[k]] = dist[k][a[0]] + 1
-        links[k].append((a, b))
+            break
+        ends, of = np.unique(b, return_inverse=True)
+        sigma[k][ends] = np.bincount(of, sigma[k][a])
+        dist[k][ends] = dist[k][a[0]] + 1
+        border[k] = ends
+        touched[k].append(ends), links[k].append((a, b))
+        at, _ = sides[k]
+        edges[k] = int((at[ends + 1] - at[ends]).sum())
+    for k in (0, 1):
+        work.clear(k, touched[k])
+    return path
 
 
 def path_counts(g: Csr, seed: int, phase: int, first: int, last: int, endpoints: bool = False) -> np.ndarray:
-    counts = np.zeros(g.n)
+    counts, work = np.zeros(g.n), Workspace(g.n)
     for i in range(first, last):
         rng = np.random.default_rng((seed, phase, i))
-        counts[sample_path(g, *_pair(g, rng), rng, endpoints)] += 1
+        counts[sample_path(g, *_pair(g, rng), rng, endpoints, work)] += 1
     return counts
 
 
 def rk_counts(g: Csr, seed: int, phase: int, first: int, last: int) -> np.ndarray:
     """One path between vertices that are no neighbours."""
-    counts = np.zeros(g.n)
+    counts, work = np.zeros(g.n), Workspace(g.n)
     for i in range(first, last):
         rng = np.random.default_rng((seed, phase, i))
         while True:
             s, t = _pair(g, rng)
             if t not in g.out_to[g.out_at[s] : g.out_at[s + 1]]:
                 break
-        counts[sample_path(g, s, t, rng)] += 1
+        counts[sample_path(g, s, t, rng, work=work)] += 1
     return counts
 
 

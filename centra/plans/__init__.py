@@ -1,0 +1 @@
+"""Run-log analytics and the registered queries."""

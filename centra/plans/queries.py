@@ -190,6 +190,12 @@ query("up", _N, "source_estimator")(lambda e: _facts(e, sampling.fixed(e, "bp",
 query("up", _N, "progressive_sampling")(lambda e: _facts(e, sampling.progressive(e, 0.1)[0], 0.1))
 query("up", " select true as found", "top_k_sampling")(
     lambda e: sampling.top_k(e, 3, 0.05).join(_normalised(e).orderBy(F.col("score").desc(), "id").limit(1).select("id"), "id").agg((F.count("*") == 1).alias("found")))
+@query(None)
+def supplier_top_k(spark, sf_dir):
+    """The ten largest of the whole supplier graph, estimated; exact scores are out of reach of SQL there."""
+    return sampling.top_k(tables.supplier_part(spark, sf_dir, 0), 10, 0.01, directed=False)
+
+
 query("up", None, "graph_network")(lambda e: rounded(gnn.rank_scores(e, gnn.Weights.seeded(3), hops=3)))
 
 # --- run logs: orders as runs, priorities as graphs, statuses as arms

@@ -1,0 +1 @@
+"""Reading and writing, and graphs derived from tables."""
