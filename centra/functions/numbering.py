@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 from .storage import checkpointed
 
 
+def running_total(rows: DataFrame, order: list[Column], value: str, name: str = "total") -> DataFrame:
+    """rows with the sum of value (whole numbers) over all rows up to each one in order, itself included."""
+    ranged = checkpointed(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    first, total = {}, 0
+    for part, n in sorted((r["__part"], r["n"]) for r in ranged.groupBy("__part").agg(F.sum(value).cast("long").alias("n")).collect()):
+        first[part], total = total, total + (n or 0)
+    offset = F.create_map(*[x for item in (first or {-1: 0}).items() for x in map(F.lit, item)])
+    own = F.sum(value).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn(name, (own + offset[F.col("__part")]).cast("long")).drop("__part")
+
+
 def numbered(rows: DataFrame, order: list[Column], name: str = "n") -> DataFrame:
     """rows with the place of each row in order, from 0. Ranges are sorted apart; their sizes, one for each partition,
     are all that reaches the driver. Rows must differ in order for a repeatable result."""

@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .numbering import numbered
+from .numbering import numbered, running_total
+from .storage import checkpointed
 
 
 def paired(truth: DataFrame, pred: DataFrame) -> DataFrame:
@@ -52,32 +53,40 @@ def kendall(pairs: DataFrame) -> DataFrame:
 
 
 def discordant(pairs: DataFrame, bits: int = 12) -> int:
-    """Pairs with truth and prediction in opposite order."""
-    rank = numbered(numbered(pairs.select("id", "truth", "pred"), [F.col("pred"), F.col("id")], "p"), [F.col("truth"), F.col("pred"), F.col("id")], "t")
-    # Equal predictions share the rank of the first of them, so that ties are not inversions.
-    low = rank.groupBy("pred").agg(F.min("p").alias("q"))
-    placed = rank.join(low, "pred").select("t", "q")
-    size = 1 << bits
-    cell = placed.withColumn("a", F.floor(F.col("t") / size)).withColumn("b", F.floor(F.col("q") / size))
+    """Pairs with truth and prediction in strictly opposite order.
+
+    Each row has a place t by truth and p by prediction, ties broken by the other one, so that tied pairs are in order.
+    Pairs within 2^bits places of either are counted by merging in one task for each range; all others from the counts
+    of cells, level by level of the bits in which their ranges differ first, with distributed running totals.
+    """
+    rank = numbered(pairs.select("id", "truth", "pred"), [F.col("pred"), F.col("truth"), F.col("id")], "p")
+    rank = numbered(rank, [F.col("truth"), F.col("pred"), F.col("id")], "t")
+    cell = checkpointed(rank.select("t", "p", F.shiftright("t", bits).alias("a"), F.shiftright("p", bits).alias("b")))
 
     def within(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         order = np.argsort(rows.column("t").to_numpy())
-        return pa.table([[inversions(rows.column("q").to_numpy()[order])]], names=["inv"])
-
-    own = cell.select("a", "t", "q").groupBy("a").applyInArrow(within, "inv long").agg(F.sum("inv")).first()[0] or 0
-    # Between ranges: counts by cell, and for each the larger predictions of earlier ranges; equal cells are resolved apart.
-    grid = cell.groupBy("a", "b").agg(F.count("*").alias("c")).cache()
-    later = grid.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("c").alias("c2"))
-    across = grid.join(later, (F.col("a") < F.col("a2")) & (F.col("b") > F.col("b2"))).agg(F.sum(F.col("c") * F.col("c2"))).first()[0] or 0
+        return pa.table([[inversions(rows.column("p").to_numpy()[order])]], names=["inv"])
 
     def same_column(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         order = np.argsort(rows.column("t").to_numpy())
-        q, a = rows.column("q").to_numpy()[order], rows.column("a").to_numpy()[order]
-        inside = sum(inversions(q[a == x]) for x in np.unique(a))
-        return pa.table([[inversions(q) - inside]], names=["inv"])
-
-    column = cell.groupBy("b").applyInArrow(same_column, "inv long").agg(F.sum("inv")).first()[0] or 0
-    return int(own + across + column)
+        p, a = rows.column("p").to_numpy()[order], rows.column("a").to_numpy()[order]
+        ends = np.append(np.flatnonzero(np.diff(a)) + 1, len(a))
+        inside = sum(inversions(p[x:y]) for x, y in zip(np.append(0, ends[:-1]), ends))
+        return pa.table([[inversions(p) - inside]], names=["inv"])
+
+    total = 0
+    for key, count in (("a", within), ("b", same_column)):
+        total += cell.groupBy(key).applyInArrow(count, "inv long").agg(F.sum("inv")).first()[0] or 0
+    grid = checkpointed(cell.groupBy("a", "b").agg(F.count("*").alias("c")))
+    for level in range(int(grid.agg(F.max("a")).first()[0] or 0).bit_length()):
+        side = F.shiftright("a", level).bitwiseAND(F.lit(1))
+        halves = grid.select(F.shiftright("a", level + 1).alias("g"), side.alias("right"), "b", "c").withColumn("left", F.when(F.col("right") == 0, F.col("c")).otherwise(0))
+        summed = halves.groupBy("g", "b", "right").agg(F.sum("c").alias("c"), F.sum("left").alias("left"))
+        upto = running_total(summed, [F.col("g"), F.col("b"), F.col("right")], "left", "upto")
+        ends = upto.groupBy("g").agg(F.max("upto").alias("all"))
+        after = upto.where("right = 1").join(ends, "g").agg(F.sum(F.col("c") * (F.col("all") - F.col("upto")))).first()[0]
+        total += after or 0
+    return int(total)
 
 
 def ranks(pairs: DataFrame) -> DataFrame:
