@@ -117,9 +117,15 @@ def as_features(table: DataFrame) -> DataFrame:
     return table.select("id", F.array(*(F.col(c).cast("double") for c in table.columns if c != "id")).alias("x"))
 
 
-def rank_scores(edges: DataFrame, weights: Weights, hops: int = 6, use_pagerank: bool = False, fusion: str = "mul") -> DataFrame:
-    """(id, score): both streams share the weights; rows of masked vertices are cut from A and, after transposing, from
-    A' as well."""
+def rank_scores(
+    edges: DataFrame, weights: Weights, hops: int = 6, use_pagerank: bool = False, fusion: str = "mul",
+    back_scorer: list[tuple[np.ndarray, np.ndarray]] | None = None, head: list[tuple[np.ndarray, np.ndarray]] | None = None,
+) -> DataFrame:
+    """(id, score): both streams share the weights, or have scorers of their own if back_scorer is given; rows of masked
+    vertices are cut from A and, after transposing, from A' as well.
+
+    fusion: mul or add; cat_mlp, a layer over both scores and one over that, given as head; back, the second stream.
+    """
     kept = checkpointed(between(edges))
     ids = vertices(edges)
     forth, back = checkpointed(keep_rows(edges, kept)), checkpointed(keep_rows(transpose(edges), kept))
@@ -129,10 +135,19 @@ def rank_scores(edges: DataFrame, weights: Weights, hops: int = 6, use_pagerank:
         masses = ids.join(degree_masses(e, hops), "id", "left").fillna(0.0)
         return as_features(masses if pr is None else masses.join(pr, "id"))
 
-    a = stream(forth, features(forth), weights)
-    b = stream(back, features(back), weights).withColumnRenamed("score", "other")
-    both = {"mul": F.col("score") * F.col("other"), "add": F.col("score") + F.col("other")}
-    return a.join(b, "id").select("id", both[fusion].alias("score"))
+    b = stream(back, features(back), Weights(weights.embed, weights.layers, back_scorer or weights.scorer))
+    if fusion == "back":
+        return b
+    both = stream(forth, features(forth), weights).join(b.withColumnRenamed("score", "other"), "id")
+    x, y = F.col("score"), F.col("other")
+    if fusion == "cat_mlp":
+        (w, c), (v, d) = head
+        fused = F.lit(float(d[0]))
+        for j in range(w.shape[1]):
+            fused = fused + float(v[j, 0]) * F.greatest(F.lit(0.0), x * float(w[0, j]) + y * float(w[1, j]) + float(c[j]))
+    else:
+        fused = {"mul": x * y, "add": x + y}[fusion]
+    return both.select("id", fused.alias("score"))
 
 
 def pairs(truth: DataFrame, per_vertex: int = 20, seed: int = 0) -> DataFrame:

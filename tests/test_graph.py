@@ -209,6 +209,12 @@ def test_network_is_equivariant(spark):
     a = {r.id: r.score for r in gnn.rank_scores(e, w, 2).collect()}
     b = {r.id: r.score for r in gnn.rank_scores(e.select((F.col("src") * 7).alias("src"), (F.col("dst") * 7).alias("dst")), w, 2).collect()}
     assert {k * 7: pytest.approx(v) for k, v in a.items()} == b
+    add, back = ({r.id: r.score for r in gnn.rank_scores(e, w, 2, fusion=f).collect()} for f in ("add", "back"))
+    head = [(np.array([[1.0, 0.5], [2.0, -1.0]]), np.array([0.1, 0.2])), (np.array([[1.0], [3.0]]), np.array([0.3]))]
+    cat = {r.id: r.score for r in gnn.rank_scores(e, w, 2, fusion="cat_mlp", head=head).collect()}
+    for i, both in add.items():
+        z = np.array([both - back[i], back[i]])
+        assert cat[i] == pytest.approx((np.maximum(z @ head[0][0] + head[0][1], 0) @ head[1][0] + head[1][1])[0]) and a[i] == pytest.approx(z[0] * z[1])
     truth = spark.createDataFrame([(i, float(i % 3)) for i in range(20)], "id long, score double")
     y = gnn.pairs(truth, 5).collect()
     assert y and all(r.y == np.sign(r.s % 3 - r.t % 3) != 0 for r in y)
