@@ -5,8 +5,9 @@
 2. Tokens form CLASSES classes of about equal count, in the order of their reversed spelling, so that words with one
    ending share a class. P(token | context) = P(class | context) P(token | class); the latter are corpus shares.
 3. The network reads SIDE tokens on either side (embeddings, a hidden layer, a softmax over classes). It is trained by
-   rounds of parameter averaging: each task starts from the last average and descends on every STRIDE-th token of all
-   its documents, the place of the first one moving on with each round.
+   rounds of parameter averaging: each task starts from the last average and descends on the tokens of its documents.
+   Documents are dealt over the rounds by a hash of their text, so each is read in one of them, and gives tokens evenly
+   spaced, so that one in STRIDE of all is used for each round.
 4. A document's score is the mean conditional log-probability of its tokens; their sum is its pseudo-log-likelihood.
 
 Cases: null and empty texts and those without words have no tokens, sum 0 and a null mean. An empty table gives an empty
@@ -163,16 +164,17 @@ def train(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS, stride: int
     sizes = [a.size for a in p]
 
     for number in range(rounds):
-        sent = spark.sparkContext.broadcast((words, p, number))
+        sent = spark.sparkContext.broadcast((words, p))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            vocab, begun, number = sent.value
+            vocab, begun = sent.value
+            step = max(1, stride // rounds)
             own, seen = [a.copy() for a in begun], 0
             held, targets, waiting = [], [], 0
             for ids, bounds in _runs(batches, 0, vocab):
-                at = np.arange(number * stride // rounds, len(ids), stride)
+                at = np.arange(0, len(ids), step)
                 held.append(windows(ids, bounds, vocab.size)[at])
                 targets.append(vocab.cls[ids[at]])
                 waiting += len(at)
@@ -191,7 +193,8 @@ def train(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS, stride: int
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 64]), pa.array([seen]), pa.array([flat.tobytes()], pa.binary())], names=["part", "seen", "flat"])
 
         schema = "part long, seen long, flat binary"
-        tasks = docs.select("text").mapInArrow(run, schema)
+        own = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == number)
+        tasks = own.mapInArrow(run, schema)
         summed = checkpointed(_grouped_sum(tasks, schema))  # 64 rows at most
         rows = summed.collect()
         if rows:
