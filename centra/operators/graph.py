@@ -134,7 +134,7 @@ def scale(n: int, mode: str = "graphs", directed: bool = True) -> float:
         return n * (n - 1) / ((n - 1) * (n - 2)) if n > 2 else 0.0
     if mode == "none":
         return n * (n - 1) / (1 if directed else 2)
-    if mode == "kadabra":
+    if mode == "pairs":
         return 1.0
     raise ValueError(f"unknown normalisation {mode!r}")
 

@@ -102,14 +102,14 @@ def parse_total_time(lines: DataFrame) -> DataFrame:
 RUN_SCHEMA = (
     "parameters struct<input_file:string,algorithm:string,version:string,threads:int,k:int,topk_variant:string,seed:long,delta:double,epsilon:double,"
     "directed:boolean,parallel:boolean,stop_in_batch:boolean,consistent_pairs:boolean,check_interval_requested:int,check_interval_effective:int>,"
-    "execution_time_seconds double, io_time_seconds double, num_samples long, phase2_pairs long, n_checks long, kadabra_omega double, kadabra_tau long,"
+    "execution_time_seconds double, io_time_seconds double, num_samples long, phase2_pairs long, n_checks long,"
     "samples_over_omega double, tau_overall double, tau_topk double, overlap_topk long, max_ae double, mae double, ndcg_topk double, centralities map<string,double>"
 )
 
 #: Keys that file names carry, by the kind of run: fixed formats.
 RUN_NAMES = {
     "tight": (r"tight_(cpp|julia)_(.+)\.json$", ["impl", "graph"]),
-    "method": (r"bvk_(kadabra|brava_cpu|brava_gpu)_(.+)\.json$", ["method", "graph"]),
+    "method": (r"bvk_([a-z]+(?:_[cg]pu)?)_(.+)\.json$", ["method", "graph"]),
     "threads": (r"(julia|cpp)_(.+)_t(\d+)_s(\d+)\.json$", ["impl", "graph", "threads", "seed"]),
     "variant": (r"kx_(.+)_k(\d+)_([a-z_]+)_s(\d+)\.json$", ["graph", "k", "variant", "seed"]),
     "reference": (r"kxc_(.+)_k(\d+)_s(\d+)\.json$", ["graph", "k", "seed"]),
@@ -117,9 +117,10 @@ RUN_NAMES = {
 }
 
 
-def read_runs(spark: SparkSession, path: str, kind: str | None = None, lines: bool = False) -> DataFrame:
-    """Runs from JSON files, one object a file or a line, with the keys of the file names of one kind."""
-    runs = spark.read.schema(RUN_SCHEMA).json(path, multiLine=not lines).withColumn("file", F.input_file_name())
+def read_runs(spark: SparkSession, path: str, kind: str | None = None, lines: bool = False, more: str = "") -> DataFrame:
+    """Runs from JSON files, one object a file or a line, with the keys of the file names of one kind. more names
+    further fields with their types, such as an estimator's own figures."""
+    runs = spark.read.schema(f"{RUN_SCHEMA}, {more}" if more else RUN_SCHEMA).json(path, multiLine=not lines).withColumn("file", F.input_file_name())
     if kind is None:
         return runs
     pattern, keys = RUN_NAMES[kind]

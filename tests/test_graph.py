@@ -138,7 +138,7 @@ def test_normalisation(spark):
     p = graph.permutation(graph.vertices(e)).collect()
     assert sorted(r.n for r in p) == [0, 1, 2]
     assert graph.drop_edges(e, algebra.degrees(e), 1.0, least=0).count() == 0 and graph.drop_edges(e, algebra.degrees(e), 1.0).count() == 4
-    assert graph.scale(5, "graphs") == pytest.approx(20 / 12) and graph.scale(2) == 0 and graph.scale(5, "none", False) == 10 and graph.scale(9, "kadabra") == 1
+    assert graph.scale(5, "graphs") == pytest.approx(20 / 12) and graph.scale(2) == 0 and graph.scale(5, "none", False) == 10 and graph.scale(9, "pairs") == 1
 
 
 def test_masks(spark):

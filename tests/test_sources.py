@@ -51,6 +51,7 @@ def test_runs(spark, tmp_path):
     write(tmp_path, "other.json", ["{}"])
     row = text.read_runs(spark, str(tmp_path / "*.json"), "threads").first()
     assert (row.impl, row.graph, row.threads, row.seed, row.parameters.threads, row.execution_time_seconds) == ("julia", "web", 8, 0, 8, 2.5)
+    assert text.read_runs(spark, str(tmp_path / "j*.json"), more="x_omega double").first().x_omega is None
     out = str(tmp_path / "runs")
     sinks.write_runs(text.read_runs(spark, str(tmp_path / "j*.json")), out, scores=False)
     assert text.read_runs(spark, out, lines=True).first().num_samples == 7
