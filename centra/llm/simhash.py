@@ -187,14 +187,14 @@ def _edges(parts: list[list[np.ndarray]], link: int) -> Iterator[pa.RecordBatch]
 
 
 def near_duplicates(docs: DataFrame, link: int = LINK, parts: int = PARTS) -> DataFrame:
-    """(doc_id, fp, sign, component_id) of every row of docs(doc_id, text)."""
+    """(doc_id, fp, sign, root, component_id) of every row of docs(doc_id, text); root is the component's least fingerprint."""
     marked = durable(fingerprints(docs), "simhash")
     groups = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(groups, link, parts)).select(F.col("node").alias("fp"), "root")
     rooted = groups.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "sign", "component_id")
+    named = rooted.join(least, "root").select("fp", "root", "component_id")
+    return marked.join(named, "fp").select("doc_id", "fp", "sign", "root", "component_id")
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
@@ -203,10 +203,13 @@ def op4_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, the one with the smallest doc_id; columns stay."""
+    """One document of each component stays, the one with the smallest doc_id; columns stay.
+
+    Components are told apart by their roots: their ids may be null or shared.
+    """
     found = near_duplicates(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sign")).alias("first")
-    kept = durable(found.groupBy("component_id").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.sign").alias("__of")).distinct(), "simhash-kept")
+    kept = durable(found.groupBy("root").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.sign").alias("__of")).distinct(), "simhash-kept")
     signed = docs.withColumn("__sign", row_sign())
     stay = signed.join(kept, (F.col("__sign") == F.col("__of")) & same_id("doc_id", "__id"), "left_semi")
     return stay.dropDuplicates(["__sign", "doc_id"]).drop("__sign")

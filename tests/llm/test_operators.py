@@ -229,6 +229,13 @@ def test_simhash_stage_keeps_one_of_each(odd, empty):
     assert simhash.stage(None, empty, "").collect() == []
 
 
+def test_simhash_stage_tells_components_apart(spark):
+    words = lambda seed: " ".join(random.Random(seed).choices([f"w{i}" for i in range(500)], k=80))
+    rows = [(None, words(1)), (None, words(2)), (None, words(3)), (7, words(4)), (7, words(5)), (7, words(5)), (8, words(4))]
+    got = simhash.stage(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, rows[:5]))
+
+
 def test_components(spark):
     edges = [(5, 4), (4, 3), (3, 2), (2, 1), (10, 11), (11, 10), (7, 7), (None, 3), *[(100, i) for i in range(101, 150)]]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
