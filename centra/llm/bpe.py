@@ -266,8 +266,8 @@ def decode(coded: DataFrame, path: str = RANKS) -> DataFrame:
     return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")
 
 
-def digests(docs: DataFrame, pattern: str = PATTERN, path: str = RANKS) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (decimal ids joined by a space) and decoded_sha256 of every row."""
+def digests(docs: DataFrame, pattern: str = PATTERN, path: str = RANKS, with_ids: bool = False) -> DataFrame:
+    """doc_id, the ids if asked for, n_tokens, ids_sha256 (decimal ids joined by a space) and decoded_sha256 of every row."""
 
     def emit(flat, begin, end):
         size = end - begin
@@ -276,11 +276,14 @@ def digests(docs: DataFrame, pattern: str = PATTERN, path: str = RANKS) -> DataF
         def lookup(seq: np.ndarray):
             ids = _gather(flat, begin[seq], size[seq])
             said = " ".join(map(text.__getitem__, seq.tolist())).encode()
-            return len(ids), hashlib.sha256(said).hexdigest(), hashlib.sha256(decode_ids(ids, path)).hexdigest()
+            found = len(ids), hashlib.sha256(said).hexdigest(), hashlib.sha256(decode_ids(ids, path)).hexdigest()
+            return (ids, *found) if with_ids else found
 
         return lookup
 
     fields = [("n_tokens", "long", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())]
+    if with_ids:
+        fields = [("ids", "array<int>", pa.list_(pa.int32())), *fields]
     return _assembled(docs, emit, fields, pattern, path)
 
 
@@ -290,4 +293,4 @@ def op8_byte_bpe(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every document with their digests."""
-    return digests(docs)
+    return digests(docs, with_ids=True)

@@ -345,6 +345,14 @@ def test_quick_pretokens_equal_the_pattern():
         assert bpe.pretokens(text) == regex.findall(bpe.PATTERN, text)
 
 
+def test_bpe_stage_returns_the_ids(spark, odd, empty):
+    got = {(r.doc_id, tuple(r.ids)) for r in bpe.stage(spark, odd, "").collect()}
+    assert got == {(r.doc_id, tuple(r.ids)) for r in bpe.encode(odd).collect()} and any(ids for _, ids in got)
+    said = bpe.stage(spark, odd, "").collect()
+    assert all(r.n_tokens == len(r.ids) and hashlib.sha256(" ".join(map(str, r.ids)).encode()).hexdigest() == r.ids_sha256 for r in said)
+    assert bpe.stage(spark, empty, "").collect() == []
+
+
 # --- nearest neighbours
 
 
