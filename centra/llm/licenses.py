@@ -2,7 +2,9 @@
 
 Texts are reduced to lower-case words, and one automaton finds all phrases in a single pass. After a tag or the words
 'licensed under' the raw text is read as an expression of identifiers with and, or, with and parentheses; a
-shunting-yard parser turns it into postfix form, which is evaluated against the permissive identifiers.
+shunting-yard parser turns it into postfix form, which is evaluated against the permissive identifiers. On a tag's line
+any well-formed identifier is a licence, labelled by its name and not permissive unless listed as such; in prose after
+'licensed under' only the identifiers in IDS are.
 
 score is 1 less the product of the doubts of all kinds of finds: a tag with a valid expression 0, a notice 0.1, a base
 phrase 0.2; 0 without finds.
@@ -39,14 +41,19 @@ IDS = [
     "lgpl-2.1-or-later", "lgpl-3.0", "lgpl-3.0-only", "lgpl-3.0-or-later", "mpl-1.1", "mpl-2.0",
 ]
 BINDS = {"or": 1, "and": 2, "with": 3}
+NO_IDS = ["none", "noassertion"]  # what tags say when they name no licence
 
 _words = bytes(0x20 if b < 0x30 or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _tag = re.compile(r"(?:spdx-license-identifier|license-id)\s*:\s*|licensed under (?:the )?", re.I | re.A)
+_id = re.compile(r"(?:documentref-[a-z0-9.-]+:)?[a-z0-9.-]+\+?")
 _token = re.compile(r"\s*(?:([()])|([A-Za-z0-9][A-Za-z0-9.+:-]*))", re.A)
 
 
-def postfix(expression: str) -> list[str] | None:
-    """The longest leading part that is an expression, in postfix form with names in lower case; None without one."""
+def postfix(expression: str, any_id: bool = False) -> list[str] | None:
+    """The longest leading part that is an expression, in postfix form with names in lower case; None without one.
+
+    Its licences are those of IDS, or any well-formed identifiers.
+    """
     out, stack, best, at, operand_next, depth = [], [], None, 0, True, 0
 
     def closed() -> list[str]:
@@ -68,7 +75,7 @@ def postfix(expression: str) -> list[str] | None:
             stack.append(name)
             operand_next = True
         elif name and name not in BINDS and operand_next:
-            if not (stack and stack[-1] == "with") and name.rstrip("+") not in IDS:
+            if not (stack and stack[-1] == "with") and name.rstrip("+") not in IDS and not (any_id and name not in NO_IDS and _id.fullmatch(name)):
                 break
             out.append(name)
             operand_next = False
@@ -121,7 +128,7 @@ def scan(text: str | None) -> tuple:
     if tagged:
         for m in _tag.finditer(raw):
             line = raw[m.end() :].split("\n", 1)[0]
-            if terms := postfix(line):
+            if terms := postfix(line, ":" in m[0] and "\n" not in m[0]):
                 ok, names = evaluate(terms)
                 permissive = ok if permissive is None else permissive and ok
                 labels |= names

@@ -296,6 +296,18 @@ def test_expressions():
     assert licenses.postfix("MIT, see below") == ["mit"] and licenses.postfix("nonsense") is None and licenses.postfix("(MIT") is None and licenses.postfix("MIT OR") == ["mit"]
 
 
+def test_tags_keep_unlisted_identifiers():
+    said = lambda x: (lambda got: (got[5], got[6], got[7], got[8]))(licenses.scan(x))
+    assert said("SPDX-License-Identifier: MIT AND LicenseRef-Proprietary") == ("licenseref-proprietary,mit", 1, ["mit licenseref-proprietary and"], False)
+    assert said("// SPDX-License-Identifier: (MIT OR WTFPL)\nx") == ("mit,wtfpl", 1, ["mit wtfpl or"], True)
+    for name in ("BSD-4-Clause", "LGPL-2.0-only", "OFL-1.1", "CC-BY-3.0", "DocumentRef-a:LicenseRef-b"):
+        labels, *rest = said(f"SPDX-License-Identifier: {name}")
+        assert name.lower() in labels.split(",") and rest == [1, [name.lower()], False]
+    assert said("SPDX-License-Identifier: MIT */") == ("mit", 1, ["mit"], True)
+    assert said("SPDX-License-Identifier: NOASSERTION")[1:] == said("SPDX-License-Identifier:\nword")[1:] == (0, [], None)
+    assert said("licensed under the MIT and other terms")[2] == ["mit"]
+
+
 def test_license_places_against_brute_force(docs, odd, empty):
     for table in (docs, odd):
         for r, t in zip(sorted(licenses.licenses(table).collect(), key=repr), sorted(table.select("doc_id", "text").collect(), key=repr)):
