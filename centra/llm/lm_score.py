@@ -1,9 +1,12 @@
 """Masked pseudo-likelihood: a window network predicts every token from both sides, and its log-probabilities add up.
 
-1. Words of all documents are counted, pre-aggregated in each task. The VOCABULARY most frequent ones are tokens; other
-   words share SHAPES tokens by their endings, whose counts are what the others leave.
+1. Words of all documents are counted, pre-aggregated in each task, and all counts are kept in a table. The most
+   frequent ones, VOCABULARY or the root of the number of tokens if that is more, are tokens of the network; other words
+   share SHAPES tokens by their endings, whose counts are what the others leave.
 2. Tokens form CLASSES classes of about equal count, in the order of their reversed spelling, so that words with one
-   ending share a class. P(token | context) = P(class | context) P(token | class); the latter are corpus shares.
+   ending share a class. P(word | context) = P(class | context) P(word | class); the latter are corpus shares of each
+   single word, also of those that share a token: their counts are joined from the table. A word that the corpus does
+   not have counts as half an occurrence.
 3. The network reads SIDE tokens on either side (embeddings, a hidden layer, a softmax over classes). It is trained by
    rounds of parameter averaging: each task starts from the last average and descends on the tokens of its documents.
    Documents are dealt over the rounds by a hash of their text, so each is read in one of them, and gives tokens evenly
@@ -19,7 +22,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +59,8 @@ def shape(word: bytes) -> int:
 class Vocabulary:
     number: dict[bytes, int]
     cls: np.ndarray  # class of each token
-    logp: np.ndarray  # log share of each token in its class
+    logp: np.ndarray  # log share of each token in its class; of the shapes, less the log of the word's own count
+    counted: DataFrame | None = None  # (word, n) of all words; None where tasks read this
 
     @property
     def size(self) -> int:
@@ -86,9 +91,11 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> Vocabulary:
+def vocabulary(docs: DataFrame, size: int | None = None) -> Vocabulary:
     """At most size words and the totals of the endings of the others reach the driver."""
     counted = durable(count_words(docs), "lm-words")
+    if size is None:
+        size = max(VOCABULARY, isqrt(counted.agg(F.sum("n")).first()[0] or 0))
     top = counted.orderBy(F.col("n").desc(), "word").limit(size).toArrow()
     words, n = top.column(0).to_pylist(), top.column(1).to_pylist()
 
@@ -109,7 +116,8 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> Vocabulary:
     share = np.cumsum(counts[order])
     cls = np.empty(len(counts), np.int64)
     cls[order] = np.minimum(((share - counts[order] / 2) / share[-1] * CLASSES).astype(int), CLASSES - 1)
-    return Vocabulary({w: i for i, w in enumerate(words)}, cls, np.log(counts / np.bincount(cls, counts, CLASSES)[cls]))
+    own = np.concatenate([counts[: len(words)], np.ones(SHAPES)])
+    return Vocabulary({w: i for i, w in enumerate(words)}, cls, np.log(own / np.bincount(cls, counts, CLASSES)[cls]), counted)
 
 
 Params = list[np.ndarray]
@@ -164,7 +172,7 @@ def train(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS, stride: int
     sizes = [a.size for a in p]
 
     for number in range(rounds):
-        sent = spark.sparkContext.broadcast((words, p))
+        sent = spark.sparkContext.broadcast((replace(words, counted=None), p))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
@@ -195,7 +203,7 @@ def train(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS, stride: int
         schema = "part long, seen long, flat binary"
         own = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == number)
         tasks = own.mapInArrow(run, schema)
-        summed = checkpointed(_grouped_sum(tasks, schema))  # 64 rows at most
+        summed = checkpointed(_grouped_sum(_grouped_sum(tasks, schema, 64).withColumn("part", F.col("part") % 4), schema, 4))  # 4 rows at most
         rows = summed.collect()
         if rows:
             flat = sum(np.frombuffer(r["flat"], np.float32).astype(np.float64) for r in rows) / sum(r["seen"] for r in rows)
@@ -204,7 +212,7 @@ def train(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS, stride: int
     return p
 
 
-def _grouped_sum(tasks: DataFrame, schema: str) -> DataFrame:
+def _grouped_sum(tasks: DataFrame, schema: str, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, list] = {}
         for batch in batches:
@@ -218,15 +226,18 @@ def _grouped_sum(tasks: DataFrame, schema: str) -> DataFrame:
         for part, (seen, flat) in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([seen]), pa.array([flat.tobytes()], pa.binary())], names=["part", "seen", "flat"])
 
-    return tasks.repartition(64, "part").mapInArrow(run, schema)
+    return tasks.repartition(parts, "part").mapInArrow(run, schema)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], column: int, vocab: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Token numbers of about RUN tokens at a time, and where the documents begin."""
+def _runs(batches: Iterator[pa.RecordBatch], column: int, vocab: Vocabulary, rare: list[list[bytes]] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Token numbers of about RUN tokens at a time, and where the documents begin; rare gets each document's words that share tokens."""
     held, n = [], 0
     for batch in batches:
         for x in batch.column(column):
-            held.append(vocab.ids(tokens(x.as_py())))
+            words = tokens(x.as_py())
+            held.append(vocab.ids(words))
+            if rare is not None:
+                rare.append([words[k] for k in np.flatnonzero(held[-1] >= len(vocab.number))])
             n += len(held[-1])
             if n >= RUN:
                 yield np.concatenate(held), np.cumsum([0, *map(len, held)])
@@ -248,20 +259,29 @@ def log_probabilities(vocab: Vocabulary, p: Params, ids: np.ndarray, bounds: np.
 
 def score(docs: DataFrame, words: Vocabulary, p: Params) -> DataFrame:
     """doc_id, n_tokens, sum_logp and mean_logp of every row of docs(doc_id, text)."""
-    sent = docs.sparkSession.sparkContext.broadcast((words, p))
+    sent = docs.sparkSession.sparkContext.broadcast((replace(words, counted=None), p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         vocab, net = sent.value
+        at = TaskContext.get().partitionId() << 40
         for batch in batches:
-            sums, counts = [], []
-            for ids, bounds in _runs(iter([batch]), 1, vocab):
+            sums, counts, rare = [], [], []
+            for ids, bounds in _runs(iter([batch]), 1, vocab, rare):
                 total = np.append(0, np.cumsum(log_probabilities(vocab, net, ids, bounds)))
                 sums.append(np.diff(total[bounds])), counts.append(np.diff(bounds))
             s, n = (np.concatenate(x) if x else np.zeros(0) for x in (sums, counts))
-            mean = pa.array(s / np.maximum(n, 1), pa.float64(), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(s), mean], names=["doc_id", "n_tokens", "sum_logp", "mean_logp"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, sum_logp double, mean_logp double")
+            row = pa.array(at + np.arange(len(n)))
+            at += len(n)
+            yield pa.RecordBatch.from_arrays([row, batch.column(0), pa.array(n.astype(np.int64)), pa.array(s), pa.array(rare, pa.list_(pa.binary()))], names=["row", "doc_id", "n_tokens", "part", "rare"])
+
+    schema = "row long, doc_id long, n_tokens long, part double, rare array<binary>"
+    table = durable(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema), "lm-parts")
+    asked = table.select("row", F.explode("rare").alias("word")).join(words.counted, "word", "left")
+    more = asked.groupBy("row").agg(F.sum(F.log(F.coalesce(F.col("n").cast("double"), F.lit(0.5)))).alias("more"))
+    total = table.select("row", "doc_id", "n_tokens", "part").join(more, "row", "left").withColumn("sum_logp", F.col("part") + F.coalesce("more", F.lit(0.0)))
+    return total.select("doc_id", "n_tokens", "sum_logp", F.when(F.col("n_tokens") > 0, F.col("sum_logp") / F.col("n_tokens")).alias("mean_logp"))
 
 
 def op2_lm_score(spark, sf_dir: str) -> DataFrame:

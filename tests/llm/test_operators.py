@@ -493,3 +493,13 @@ def test_lm_odd_cases(odd, empty):
     assert len(got) == odd.count() and all((r.mean_logp is None) == (r.n_tokens == 0) for r in got)
     none = lm_score.vocabulary(empty)
     assert lm_score.score(empty, none, lm_score.train(empty, none)).collect() == []
+
+
+def test_lm_words_that_share_a_token_keep_their_own_counts(spark, monkeypatch):
+    rows = [(1, "the the the the zorging " * 20), (2, "morging a b c d e f g h"), (3, "zorging"), (4, "morging"), (5, "norging")]
+    table = spark.createDataFrame(rows[:2], "doc_id long, text string")
+    words = lm_score.vocabulary(table, size=1)
+    got = {r.doc_id: r.sum_logp for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), words, lm_score.start(words.size)).collect()}
+    assert np.isclose(got[3] - got[4], np.log(20)) and np.isclose(got[4] - got[5], np.log(2))
+    monkeypatch.setattr(lm_score, "VOCABULARY", 2)
+    assert len(lm_score.vocabulary(table).number) == 10  # of 109 tokens
