@@ -9,8 +9,8 @@
    not have counts as half an occurrence.
 3. The network reads SIDE tokens on either side (embeddings, a hidden layer, a softmax over classes). It is trained by
    rounds of parameter averaging: each task starts from the last average and descends on the tokens of its documents.
-   Documents are dealt over the rounds by a hash of their text, so each is read in one of them, and gives tokens evenly
-   spaced, so that one in STRIDE of all is used for each round.
+   Documents are dealt over the rounds by a hash of their text, so each is read in one of them, and there every token
+   is a target.
 4. A document's score is the mean conditional log-probability of its tokens; their sum is its pseudo-log-likelihood.
 
 Cases: null and empty texts and those without words have no tokens, sum 0 and a null mean. An empty table gives an empty
@@ -39,8 +39,8 @@ CLASSES = 128
 SIDE = 2
 WIDTH = 16
 HIDDEN = 32
-STRIDE = 16
 ROUNDS = 2
+STRIDE = ROUNDS  # above ROUNDS, one token in STRIDE // ROUNDS of each document
 RATE = 0.5
 BATCH = 1024
 FLUSH = 400_000
@@ -154,7 +154,7 @@ def forward(p: Params, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 def descend(p: Params, context: np.ndarray, target: np.ndarray, rate: float) -> None:
     """One step on a batch, in place."""
     x, h, z = forward(p, context)
-    d = np.exp(z)
+    d = np.exp(z, out=z)
     d[np.arange(len(target)), target] -= 1
     d /= len(target)
     dh = (d @ p[3].T) * (1 - h * h)
@@ -163,7 +163,10 @@ def descend(p: Params, context: np.ndarray, target: np.ndarray, rate: float) ->
     p[4] -= rate * d.sum(0)
     p[1] -= rate * (x.T @ dh)
     p[2] -= rate * dh.sum(0)
-    np.add.at(p[0], context.ravel(), -rate * 8 * dx)
+    order = np.argsort(context.ravel(), kind="stable")
+    row = context.ravel()[order]
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+    p[0][row[first]] -= (rate * 8 * np.add.reduceat(dx[order], first)).astype(p[0].dtype)
 
 
 def train(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS, stride: int = STRIDE) -> Params:

@@ -503,3 +503,16 @@ def test_lm_words_that_share_a_token_keep_their_own_counts(spark, monkeypatch):
     assert np.isclose(got[3] - got[4], np.log(20)) and np.isclose(got[4] - got[5], np.log(2))
     monkeypatch.setattr(lm_score, "VOCABULARY", 2)
     assert len(lm_score.vocabulary(table).number) == 10  # of 109 tokens
+
+
+def test_lm_trains_on_every_token(docs, monkeypatch):
+    words, seen, total = lm_score.vocabulary(docs), [], lm_score._grouped_sum
+
+    def summed(tasks, *rest):
+        seen.append(tasks)
+        return total(tasks, *rest)
+
+    monkeypatch.setattr(lm_score, "_grouped_sum", summed)
+    lm_score.train(docs, words)
+    trained = sum(x.agg(F.sum("seen")).first()[0] for x in seen)
+    assert trained == 2 * words.counted.agg(F.sum("n")).first()[0]  # each round sums in two steps
