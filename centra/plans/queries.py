@@ -29,12 +29,21 @@ def edges(spark, sf_dir: str, name: str) -> DataFrame:
     return {"sp": tables.supplier_part, "cs": tables.customer_supplier, "un": tables.next_user, "up": lambda s, d: tables.next_user(s, d, True)}[name](spark, sf_dir)
 
 
+#: The graphs of all rows, for those that SQL can follow only on a slice.
+WHOLE = {"sp": lambda s, d: tables.supplier_part(s, d, None), "cs": lambda s, d: tables.customer_supplier(s, d, None), "up": tables.next_user}
+
+
 def query(graph_name: str | None = None, sql: str | None = None, name: str | None = None):
-    """Registers f(edges) on a derived graph, or f(spark, sf_dir); sql is put after the graph's common table."""
+    """Registers f(edges) on a derived graph, or f(spark, sf_dir); sql is put after the graph's common table.
+
+    What runs on a slice is also registered as f"{name}_whole", on the graph of all rows and without SQL.
+    """
 
     def add(f):
         key = name or f.__name__
         QUERIES[key] = (lambda spark, sf_dir: f(edges(spark, sf_dir, graph_name))) if graph_name else f
+        if graph_name in WHOLE:
+            QUERIES[f"{key}_whole"] = lambda spark, sf_dir: f(WHOLE[graph_name](spark, sf_dir))
         if sql:
             ORACLE[key] = f"with recursive {GRAPHS[graph_name]}{',' if sql.lstrip().startswith('+') else ''} {sql.lstrip().lstrip('+')}" if graph_name else sql
         return f
@@ -120,6 +129,16 @@ query("sp", _levels("sp", _SOURCES.format(g="sp"), 26) + " select source, node,
 query("sp", _levels("sp", _SOURCES.format(g="sp"), 26) + " select source as id, max(dist) as ecc from bfs group by source", "eccentricity")(lambda e: traverse.eccentricities(e, _first(e, 3)))
 query("sp", _levels("sp", _SOURCES.format(g="sp"), 26) + f" select source as id, round(case when sum(dist) > 0 then (count(*) - 1) ** 2 / (((select count(*) from ({_IDS.format(g='sp')})) - 1) * sum(dist)) else 0 end, 6) as score from bfs group by source", "closeness")(
     lambda e: rounded(traverse.closeness(e, _first(e, 3))))
+def _from_all(f):
+    def run(spark, sf_dir: str) -> DataFrame:
+        e = WHOLE["sp"](spark, sf_dir)
+        return f(e, graph.vertices(e))
+
+    return run
+
+
+# the whole graph is searched from all vertices
+QUERIES |= {"bfs_whole": _from_all(traverse.bfs), "eccentricity_whole": _from_all(traverse.eccentricities), "closeness_whole": _from_all(lambda e, ids: rounded(traverse.closeness(e, ids)))}
 _BC = _levels("up", _IDS.format(g="up"), 26) + """, ids as (select src as id from up union select dst from up),
  b as (select v.node as id, sum(v.sigma * w.sigma / t.sigma) as s from bfs v join bfs w on w.source = v.node join bfs t on t.source = v.source and t.node = w.node and v.dist + w.dist = t.dist
   where v.dist > 0 and w.dist > 0 group by v.node)"""
@@ -140,6 +159,7 @@ _STRONG = _REACH.format(g="up").lstrip(",").join(["+", ""]) + ", scc as (select
 query("up", _STRONG + " select id, component from scc", "strong_components")(traverse.strong_components)
 query("up", _STRONG + " select distinct a.component as src, b.component as dst from up join scc a on a.id = src join scc b on b.id = dst where a.component != b.component", "condensation")(
     lambda e: traverse.condensation(e, traverse.strong_components(e)))
+ORACLE["condensation_whole"] = f"with recursive {UN}, " + _REACH.format(g="un").lstrip(", ") + ", scc as (select id, least(id, coalesce((select min(x.b) from reach x join reach y on y.a = x.b and y.b = x.a where x.a = id), id)) as component from ids) select distinct a.component as src, b.component as dst from un join scc a on a.id = src join scc b on b.id = dst where a.component != b.component"
 query("up", _STRONG + ", d as (select id, component, (select count(*) from up where src = id) + (select count(*) from up where dst = id) as k from scc) select component, id from d qualify row_number() over (partition by component order by k desc, id) = 1", "pivots")(
     lambda e: traverse.pivots(traverse.strong_components(e), algebra.degrees(e)))
 

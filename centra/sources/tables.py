@@ -13,15 +13,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def supplier_part(spark: SparkSession, sf_dir: str, quantity: float = 50) -> DataFrame:
-    """Undirected edges between suppliers (even ids) and parts (odd ids) of large order lines."""
-    lines = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") >= quantity)
+def _lines(spark: SparkSession, sf_dir: str, quantity: float | None) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    return lines if quantity is None else lines.where(F.col("l_quantity") >= quantity)
+
+
+def supplier_part(spark: SparkSession, sf_dir: str, quantity: float | None = 50) -> DataFrame:
+    """Undirected edges between suppliers (even ids) and parts (odd ids) of large order lines, or of all with None."""
+    lines = _lines(spark, sf_dir, quantity)
     return symmetrise(lines.select((F.col("l_suppkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst")).distinct())
 
 
-def customer_supplier(spark: SparkSession, sf_dir: str, quantity: float = 50) -> DataFrame:
-    """Undirected edges between customers (even ids) and suppliers (odd ids)."""
-    lines = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") >= quantity).select("l_orderkey", "l_suppkey")
+def customer_supplier(spark: SparkSession, sf_dir: str, quantity: float | None = 50) -> DataFrame:
+    """Undirected edges between customers (even ids) and suppliers (odd ids) of large order lines, or of all with None."""
+    lines = _lines(spark, sf_dir, quantity).select("l_orderkey", "l_suppkey")
     met = lines.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     return symmetrise(met.select((F.col("o_custkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst")).distinct())
 

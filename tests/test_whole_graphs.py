@@ -1,0 +1,63 @@
+"""Queries on the graphs of all rows against brute force on a small fixture."""
+
+import random
+from collections import defaultdict, deque
+
+import pytest
+
+from centra.plans import queries
+
+
+@pytest.fixture(scope="module")
+def small(spark, tmp_path_factory):
+    path, rng = str(tmp_path_factory.mktemp("small")), random.Random(2)
+    lines = [(rng.randrange(9), rng.randrange(5), rng.randrange(12), q) for q in [1.0, 7.0, 50.0, None] * 6]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_partkey long, l_quantity double").write.parquet(f"{path}/lineitem.parquet")
+    spark.createDataFrame([(o, o % 4) for o in range(9)], "o_orderkey long, o_custkey long").write.parquet(f"{path}/orders.parquet")
+    events = [(i, i, rng.randrange(8), rng.choice(["view", "purchase"]), rng.choice([5.0, 500.0])) for i in range(30)]
+    spark.createDataFrame(events, "ts long, event_id long, user_id long, event_type string, value double").write.parquet(f"{path}/events.parquet")
+    both = lambda pairs: {p for a, b in pairs for p in ((a, b), (b, a))}
+    return path, {
+        "sp": both((2 * s, 2 * p + 1) for _, s, p, _ in lines), "cs": both((2 * (o % 4), 2 * s + 1) for o, s, _, _ in lines),
+        "up": {(a[2], b[2]) for a, b in zip(events, events[1:]) if a[2] != b[2]},
+    }
+
+
+def search(edges):
+    """For every source its distances and numbers of shortest paths."""
+    after, out = defaultdict(list), {}
+    for a, b in edges:
+        after[a].append(b)
+    for s in {v for e in edges for v in e}:
+        dist, paths, queue = {s: 0}, defaultdict(int, {s: 1}), deque([s])
+        while queue:
+            a = queue.popleft()
+            for b in after[a]:
+                if b not in dist:
+                    dist[b] = dist[a] + 1
+                    queue.append(b)
+                if dist[b] == dist[a] + 1:
+                    paths[b] += paths[a]
+        out[s] = dist, paths
+    return out
+
+
+@pytest.mark.parametrize("name", ["sp", "cs", "up"])
+def test_all_rows_give_edges(spark, small, name):
+    assert {tuple(r) for r in queries.QUERIES[f"edges_{name}_whole"](spark, small[0]).select("src", "dst").collect()} == small[1][name]
+
+
+def test_searches_start_everywhere(spark, small):
+    found = search(small[1]["sp"])
+    got = {(r.source, r.node, r.dist, int(r.sigma)) for r in queries.QUERIES["bfs_whole"](spark, small[0]).collect()}
+    assert got == {(s, v, d, paths[v]) for s, (dist, paths) in found.items() for v, d in dist.items()}
+    assert {r.id: r.ecc for r in queries.QUERIES["eccentricity_whole"](spark, small[0]).collect()} == {s: max(dist.values()) for s, (dist, _) in found.items()}
+    assert {r.id for r in queries.QUERIES["closeness_whole"](spark, small[0]).collect()} == set(found)
+
+
+@pytest.mark.parametrize("name", ["betweenness_whole", "betweenness_by_joins_whole"])
+def test_betweenness(spark, small, name):
+    found = search(small[1]["up"])
+    want = {v: sum(p[v] * found[v][1][t] / p[t] for s, (d, p) in found.items() for t in d if v not in (s, t) and v in d and t in found[v][0] and d[v] + found[v][0][t] == d[t] and s != t) for v in found}
+    got = {r.id: r.score for r in queries.QUERIES[name](spark, small[0]).collect()}
+    assert got == {v: pytest.approx(x, abs=1e-5) for v, x in want.items()}
