@@ -453,66 +453,107 @@ def test_mixing_caps_and_odd_cases(spark, odd, empty):
 # --- language model scores
 
 
-def test_gradient_matches_differences():
-    rng = np.random.default_rng(4)
-    p = [a.astype(np.float64) for a in lm_score.start(10)]
-    context, target = rng.integers(0, 11, (6, 4)), rng.integers(0, lm_score.CLASSES, 6)
-    loss = lambda q: -lm_score.forward(q, context)[2][np.arange(6), target].mean()
-    moved = [a.copy() for a in p]
-    lm_score.descend(moved, context, target, 1e-3)
-    for k, scale in ((0, 8e-3), (1, 1e-3), (3, 1e-3), (4, 1e-3)):
-        at = np.unravel_index(np.abs(moved[k] - p[k]).argmax(), p[k].shape)
-        up = [a.copy() for a in p]
-        up[k][at] += 1e-5
-        assert (p[k] - moved[k])[at] / scale == pytest.approx((loss(up) - loss(p)) / 1e-5, rel=1e-2)
-
-
-def test_windows_stay_in_their_document():
-    got = lm_score.windows(np.array([5, 6, 7, 8]), np.array([0, 3, 3, 4]), 99)
-    assert got.tolist() == [[99, 99, 6, 7], [99, 5, 7, 99], [5, 6, 99, 99], [99, 99, 99, 99]]
-
-
-def test_lm_prefers_real_text(spark, docs):
-    words = lm_score.vocabulary(docs)
-    counted = {bytes(r.word): r.n for r in lm_score.count_words(docs).collect()}
-    assert counted == Counter(w for r in docs.collect() for w in lm_score.tokens(r.text))
-    net = lm_score.train(docs, words, rounds=2, stride=2)
-    rng, rows = random.Random(1), []
-    for r in docs.where(F.length("text") > 1000).limit(40).collect():
-        shuffled = r.text.split()
-        rng.shuffle(shuffled)
-        rows += [(r.doc_id, r.text), (r.doc_id + 10**6, " ".join(shuffled))]
-    got = {r.doc_id: r.mean_logp for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), words, net).collect()}
-    assert np.mean([got[d] > got[d + 10**6] for d in got if d < 10**6]) > 0.6
-
-
-def test_lm_odd_cases(odd, empty):
-    words = lm_score.vocabulary(odd)
-    net = lm_score.train(odd, words)
-    got = lm_score.score(odd, words, net).collect()
-    assert len(got) == odd.count() and all((r.mean_logp is None) == (r.n_tokens == 0) for r in got)
-    none = lm_score.vocabulary(empty)
-    assert lm_score.score(empty, none, lm_score.train(empty, none)).collect() == []
-
-
-def test_lm_words_that_share_a_token_keep_their_own_counts(spark, monkeypatch):
-    rows = [(1, "the the the the zorging " * 20), (2, "morging a b c d e f g h"), (3, "zorging"), (4, "morging"), (5, "norging")]
-    table = spark.createDataFrame(rows[:2], "doc_id long, text string")
-    words = lm_score.vocabulary(table, size=1)
-    got = {r.doc_id: r.sum_logp for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), words, lm_score.start(words.size)).collect()}
-    assert np.isclose(got[3] - got[4], np.log(20)) and np.isclose(got[4] - got[5], np.log(2))
-    monkeypatch.setattr(lm_score, "VOCABULARY", 2)
-    assert len(lm_score.vocabulary(table).number) == 10  # of 109 tokens
-
-
-def test_lm_trains_on_every_token(docs, monkeypatch):
-    words, seen, total = lm_score.vocabulary(docs), [], lm_score._grouped_sum
-
-    def summed(tasks, *rest):
-        seen.append(tasks)
-        return total(tasks, *rest)
-
-    monkeypatch.setattr(lm_score, "_grouped_sum", summed)
-    lm_score.train(docs, words)
-    trained = sum(x.agg(F.sum("seen")).first()[0] for x in seen)
-    assert trained == 2 * words.counted.agg(F.sum("n")).first()[0]  # each round sums in two steps
+def small_net(size=10, seed=4, kind=np.float64):
+    vocab = lm_score.Vocabulary({}, np.random.default_rng(seed).integers(1, 9, size))
+    net = lm_score.start(vocab)
+    taken = np.random.default_rng(seed).random((size, lm_score.EXPERTS)).astype(np.float32) * 9
+    return vocab, lm_score.Net([a.astype(kind) for a in net.params], lm_score.distributions(vocab, taken).astype(kind))
+
+
+def said(net, left, token, right):
+    """log P(token | neighbours) spelled out; None stands beyond a document's ends."""
+    emb, w1, b1, w2, b2 = net.params
+    x = [v for t in (*left, *right) for v in emb[len(emb) - 1 if t is None else t]]
+    h = [np.tanh(sum(a * w for a, w in zip(x, w1[:, j])) + b1[j]) for j in range(lm_score.HIDDEN)]
+    z = np.exp([sum(a * w for a, w in zip(h, w2[:, k])) + b2[k] for k in range(lm_score.EXPERTS)])
+    return np.log(sum(z[k] / z.sum() * net.dist[token, k] for k in range(lm_score.EXPERTS)))
+
+
+def test_lm_gradient_matches_differences():
+    vocab, net = small_net()
+    near = np.array([10, 10, 3, 4, 3, 10, 10, 7, 1, 10, 10])
+    p = net.params
+    loss = lambda q: -lm_score.log_probabilities(lm_score.Net(q, net.dist), near).sum() / 5
+    grads, take = lm_score.gradients(p, net.dist, near)
+    rows, sums = lm_score._by_token(near, grads[0], vocab.size)
+    whole = np.zeros_like(p[0])
+    whole[rows] = sums
+    for k, g in enumerate([whole, *grads[1:]]):
+        for at in np.ndindex(*p[k].shape):
+            if sum(at) % 7 == 0:
+                up, down = [a.copy() for a in p], [a.copy() for a in p]
+                up[k][at] += 1e-5
+                down[k][at] -= 1e-5
+                assert g[at] == pytest.approx((loss(up) - loss(down)) / 2e-5, abs=1e-7)
+    live = near[2:-2] < 10
+    assert np.allclose(take.sum(1), live)
+
+
+def test_lm_sums_conditional_log_probabilities_that_add_to_one():
+    vocab, net = small_net()
+    docs = [[1, 2, 3, 4, 5], [6], [7, 8, 9, 0]]
+    got = lm_score.log_probabilities(net, lm_score.stream([np.array(d) for d in docs], 10))
+    want = []
+    for d in docs:
+        padded = [None, None, *d, None, None]
+        want += [said(net, padded[i : i + 2], t, padded[i + 3 : i + 5]) for i, t in enumerate(d)] + [0.0, 0.0]
+    assert np.allclose(got, want[: len(got)])
+    assert sum(np.exp(said(net, [None, 4], t, [2, 9])) for t in range(10)) == pytest.approx(1)
+
+
+def test_lm_words_keep_their_own_shares(spark):
+    rows = [(1, "the the the the zorging " * 20), (2, "morging Morging a b c d e f g h ging."), (3, "zorging"), (4, "morging"), (5, "norging"), (6, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    coded, vocab = lm_score.read(table.where("doc_id < 3"), size=1)
+    words = Counter(w for _, t in rows[:2] for w in lm_score.tokens(t))
+    assert vocab.number == {b"the": 0} and vocab.counts.sum() == sum(words.values())
+    # Shares of all words of one shared token add to 1, and documents hold the sums of their logs.
+    shares = Counter()
+    for w, n in words.items():
+        if w != b"the":
+            shares[lm_score.shape(w)] += n
+    assert all(vocab.counts[1 + s] == n for s, n in shares.items())
+    for r in coded.collect():
+        own = [w for w in lm_score.tokens(dict(rows)[r.doc_id]) if w != b"the"]
+        assert r.own == pytest.approx(sum(np.log(words[w] / shares[lm_score.shape(w)]) for w in own))
+        assert np.frombuffer(r.ids, "<u4").tolist() == vocab.ids(lm_score.tokens(dict(rows)[r.doc_id])).tolist()
+
+
+def test_lm_beats_unigrams_and_prefers_real_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    coded, vocab = lm_score.read(docs)
+    counted = Counter(w for r in docs.collect() for w in lm_score.tokens(r.text))
+    assert vocab.counts.sum() == sum(counted.values()) and all(vocab.counts[i] == counted[w] for w, i in vocab.number.items())
+    net = lm_score.train(coded, vocab)
+    total = lm_score.score(coded, net).agg(F.sum("sum_logp"), F.sum("n_tokens")).first()
+    n = sum(counted.values())
+    unigram = sum(c * np.log(c / n) for c in counted.values()) / n
+    assert total[1] == n and total[0] / n > unigram + 0.5
+    rng, better = np.random.default_rng(1), []
+    for r in coded.where("n_tokens > 150").orderBy("sign").limit(150).collect():
+        ids = np.frombuffer(r.ids, "<u4").astype(np.int64)
+        real, mixed = (lm_score.log_probabilities(net, lm_score.stream([x], vocab.size)).sum() for x in (ids, rng.permutation(ids)))
+        better.append(real > mixed)
+    assert np.mean(better) >= 0.9
+
+
+def test_lm_scores_do_not_depend_on_partitions(docs, monkeypatch):
+    monkeypatch.setattr(lm_score, "SHARD_TOKENS", 20_000)
+    monkeypatch.setattr(lm_score, "LEAST_STEPS", 20)
+    monkeypatch.setattr(lm_score, "BLOCK_WORDS", 5000)
+    monkeypatch.setattr(lm_score, "PART_WORDS", 9000)
+    got = []
+    for parts in (2, 7):
+        coded, vocab = lm_score.read(docs.repartition(parts))
+        got.append({r.doc_id: (r.n_tokens, r.sum_logp) for r in lm_score.score(coded, lm_score.train(coded, vocab)).collect()})
+    assert got[0].keys() == got[1].keys()
+    assert all(a[0] == got[1][d][0] and a[1] == pytest.approx(got[1][d][1], rel=1e-6, abs=1e-6) for d, a in got[0].items())
+
+
+def test_lm_odd_cases(odd, empty, monkeypatch):
+    monkeypatch.setattr(lm_score, "LEAST_STEPS", 10)
+    coded, vocab = lm_score.read(odd)
+    got = lm_score.score(coded, lm_score.train(coded, vocab)).collect()
+    assert len(got) == odd.count() and all((r.mean_logp is None) == (r.n_tokens == 0) and np.isfinite(r.sum_logp) for r in got)
+    coded, vocab = lm_score.read(empty)
+    assert lm_score.score(coded, lm_score.train(coded, vocab)).collect() == []
