@@ -290,22 +290,69 @@ def test_url_rules_and_propagation(spark):
 
 
 def test_expressions():
-    assert licenses.postfix("MIT OR (GPL-2.0-only WITH Classpath-exception-2.0 AND Apache-2.0)") == ["mit", "gpl-2.0-only", "classpath-exception-2.0", "with", "apache-2.0", "and", "or"]
-    assert licenses.evaluate(licenses.postfix("MIT OR GPL-3.0-only AND BSD-3-Clause"))[0]
-    assert not licenses.evaluate(licenses.postfix("(MIT OR GPL-3.0-only) AND GPL-2.0-only"))[0]
-    assert licenses.postfix("MIT, see below") == ["mit"] and licenses.postfix("nonsense") is None and licenses.postfix("(MIT") is None and licenses.postfix("MIT OR") == ["mit"]
-
-
-def test_tags_keep_unlisted_identifiers():
+    read = lambda x, any_id=False: licenses.postfix(x.encode(), any_id)
+    assert read("MIT OR (GPL-2.0-only WITH Classpath-exception-2.0 AND Apache-2.0)") == ["mit", "gpl-2.0-only", "classpath-exception-2.0", "with", "apache-2.0", "and", "or"]
+    assert licenses.evaluate(read("MIT OR GPL-3.0-only AND BSD-3-Clause"))[0]
+    assert not licenses.evaluate(read("(MIT OR GPL-3.0-only) AND GPL-2.0-only"))[0]
+    for said in ("MIT, see below", "MIT. See", "MIT", "MIT and other terms", "MIT or so", "mit)", "MIT\nAND GPL-2.0"):
+        assert read(said) == ["mit"], said
+    for said in ("MIT OR", "MIT AND Foo", "MIT AND (Apache-2.0", "(MIT", "MIT/Apache-2.0", "MIT WITH anything", "MIT with anything", "(MIT OR Foo)"):
+        assert read(said) == [], said
+    for said in ("MIT OR", "MIT and", "MIT AND (LicenseRef-a", "a/b", "(", "MIT WITH anything"):
+        assert read(said, True) == [], said
+    assert read("nonsense") is None and read("") is None and read("NOASSERTION", True) is None and read("AND MIT", True) is None
+
+
+def test_expressions_against_truth_tables():
+    rng = random.Random(8)
+    names = {"MIT": True, "GPL-2.0-only": False, "Apache-2.0": True, "MPL-2.0": False, "ISC": True, "GPL-3.0-or-later WITH Classpath-exception-2.0": False}
+
+    def grown(depth):
+        if not depth or rng.random() < 0.2:
+            return rng.choice(list(names))
+        parts = [grown(depth - 1) for _ in range(rng.randint(2, 3))]
+        whole = parts[0]
+        for p in parts[1:]:
+            whole += f" {rng.choice(('AND', 'OR'))} {p}"
+        return f"({whole})" if rng.random() < 0.6 else whole
+
+    for _ in range(400):
+        said = grown(3)
+        python = said
+        for name in sorted(names, key=len, reverse=True):
+            python = python.replace(name, str(names[name]))
+        ok, found = licenses.evaluate(licenses.postfix(said.encode(), rng.random() < 0.5))
+        assert ok == eval(python.replace("AND", "and").replace("OR", "or"))  # noqa: S307
+        assert found == {n.split(" ")[0].lower() for n in names if n in said}
+
+
+def test_tags_come_from_the_automaton():
     said = lambda x: (lambda got: (got[5], got[6], got[7], got[8]))(licenses.scan(x))
     assert said("SPDX-License-Identifier: MIT AND LicenseRef-Proprietary") == ("licenseref-proprietary,mit", 1, ["mit licenseref-proprietary and"], False)
     assert said("// SPDX-License-Identifier: (MIT OR WTFPL)\nx") == ("mit,wtfpl", 1, ["mit wtfpl or"], True)
+    assert said("SPDX License Identifier: MIT") == ("mit", 1, ["mit"], True) == said("é SPDX_License_Identifier : MIT")
     for name in ("BSD-4-Clause", "LGPL-2.0-only", "OFL-1.1", "CC-BY-3.0", "DocumentRef-a:LicenseRef-b"):
         labels, *rest = said(f"SPDX-License-Identifier: {name}")
         assert name.lower() in labels.split(",") and rest == [1, [name.lower()], False]
     assert said("SPDX-License-Identifier: MIT */") == ("mit", 1, ["mit"], True)
     assert said("SPDX-License-Identifier: NOASSERTION")[1:] == said("SPDX-License-Identifier:\nword")[1:] == (0, [], None)
     assert said("licensed under the MIT and other terms")[2] == ["mit"]
+    assert said("SPDX-License-Identifier: MIT AND") == ("unknown", 0.5, [], None)
+    assert said("SPDX-License-Identifier: MIT OR\nlicensed under GPL-3.0")[0::3] == ("gpl-3.0,unknown", False)
+
+
+def test_long_notices_take_linear_time():
+    import time
+
+    def seconds(n):
+        text = "licensed under the MIT License, all rights reserved. SPDX-License-Identifier: MIT " * n
+        began = time.process_time()
+        got = licenses.scan(text)
+        assert got[1] == n and len(got[7]) == 2 * n and got[3] - got[2] == 12 * (n - 1)
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(16_000) < 8 * max(seconds(4000), 0.02)
 
 
 def test_license_places_against_brute_force(docs, odd, empty):
