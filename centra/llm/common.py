@@ -3,19 +3,41 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from centra.functions.storage import checkpointed, shared_dir
 
-__all__ = ["WORD", "checkpointed", "durable", "forget", "row_sign", "same_id"]
+__all__ = ["WORD", "checkpointed", "delete", "durable", "forget", "recorded", "row_sign", "unused"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 #: Paths of the tables that this session has written, oldest first.
 written: list[str] = []
+_scope: ContextVar[list[str] | None] = ContextVar("tables", default=None)
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """A list of the paths that durable() writes meanwhile, apart from those of other runs in the session."""
+    mine: list[str] = []
+    before = _scope.set(mine)
+    try:
+        yield mine
+    finally:
+        _scope.reset(before)
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing reads any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def durable(df: DataFrame, label: str) -> DataFrame:
@@ -24,6 +46,8 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     written.append(path)
+    if (mine := _scope.get()) is not None:
+        mine.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -40,6 +64,12 @@ def row_sign() -> Column:
     return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
 
 
-def same_id(a: str, b: str) -> Column:
-    """Both null or equal, written so that a join does not deal rows out by it."""
-    return F.coalesce(F.col(a) == F.col(b), F.col(a).isNull() & F.col(b).isNull())
+def unused(columns: list[str], *names: str) -> list[str]:
+    """names, each with underscores before it until no column is called so, in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -5,7 +5,7 @@ script is written by some languages only leaves the others out; a script that no
 with a switching penalty then labels the words, and neighbouring words of one label form a span.
 
 Cases: a null text, an empty text or one without letters gives language ``und``, score 0 and no spans; without a single
-training row every text does. Repeated rows are labelled alike; a tie goes to the language that sorts first. Null
+training row every text does. Text in scripts that no learned language uses gets score 0. Repeated rows are labelled alike; a tie goes to the language that sorts first. Null
 doc_ids pass through. Extra columns are neither read nor returned.
 """
 
@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import row_sign, unused
+
 #: Expected number of labelled training documents for each language, at most.
 TRAIN_DOCS_PER_LANG = 4000
 BUCKETS = 1 << 16
@@ -203,6 +205,8 @@ def _label(texts: list[str], model: Model) -> Iterator[tuple[str, float, list[di
         other = np.delete(total, lang).max() if len(total) > 1 else -np.inf
         # Of a mixed text the share says enough; of a text of one language, how far the next one lies behind.
         sure = 1 / (1 + np.exp(-np.clip(total[lang] - other, -50, 50))) if share[lang] == 1 else 1.0
+        # Letters of scripts that no learned language uses speak for none.
+        sure *= size[s.any(1)].sum() / size.sum()
         turn = np.flatnonzero(np.diff(path, prepend=-1))
         last = np.append(turn[1:], b - a) - 1
         spans = [{"start": int(begins[a + x]), "end": int(ends[a + y]), "lang": model.langs[path[x]]} for x, y in zip(turn, last)]
@@ -234,7 +238,7 @@ def fold(doc_id) -> F.Column:
 def fit_documents(docs: DataFrame) -> Model:
     """The model of documents(doc_id, text, lang), from the rows outside the held-out fold."""
     rows = docs.where(fold(F.col("doc_id")) != 2)
-    pick = F.xxhash64(F.col("doc_id")).bitwiseAND(F.lit(2**32 - 1))
+    pick = row_sign().bitwiseAND(F.lit(2**32 - 1))
     return train(rows.select("text", "lang", pick.alias("pick")))
 
 
@@ -250,6 +254,7 @@ LEAST_SCORE = 0.3
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known well enough; the others go. Columns stay."""
-    found = identify(docs, fit_documents(docs), tuple(docs.columns), ("__lang", "__score", "__spans"))
-    kept = (F.col("__lang") != UND) & (F.col("__score") >= LEAST_SCORE)
+    names = tuple(unused(docs.columns, "lang_pred", "score", "spans"))
+    found = identify(docs, fit_documents(docs), tuple(docs.columns), names)
+    kept = (F.col(names[0]) != UND) & (F.col(names[1]) >= LEAST_SCORE)
     return found.where(kept).select(*(F.col(f"`{c}`") for c in docs.columns))

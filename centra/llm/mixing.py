@@ -26,7 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, durable, row_sign, same_id
+from centra.functions.numbering import numbered
+
+from .common import WORD, checkpointed, durable, row_sign, unused
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST = 3.0
@@ -35,25 +37,10 @@ GROUP = 5000
 STEPS = 60
 
 
-def numbered(keys: DataFrame) -> DataFrame:
-    """keys(source, ...) with n, the place of each source in code point order from 0, null last.
-
-    Ranges are sorted apart and offset by the sizes of those before; only these sizes reach the driver.
-    """
-    order = [F.col("source").isNull(), F.col("source")]
-    ranged = checkpointed(keys.repartitionByRange(*order).withColumn("at", F.spark_partition_id()))
-    sizes = sorted((r["at"], r["count"]) for r in ranged.groupBy("at").count().collect())
-    first, total = {}, 0
-    for at, n in sizes:
-        first[at], total = total, total + n
-    offset = F.create_map(*[x for at, n in first.items() for x in (F.lit(at), F.lit(n))]) if first else F.create_map(F.lit(-1), F.lit(0))
-    return ranged.withColumn("n", F.row_number().over(Window.partitionBy("at").orderBy(*order)) - 1 + offset[F.col("at")]).drop("at")
-
-
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
     """sources(source, source_size) with target."""
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("n") % len(weights) + 1).cast("int"))
-    table = checkpointed(numbered(sources).withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(most)))
+    table = checkpointed(numbered(sources, [F.col("source").isNull(), F.col("source")]).withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(most)))
     level = 0.0  # words for each unit of weight; a source stops where its cap is less
     while True:
         stopped = F.col("cap") <= F.col("weight") * F.lit(level)
@@ -187,10 +174,10 @@ def op10_mixing(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it; columns stay."""
     # Rows alike in doc_id and text may differ in copies: these are added up and dealt over the rows.
-    same = mix(docs).groupBy("doc_id", "sign").agg(F.sum("copies").alias("__all"), F.count("*").alias("__rows"))
-    same = same.withColumnsRenamed({"doc_id": "__id", "sign": "__of"})
-    met = docs.withColumn("__sign", row_sign()).join(same, (F.col("__sign") == F.col("__of")) & same_id("doc_id", "__id"))
-    place = F.row_number().over(Window.partitionBy("__sign", "doc_id").orderBy("doc_id"))
-    n = F.floor(F.col("__all") / F.col("__rows")) + (F.col("__place") <= F.col("__all") % F.col("__rows")).cast("long")
-    taken = met.withColumn("__place", place).withColumn("__n", n).where("__n > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    sign, key, of, total, rows, at, n, copy = unused(docs.columns, "sign", "key", "of", "all", "rows", "at", "n", "copy")
+    same = mix(docs).groupBy("doc_id", "sign").agg(F.sum("copies").alias(total), F.count("*").alias(rows)).withColumnsRenamed({"doc_id": key, "sign": of})
+    alike = F.coalesce(F.col("doc_id") == F.col(key), F.col("doc_id").isNull() & F.col(key).isNull())
+    met = docs.withColumn(sign, row_sign()).join(same, (F.col(sign) == F.col(of)) & alike)
+    place = F.row_number().over(Window.partitionBy(sign, "doc_id").orderBy("doc_id"))
+    taken = met.withColumn(at, place).withColumn(n, F.floor(F.col(total) / F.col(rows)) + (F.col(at) <= F.col(total) % F.col(rows)).cast("long"))
+    return taken.where(F.col(n) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))

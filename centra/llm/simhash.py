@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, row_sign, same_id
+from .common import checkpointed, durable, row_sign, unused
 from centra.operators.components import components
 
 SHINGLE = 4
@@ -51,12 +51,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(h), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, sign) of every row of docs(doc_id, text); fp holds the 64 bits, sign is a hash of doc_id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.fromiter((fingerprint(x.as_py()) for x in batch.column(1)), np.uint64, batch.num_rows).view(np.int64)
+            fp = np.fromiter((fingerprint(x.as_py(), shingle) for x in batch.column(1)), np.uint64, batch.num_rows).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), batch.column(2)], names=["doc_id", "fp", "sign"])
 
     return docs.select(F.col("doc_id").cast("long"), "text", row_sign().alias("sign")).mapInArrow(run, "doc_id long, fp long, sign long")
@@ -186,13 +186,14 @@ def _edges(parts: list[list[np.ndarray]], link: int) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, link: int = LINK, parts: int = PARTS) -> DataFrame:
+def near_duplicates(docs: DataFrame, link: int = LINK, parts: int = PARTS, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, sign, root, component_id) of every row of docs(doc_id, text); root is the component's least fingerprint."""
-    marked = durable(fingerprints(docs), "simhash")
+    marked = durable(fingerprints(docs, shingle), "simhash")
     groups = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(groups, link, parts)).select(F.col("node").alias("fp"), "root")
     rooted = groups.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    # Cut off, so that Spark can broadcast it if it is small, and split a giant component's fingerprints if it is not.
+    least = checkpointed(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
     named = rooted.join(least, "root").select("fp", "root", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "sign", "root", "component_id")
 
@@ -202,14 +203,20 @@ def op4_simhash(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Words of a shingle in the pipeline's stage.
+STAGE_SHINGLE = 5
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays, the one with the smallest doc_id; columns stay.
 
-    Components are told apart by their roots: their ids may be null or shared.
+    Shingles have STAGE_SHINGLE words here. Components are told apart by their roots: their ids may be null or shared. Of
+    rows alike in doc_id and text one stays.
     """
-    found = near_duplicates(docs)
+    found = near_duplicates(docs, shingle=STAGE_SHINGLE)
+    sign, of, key = unused(docs.columns, "sign", "of", "key")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sign")).alias("first")
-    kept = durable(found.groupBy("root").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.sign").alias("__of")).distinct(), "simhash-kept")
-    signed = docs.withColumn("__sign", row_sign())
-    stay = signed.join(kept, (F.col("__sign") == F.col("__of")) & same_id("doc_id", "__id"), "left_semi")
-    return stay.dropDuplicates(["__sign", "doc_id"]).drop("__sign")
+    kept = durable(found.groupBy("root").agg(first).select(F.col("first.doc_id").alias(key), F.col("first.sign").alias(of)).distinct(), "simhash-kept")
+    signed = docs.withColumn(sign, row_sign())
+    same = F.coalesce(F.col("doc_id") == F.col(key), F.col("doc_id").isNull() & F.col(key).isNull())
+    return signed.join(kept, (F.col(sign) == F.col(of)) & same, "left_semi").dropDuplicates([sign, "doc_id"]).drop(sign)

@@ -1,8 +1,10 @@
 """URL filters: host and path rules, and for all other pages trust and distrust that spread over the host graph.
 
 Trust starts at the hosts of pages that a rule allows and follows links; distrust starts at the hosts of pages that a
-rule blocks and follows links backwards. Both are personalised PageRank over host edges, in units of ruled pages, with
-ROUNDS iterations. A host with more distrust than trust is blocked, any other one allowed. DataFrame functions only.
+rule blocks and follows links backwards. Both are personalised PageRank over host edges, in units of ruled pages; what
+reaches a host without links onwards stays there. Rounds go on until the values change by less than TOLERANCE of all seeds in
+total, which ROUNDS rounds suffice for on any graph, as each shrinks the change by DAMPING. A host with more distrust
+than trust is blocked, any other one allowed. DataFrame functions only.
 
 Cases: a null url or one without :// has an empty host and path, fits no rule, and is judged as the host ''. A null html
 has no links. Links within a host and links without a host do not count. Repeated pages and links count each time.
@@ -11,6 +13,7 @@ Without ruled pages all is allowed. Empty tables give empty results; extra colum
 
 from __future__ import annotations
 
+from math import ceil, log
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
@@ -23,7 +26,8 @@ RULES = [
     ("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"),
 ]
 DAMPING = 0.85
-ROUNDS = 8
+TOLERANCE = 1e-9
+ROUNDS = ceil(log(TOLERANCE) / log(DAMPING))
 HOST = r"(?s)^.*?://([^/?#]*)"
 PATH = r"(?s)^.*?://[^/?#]*([^?#]*)"
 #: Targets of links that name a host.
@@ -57,21 +61,27 @@ def edges(pages: DataFrame) -> DataFrame:
     return links.select("src", _lower(F.col("dst")).alias("dst")).where("src != dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, kind, value) after rounds of spreading seeds(host, kind, seed) over links(src, dst, n); kind 'd' goes back."""
+def propagate(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, kind, value) when seeds(host, kind, seed) have spread over links(src, dst, n); kind 'd' goes back."""
     out = links.groupBy("src").agg(F.sum("n").alias("all")).withColumnRenamed("src", "k")
     back = links.groupBy("dst").agg(F.sum("n").alias("all")).withColumnRenamed("dst", "k")
     forth = links.join(out, F.col("src") == F.col("k")).select(F.lit("t").alias("kind"), F.col("src").alias("from"), F.col("dst").alias("to"), (F.col("n") / F.col("all")).alias("p"))
     rear = links.join(back, F.col("dst") == F.col("k")).select(F.lit("d").alias("kind"), F.col("dst").alias("from"), F.col("src").alias("to"), (F.col("n") / F.col("all")).alias("p"))
     steps = checkpointed(forth.unionByName(rear))
     first = checkpointed(seeds.select("host", "kind", (F.col("seed") * F.lit(1 - damping)).alias("value")))
-    now = first
     if not steps.limit(1).count():
-        return now
+        return first
+    # What the last round has added moves on; value is the sum of all that has come so far.
+    now = checkpointed(first.withColumn("fresh", F.col("value")))
+    total = now.agg(F.sum("value")).first()[0] or 0.0
     for _ in range(rounds):
-        moved = steps.join(now.select(F.col("host").alias("from"), "kind", "value"), ["from", "kind"]).select(F.col("to").alias("host"), "kind", (F.col("value") * F.col("p") * damping).alias("value"))
-        now = checkpointed(moved.unionByName(first).groupBy("host", "kind").agg(F.sum("value").alias("value")))
-    return now
+        moving = now.where("fresh > 0").select(F.col("host").alias("from"), "kind", "fresh")
+        moved = steps.join(moving, ["from", "kind"]).select(F.col("to").alias("host"), "kind", F.lit(0.0).alias("value"), (F.col("fresh") * F.col("p") * damping).alias("fresh"))
+        met = moved.unionByName(now.select("host", "kind", "value", F.lit(0.0).alias("fresh"))).groupBy("host", "kind").agg(F.sum("value").alias("value"), F.sum("fresh").alias("fresh"))
+        now = checkpointed(met.select("host", "kind", (F.col("value") + F.col("fresh")).alias("value"), "fresh"))
+        if (now.agg(F.sum("fresh")).first()[0] or 0.0) <= tolerance * total:
+            break
+    return now.select("host", "kind", "value")
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:

@@ -286,6 +286,58 @@ def test_url_rules_and_propagation(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_propagation_against_power_iteration(spark):
+    """300 hosts with hubs, cycles, hosts without links, and seeds of both kinds."""
+    rng = np.random.default_rng(9)
+    n, weights = 300, defaultdict(int)
+    for a in range(n - 40):  # the last 40 link nowhere
+        for b in [(a + 1) % n, 0, *rng.integers(0, n, rng.integers(0, 6)).tolist(), *(range(0, n, 3) if a == 7 else [])]:
+            if a != b:
+                weights[a, int(b)] += int(rng.integers(1, 4))
+    seeds = [(int(h), k, float(rng.integers(1, 9))) for k in "td" for h in rng.choice(n, 25, replace=False)]
+    table = spark.createDataFrame([(f"h{a}", f"h{b}", w) for (a, b), w in weights.items()], "src string, dst string, n long")
+    got = {(r.host, r.kind): r.value for r in url_filter.propagate(spark.createDataFrame([(f"h{h}", k, s) for h, k, s in seeds], "host string, kind string, seed double"), table, damping=0.5).collect()}
+    link = np.zeros((n, n))
+    for (a, b), w in weights.items():
+        link[a, b] = w
+    for kind, step in (("t", link), ("d", link.T)):
+        step = step / np.maximum(step.sum(1, keepdims=True), 1e-300)
+        seed = np.zeros(n)
+        for h, k, s in seeds:
+            seed[h] += s * (k == kind)
+        value = np.linalg.solve(np.eye(n) - 0.5 * step.T, 0.5 * seed)
+        assert max(abs(value[i] - got.get((f"h{i}", kind), 0.0)) for i in range(n)) < 1e-9 * sum(s for _, _, s in seeds)
+
+
+def test_url_filter_odd_cases(spark):
+    page = "<a href='//spam.org'>" * 20_000
+    rows = [(1, "http://a.org/es/", None), (1, "http://a.org/es/", None), (None, None, None), (2, "http://b.io/", page), (2, "http://b.io/", page), (3, "", "")]
+    clash = "page_id long, url string, html string"
+    table = spark.createDataFrame([(*r, "x", "y", 1.0, 1) for r in rows], f"{clash}, host string, rule string, value double, n int").repartition(3)
+    plain = spark.createDataFrame(rows, clash)
+    got = sorted(map(repr, url_filter.judge(table).collect()))
+    assert got == sorted(map(repr, url_filter.judge(plain).collect())) and len(got) == len(rows)
+
+
+# --- stages keep columns of any name
+
+
+def test_stages_keep_columns_of_their_own_names(spark, docs):
+    from centra.llm.common import unused
+
+    assert unused(["A", "_a"], "a", "b") == ["__a", "b"]
+    names = ["sign", "_sign", "of", "key", "all", "rows", "at", "n", "copy", "lang_pred", "score", "spans", "__sign", "__of", "__lang", "part", "block", "c0", "a b"]
+    plain = docs.limit(60).cache()
+    wide = plain.select("*", *(F.concat(F.lit(f"{x}-"), F.col("doc_id").cast("string")).alias(x) for x in names)).cache()
+    for stage in (language_id.stage, simhash.stage, substrings.stage, mixing.stage, bpe.stage):
+        want, got = stage(spark, plain, ""), stage(spark, wide, "")
+        left = want.columns
+        assert sorted(map(repr, got.select(*left).collect())) == sorted(map(repr, want.select(*left).collect()))
+        if stage is not bpe.stage:
+            assert got.columns == wide.columns
+            assert got.where(" or ".join(f"`{x}` != '{x}-' || doc_id" for x in names)).count() == 0
+
+
 # --- licences
 
 
