@@ -10,22 +10,23 @@ from .storage import checkpointed
 
 def running_total(rows: DataFrame, order: list[Column], value: str, name: str = "total") -> DataFrame:
     """rows with the sum of value (whole numbers) over all rows up to each one in order, itself included."""
-    ranged = checkpointed(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
-    first, total = {}, 0
-    for part, n in sorted((r["__part"], r["n"]) for r in ranged.groupBy("__part").agg(F.sum(value).cast("long").alias("n")).collect()):
-        first[part], total = total, total + (n or 0)
-    offset = F.create_map(*[x for item in (first or {-1: 0}).items() for x in map(F.lit, item)])
-    own = F.sum(value).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return ranged.withColumn(name, (own + offset[F.col("__part")]).cast("long")).drop("__part")
+    window = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return _offset(rows, order, F.sum(value), F.sum(value).over(window), name)
 
 
 def numbered(rows: DataFrame, order: list[Column], name: str = "n") -> DataFrame:
-    """rows with the place of each row in order, from 0. Ranges are sorted apart; their sizes, one for each partition,
-    are all that reaches the driver. Rows must differ in order for a repeatable result."""
+    """rows with the place of each row in order, from 0. Rows must differ in order for a repeatable result."""
+    return _offset(rows, order, F.count("*"), F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1, name)
+
+
+def _offset(rows: DataFrame, order: list[Column], size: Column, place: Column, name: str) -> DataFrame:
+    """Ranges are sorted apart, and what is counted in each goes on from the ranges before it. Only one number for each
+    partition reaches the driver; they are joined back as a table."""
     ranged = checkpointed(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
-    first, total = {}, 0
-    for part, n in sorted((r["__part"], r["count"]) for r in ranged.groupBy("__part").count().collect()):
-        first[part], total = total, total + n
-    offset = F.create_map(*[x for item in (first or {-1: 0}).items() for x in map(F.lit, item)])
-    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1 + offset[F.col("__part")]
-    return ranged.withColumn(name, place.cast("long")).drop("__part")
+    before, total = [], 0
+    for part, n in sorted((r["__part"], r["n"]) for r in ranged.groupBy("__part").agg(size.cast("long").alias("n")).collect()):
+        before.append((part, total))
+        total += n or 0
+    offsets = rows.sparkSession.createDataFrame(before, "__at int, __before long")
+    met = ranged.withColumn(name, place).join(F.broadcast(offsets), F.col("__part") == F.col("__at"))
+    return met.withColumn(name, (F.col(name) + F.col("__before")).cast("long")).drop("__part", "__at", "__before")

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor reaches, from spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """Folder that every executor reaches, from spark.checkpoint.dir. Where that is unset, a temporary one in local mode
+    (tests); on a cluster an error, as executors would each write to a folder of their own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="centra-"))
         found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return found
