@@ -27,6 +27,6 @@ def _offset(rows: DataFrame, order: list[Column], size: Column, place: Column, n
     for part, n in sorted((r["__part"], r["n"]) for r in ranged.groupBy("__part").agg(size.cast("long").alias("n")).collect()):
         before.append((part, total))
         total += n or 0
-    offsets = rows.sparkSession.createDataFrame(before, "__at int, __before long")
-    met = ranged.withColumn(name, place).join(F.broadcast(offsets), F.col("__part") == F.col("__at"))
-    return met.withColumn(name, (F.col(name) + F.col("__before")).cast("long")).drop("__part", "__at", "__before")
+    offsets = rows.sparkSession.createDataFrame(before, "__offset_part int, __offset long")
+    met = ranged.withColumn(name, place).join(F.broadcast(offsets), F.col("__part") == F.col("__offset_part"))
+    return met.withColumn(name, (F.col(name) + F.col("__offset")).cast("long")).drop("__part", "__offset_part", "__offset")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from centra.functions.storage import checkpointed
 
-from .graph import transpose, vertices
+from .graph import transpose, uniform, vertices
 
 #: Steps between checkpoints of a loop's vector.
 EVERY = 4
@@ -120,7 +120,7 @@ def eigenvector(edges: DataFrame, iterations: int = 5) -> DataFrame:
 
 
 def eigenvector_mass(edges: DataFrame, m: int = 3, iterations: int = 5, running: bool = True) -> DataFrame:
-    """(id, mass1 .. massm) from the seed ev n / (deg + 1)."""
+    """(id, mass1 .. massm) as log1p, from the seed ev n / (deg + 1)."""
     ev, d = eigenvector(edges, iterations), degrees(edges)
     n = d.agg(F.count("*").alias("n"))
     seed = ev.join(d, "id").join(F.broadcast(n)).select("id", (F.col("value") * F.col("n") / (F.col("deg") + 1)).alias("value"))
@@ -128,7 +128,7 @@ def eigenvector_mass(edges: DataFrame, m: int = 3, iterations: int = 5, running:
     total, cols = F.lit(0.0), []
     for k in range(1, m + 1):
         total = total + F.col(f"d{k}") if running else F.col(f"d{k}")
-        cols.append(total.alias(f"mass{k}"))
+        cols.append(F.log1p(total).alias(f"mass{k}"))
     return got.select("id", *cols)
 
 
@@ -146,23 +146,56 @@ def sinusoid(position: Column, i: int, width: int) -> Column:
     return F.sin(angle) if i % 2 == 0 else F.cos(angle)
 
 
-def mixed_degrees(edges: DataFrame, kind: str) -> DataFrame:
-    """(id, value ...) of further starting features: sums or maxima over neighbours of the degree."""
+def features(edges: DataFrame, kind: str, width: int = 12, normalised: bool = False) -> DataFrame:
+    """(id, c1 .. cm): the starting features of one kind, as log1p but for degree0, degree_embedding (the degree as an
+    index below width), random_m and the encodings, which have width places for each degree; normalised over their
+    maxima if wanted.
+
+    d1 is the degree, d_k the sum of d_(k-1) over the neighbours, m_k their maximum (0 without any).
+    """
     ones = _ones(edges)
-    if m := re.fullmatch(r"degree(\d)", kind):
-        k = int(m[1])
-        return ones if k == 0 else hops(edges, ones, k).select("id", F.col(f"d{k}").alias("value"))
-    first = checkpointed(ones.select("id").join(spmv(edges, ones), "id", "left").fillna(0.0, ["value"]))
-    if kind in ("mix_max", "mix_max_sum"):
-        top = spmv(edges, first, F.max).withColumnRenamed("value", "top")
-        both = first.join(top, "id", "left").fillna(0.0, ["top"])
-        return both.select("id", "value", "top") if kind == "mix_max" else both.select("id", (F.col("value") + F.col("top")).alias("value"))
-    if kind in ("degree_mix_sum", "degree_mix_sum_2"):
-        d = hops(edges, ones, 3 if kind.endswith("2") else 2)
-        return d.select("id", sum((F.col(c) for c in d.columns[2:]), F.col("d1")).alias("value"))
-    if kind == "mix_d0d2":
-        return hops(edges, ones, 2).select("id", F.lit(1.0).alias("value"), F.col("d2").alias("second"))
-    raise ValueError(f"unknown feature {kind!r}")
+    if m := re.fullmatch(r"random_(\d+)", kind):
+        far = lambda i, side: F.greatest(uniform(2 * i + side, "id"), F.lit(2.0**-53))
+        normal = lambda i: F.sqrt(-2 * F.log(far(i, 0))) * F.cos(2 * math.pi * far(i, 1))
+        return ones.select("id", *(normal(i).alias(f"c{i + 1}") for i in range(int(m[1]))))
+    if m := re.fullmatch(r"ev_mix_(mass|independent)_(\d+)", kind):
+        got = eigenvector_mass(edges, int(m[2]), running=m[1] == "mass")
+        return _channels(got.select("id", *(F.expm1(c) for c in got.columns[1:])), True, normalised)
+    depth = {"degree0": 1, "degree_embedding": 1, "positional_encoding": 1, "degree1": 1, "degree_pure": 1, "degree2": 2, "degree": 2, "degree_mix_sum_2": 2}
+    growing = re.fullmatch(r"degree_mix_(mass|independent)_(\d+)", kind)
+    d = hops(edges, ones, int(growing[2]) if growing else depth.get(kind, 3)).drop("value")
+    c = F.col
+    if kind == "degree0":
+        return d.select("id", F.lit(1.0).alias("c1"))
+    if kind == "degree_embedding":
+        return d.select("id", F.least(c("d1"), F.lit(width - 1.0)).cast("int").alias("c1"))
+    if kind in ("positional_encoding", "positional_encoding_3d"):
+        own = [c("d1")] if kind == "positional_encoding" else [c("d1"), c("d2"), c("d3")]
+        return d.select("id", *(sinusoid(x, i, width).alias(f"c{k * width + i + 1}") for k, x in enumerate(own) for i in range(width)))
+    if kind in ("degree_mix_max", "degree_mix_max_sum"):
+        top = hops(edges, d.select("id", c("d1").alias("value")), 2, F.max).select(c("id").alias("of"), c("d1").alias("m2"), c("d2").alias("m3"))
+        both = d.join(top, c("id") == c("of"))
+        most = [c("d1"), c("m2"), c("m3")]
+        return _channels(both.select("id", *(most if kind == "degree_mix_max" else [c("d1"), c("d2"), c("d3"), *most])), True, normalised)
+    if growing:
+        own = [c(x) for x in d.columns[1:]]
+        if growing[1] == "mass":
+            own = [sum(own[1 : i + 1], own[0]) for i in range(len(own))]
+    else:
+        known = {
+            "degree1": [c("d1")], "degree_pure": [c("d1")], "degree2": ["d2"], "degree": ["d2"], "degree3": ["d3"], "degree_mix_sum": ["d1", "d2", "d3"],
+            "degree_mix_sum_2": ["d1", "d2"], "degree_mix_d0d2": [c("d1"), c("d1") + c("d2") + c("d3")],
+        }
+        if kind not in known:
+            raise ValueError(f"unknown feature {kind!r}")
+        own = [c(x) if isinstance(x, str) else x for x in known[kind]]
+    return _channels(d.select("id", *own), True, normalised)
+
+
+def _channels(x: DataFrame, log: bool, normalised: bool) -> DataFrame:
+    named = x.toDF("id", *(f"c{i}" for i in range(1, len(x.columns))))
+    named = named.select("id", *((F.log1p(c) if log else F.col(c)).alias(c) for c in named.columns[1:]))
+    return max_norm(named, named.columns[1:]) if normalised else named
 
 
 def parse_init_type(kind: str) -> dict:

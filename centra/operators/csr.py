@@ -77,6 +77,25 @@ class Csr:
             dep[source] += reached.sum() - 2
         return dep
 
+    def eccentricity(self, source: int, of: np.ndarray, dist: np.ndarray, backward: bool = False) -> int:
+        """The largest distance from source within its component; dist holds -1 everywhere, and does so again after."""
+        at, to = (self.in_at, self.in_to) if backward else (self.out_at, self.out_to)
+        border, depth, touched = np.array([source]), 0, [np.array([source])]
+        dist[source] = 0
+        while True:
+            size = at[border + 1] - at[border]
+            ends = np.cumsum(size)
+            b = to[np.repeat(at[border] - ends + size, size) + np.arange(ends[-1])]
+            b = np.unique(b[(dist[b] < 0) & (of[b] == of[source])])
+            if not len(b):
+                break
+            depth += 1
+            dist[b] = depth
+            touched.append(b)
+            border = b
+        dist[np.concatenate(touched)] = -1
+        return depth
+
     def strong_components(self) -> tuple[np.ndarray, list[int]]:
         """Component numbers, sinks of the condensation first, found without recursion; and their list."""
         index, low, of = [-1] * self.n, [0] * self.n, [-1] * self.n

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from centra.functions.numbering import numbered
+from centra.functions.storage import checkpointed
 
 
 def distinct_edges(edges: DataFrame) -> DataFrame:
@@ -70,10 +71,28 @@ def keep_columns(edges: DataFrame, kept: DataFrame) -> DataFrame:
 def between(edges: DataFrame) -> DataFrame:
     """(id) of vertices that may lie inside a shortest path: some in-neighbour u and out-neighbour w, u other than w,
     have no edge u -> w. All other vertices (leaves, sources, sinks and those in the midst of cliques) are masked."""
-    e = drop_loops(edges)
-    into, out = e.select(F.col("src").alias("u"), F.col("dst").alias("id")), e.select(F.col("src").alias("id"), F.col("dst").alias("w"))
-    wedges = into.join(out, "id").where("u != w")
-    return wedges.join(e.select(F.col("src").alias("u"), F.col("dst").alias("w")), ["u", "w"], "left_anti").select("id").distinct()
+    # A vertex is settled without its wedges if an in-neighbour has too few out-neighbours for all of its, or an
+    # out-neighbour too few in-neighbours. What is left is expanded along edges whose far side has no fewer, so wedges
+    # number edges times the root of edges at most, however large a hub is.
+    e = checkpointed(drop_loops(edges).select("src", "dst").distinct())
+    d = degrees_of(e)
+    far = lambda c: d.select(F.col("id").alias(c), F.col("outs").alias(f"{c}_outs"), F.col("ins").alias(f"{c}_ins"))
+    rev = transpose(e).withColumn("both", F.lit(1))
+    met = checkpointed(e.join(rev, ["src", "dst"], "left").join(far("src"), "src").join(far("dst"), "dst").withColumn("both", F.coalesce("both", F.lit(0))))
+    by_in = met.where((F.col("dst_outs") > F.col("both")) & (F.col("src_outs") < F.col("dst_outs") - F.col("both") + 1)).select(F.col("dst").alias("id"))
+    by_out = met.where((F.col("src_ins") > F.col("both")) & (F.col("dst_ins") < F.col("src_ins") - F.col("both") + 1)).select(F.col("src").alias("id"))
+    open_ = checkpointed(by_in.unionByName(by_out).distinct())
+    rest = d.where("ins > 0 and outs > 0").select("id").join(open_, "id", "left_anti")
+    into = e.select(F.col("src").alias("u"), F.col("dst").alias("id")).join(rest, "id")
+    wedges = into.join(e.select(F.col("src").alias("id"), F.col("dst").alias("w")), "id").where("u != w")
+    found = wedges.join(e.select(F.col("src").alias("u"), F.col("dst").alias("w")), ["u", "w"], "left_anti").select("id").distinct()
+    return open_.unionByName(found)
+
+
+def degrees_of(edges: DataFrame) -> DataFrame:
+    """(id, outs, ins) of all endpoints."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("x"))
+    return ends.groupBy("x.id").agg(F.sum("x.o").alias("outs"), F.sum("x.i").alias("ins"))
 
 
 def clique_mask(edges: DataFrame) -> DataFrame:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from centra.functions.storage import checkpointed
 
 from .components import components
-from .csr import Csr
+from .csr import Csr, collected
 from .graph import symmetrise, vertices
 
 
@@ -54,9 +55,21 @@ def weak_components(edges: DataFrame) -> DataFrame:
     return vertices(edges).join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
-    """(id, component): forward colours to a fixed point, then backwards within each colour from its root, and again on
-    what is left. The component is its least id."""
+#: Edges up to which strong components are found by a depth-first search on the driver, which rounds of joins take a
+#: round for each step of the longest path to match.
+SMALL = 2_000_000
+
+
+def strong_components(edges: DataFrame, small: int = SMALL) -> DataFrame:
+    """(id, component), the component being its least id. Graphs of more than small edges: forward colours to a fixed
+    point, then backwards within each colour from its root, and again on what is left."""
+    edges = checkpointed(edges.select("src", "dst"))
+    if edges.count() <= small:
+        g = collected(edges, small)
+        of, order = g.strong_components()
+        least = np.full(len(order), np.iinfo(np.int64).max)
+        np.minimum.at(least, of, g.ids)
+        return edges.sparkSession.createDataFrame(pa.table([pa.array(g.ids), pa.array(least[of])], names=["id", "component"]))
     left = checkpointed(edges.where("src != dst").select("src", "dst").distinct())
     ids = checkpointed(vertices(edges))
     out = None
@@ -126,8 +139,13 @@ def diameter_bound(g: Csr, directed: bool) -> float:
     for v in np.lexsort((np.arange(g.n), -total)):
         if pivot[of[v]] < 0:
             pivot[of[v]] = v
-    forth = np.array([g.distances(p, within=of)[1] for p in pivot])
-    back = np.array([g.distances(p, within=of, backward=True)[1] for p in pivot]) if directed else forth
+    # A component of one vertex has eccentricity 0, so only the others are searched.
+    forth, back = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+    dist = np.full(g.n, -1)
+    for c in np.flatnonzero(np.bincount(of, minlength=len(order)) > 1):
+        forth[c] = back[c] = g.eccentricity(pivot[c], of, dist)
+        if directed:
+            back[c] = g.eccentricity(pivot[c], of, dist, backward=True)
     reach = forth.astype(float)
     src = np.repeat(np.arange(g.n), np.diff(g.out_at))
     pairs = np.unique(np.stack([of[src], of[g.out_to]], 1)[of[src] != of[g.out_to]], axis=0) if len(src) else np.zeros((0, 2), int)
@@ -173,6 +191,7 @@ def landmark_distances(edges: DataFrame, ids: list[int]) -> DataFrame:
 
 
 def landmark_stats(distances: DataFrame) -> DataFrame:
-    return distances.groupBy("id").agg(F.min("value").alias("least"), F.max("value").alias("most"), F.avg("value").alias("mean"))
-
-
+    """(id, least, most, mean) of landmark_distances(), each landmark's column first divided by its maximum plus 1e-6."""
+    top = distances.groupBy("landmark").agg((F.max("value") + 1e-6).alias("top"))
+    share = distances.join(F.broadcast(top), "landmark").select("id", (F.col("value") / F.col("top")).alias("value"))  # a few landmarks
+    return share.groupBy("id").agg(F.min("value").alias("least"), F.max("value").alias("most"), F.avg("value").alias("mean"))

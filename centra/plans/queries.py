@@ -9,41 +9,32 @@ from centra.functions import ranking
 from centra.operators import algebra, generators, gnn, graph, sampling, traverse
 from centra.operators.betweenness import betweenness, betweenness_by_joins
 from centra.operators.csr import collected
-from centra.plans import runlog
+from centra.plans import files, runlog
 from centra.sources import tables
 
 QUERIES = {}
 ORACLE = {}
 
-SP = """sp as materialized (with p as (select distinct 2 * l_suppkey as a, 2 * l_partkey + 1 as b from lineitem where l_quantity >= 50)
-  select a as src, b as dst from p union select b, a from p)"""
-CS = """cs as materialized (with p as (select distinct 2 * o_custkey as a, 2 * l_suppkey + 1 as b from lineitem join orders on l_orderkey = o_orderkey where l_quantity >= 50)
-  select a as src, b as dst from p union select b, a from p)"""
-UN = """un as materialized (select distinct src, dst from (select user_id as src, lead(user_id) over (order by ts, event_id) as dst from events)
-  where dst is not null and src != dst)"""
-UP = UN.replace("un as", "up as").replace("from events", "from events where event_type = 'purchase' and value > 100")
-GRAPHS = {"sp": SP, "cs": CS, "un": UN, "up": UP}
+GRAPHS = {
+    "sp": """sp as materialized (with p as (select distinct 2 * l_suppkey as a, 2 * l_partkey + 1 as b from lineitem) select a as src, b as dst from p union select b, a from p)""",
+    "cs": """cs as materialized (with p as (select distinct 2 * o_custkey as a, 2 * l_suppkey + 1 as b from lineitem join orders on l_orderkey = o_orderkey) select a as src, b as dst from p union select b, a from p)""",
+    "un": """un as materialized (select distinct src, dst from (select user_id as src, lead(user_id) over (order by ts, event_id) as dst from events) where dst is not null and src != dst)""",
+    "geo": """geo as materialized (with p as (select 3 * s_suppkey as a, 3 * s_nationkey + 1 as b from supplier union select 3 * n_nationkey + 1, 3 * n_regionkey + 2 from nation) select a as src, b as dst from p union select b, a from p)""",
+    "lc": """lc as materialized (select src, dst from (select o_custkey as src, lead(o_custkey) over (order by o_orderkey) as dst, row_number() over (partition by o_custkey order by o_orderkey desc) as back from orders) where back = 1 and src != dst)""",
+}
+BUILD = {"sp": tables.supplier_part, "cs": tables.customer_supplier, "un": tables.next_user, "geo": tables.places, "lc": tables.last_customer}
 
 
 def edges(spark, sf_dir: str, name: str) -> DataFrame:
-    return {"sp": tables.supplier_part, "cs": tables.customer_supplier, "un": tables.next_user, "up": lambda s, d: tables.next_user(s, d, True)}[name](spark, sf_dir)
-
-
-#: The graphs of all rows, for those that SQL can follow only on a slice.
-WHOLE = {"sp": lambda s, d: tables.supplier_part(s, d, None), "cs": lambda s, d: tables.customer_supplier(s, d, None), "up": tables.next_user}
+    return BUILD[name](spark, sf_dir)
 
 
 def query(graph_name: str | None = None, sql: str | None = None, name: str | None = None):
-    """Registers f(edges) on a derived graph, or f(spark, sf_dir); sql is put after the graph's common table.
-
-    What runs on a slice is also registered as f"{name}_whole", on the graph of all rows and without SQL.
-    """
+    """Registers f(edges) on a derived graph of all rows, or f(spark, sf_dir); sql is put after the graph's common table."""
 
     def add(f):
         key = name or f.__name__
         QUERIES[key] = (lambda spark, sf_dir: f(edges(spark, sf_dir, graph_name))) if graph_name else f
-        if graph_name in WHOLE:
-            QUERIES[f"{key}_whole"] = lambda spark, sf_dir: f(WHOLE[graph_name](spark, sf_dir))
         if sql:
             ORACLE[key] = f"with recursive {GRAPHS[graph_name]}{',' if sql.lstrip().startswith('+') else ''} {sql.lstrip().lstrip('+')}" if graph_name else sql
         return f
@@ -62,16 +53,16 @@ query("un", "select src, dst from un union select dst, src from un", "symmetrise
 query("un", "select dst as src, src as dst from un", "transpose")(graph.transpose)
 query("un", "select src, dst from un where not exists (select 1 from un o where o.src = un.dst and o.dst = un.src)", "one_sided")(graph.one_sided)
 query("cs", "select count(distinct src) as n, count(*) as m, round(count(*) / count(distinct src), 6) as density from cs", "graph_summary")(lambda e: rounded(graph.summary(e)))
-query("up", """+ids as (select src as id from up union select dst from up), num as (select id, row_number() over (order by id) - 1 as n from ids)
-select a.n as src, b.n as dst from up join num a on a.id = src join num b on b.id = dst""", "relabel")(lambda e: graph.relabel(e)[0])
+query("un", """+ids as (select src as id from un union select dst from un), num as (select id, row_number() over (order by id) - 1 as n from ids)
+select a.n as src, b.n as dst from un join num a on a.id = src join num b on b.id = dst""", "relabel")(lambda e: graph.relabel(e)[0])
 
 _MASK = """+kept as (select distinct i.dst as id from {g} i join {g} o on i.dst = o.src and i.src != o.dst
   where not exists (select 1 from {g} c where c.src = i.src and c.dst = o.dst)), ids as (select src as id from {g} union select dst from {g})"""
-query("up", _MASK.format(g="up") + " select id, (id in (select id from kept))::int as mask from ids", "clique_mask_directed")(graph.clique_mask)
-query("sp", _MASK.format(g="sp") + " select id, (id in (select id from kept))::int as mask from ids", "clique_mask")(graph.clique_mask)
-query("up", _MASK.format(g="up") + " select src, dst from up where src in (select id from kept)", "row_mask")(lambda e: graph.keep_rows(e, graph.between(e)))
-query("up", _MASK.format(g="up") + " select src, dst from up where dst in (select id from kept)", "column_mask")(lambda e: graph.keep_columns(e, graph.between(e)))
-query("sp", """+num as (select src, dst, row_number() over (order by src, dst) - 1 as n from sp where src < dst), ends as (select n, src as v from num union all select n, dst from num)
+query("lc", _MASK.format(g="lc") + " select id, (id in (select id from kept))::int as mask from ids", "clique_mask_directed")(graph.clique_mask)
+query("geo", _MASK.format(g="geo") + " select id, (id in (select id from kept))::int as mask from ids", "clique_mask")(graph.clique_mask)
+query("lc", _MASK.format(g="lc") + " select src, dst from lc where src in (select id from kept)", "row_mask")(lambda e: graph.keep_rows(e, graph.between(e)))
+query("lc", _MASK.format(g="lc") + " select src, dst from lc where dst in (select id from kept)", "column_mask")(lambda e: graph.keep_columns(e, graph.between(e)))
+query("geo", """+num as (select src, dst, row_number() over (order by src, dst) - 1 as n from geo where src < dst), ends as (select n, src as v from num union all select n, dst from num)
 select distinct a.n as src, b.n as dst from ends a join ends b on a.v = b.v and a.n != b.n""", "line_graph")(lambda e: graph.line_graph(e)[0])
 _DEG = "+ids as (select src as id from {g} union select dst from {g}), d as (select id, (select count(*) from {g} where src = id) as deg, (select count(*) from {g} where dst = id) as indeg from ids)"
 query("un", _DEG.format(g="un") + " select id, deg, indeg from d", "degrees")(algebra.degrees)
@@ -91,8 +82,27 @@ def _steps(g: str, m: int) -> str:
 
 query("un", _steps("un", 3) + " select id, round(ln(1 + d1.v), 6) as mass1, round(ln(1 + d1.v + d2.v), 6) as mass2, round(ln(1 + d1.v + d2.v + d3.v), 6) as mass3 from d1 join d2 using (id) join d3 using (id)", "degree_masses")(lambda e: rounded(algebra.degree_masses(e, 3)))
 query("sp", _steps("sp", 3) + " select id, round(d1.v + d2.v + d3.v, 6) as score from d1 join d2 using (id) join d3 using (id)", "degree_mass_score")(lambda e: rounded(algebra.degree_mass_score(e, 2, False)))
-query("sp", _steps("sp", 1) + """, t as (select src as id, max(v) as top from sp join d1 on id = dst group by src)
-select id, d1.v as value, coalesce(top, 0) as top from d1 left join t using (id)""", "neighbour_maximum")(lambda e: algebra.mixed_degrees(e, "mix_max"))
+query("sp", _steps("sp", 1) + """, m2 as (select ids.id, coalesce(max(v), 0) as v from ids left join sp on src = ids.id left join d1 on d1.id = dst group by ids.id),
+m3 as (select ids.id, coalesce(max(m2.v), 0) as v from ids left join sp on src = ids.id left join m2 on m2.id = dst group by ids.id)
+select d1.id, round(ln(1 + d1.v), 6) as c1, round(ln(1 + m2.v), 6) as c2, round(ln(1 + m3.v), 6) as c3 from d1 join m2 using (id) join m3 using (id)""", "neighbour_maximum")(lambda e: rounded(algebra.features(e, "degree_mix_max")))
+query("un", _steps("un", 3) + " select d1.id, round(ln(1 + d1.v), 6) as c1, round(ln(1 + d2.v), 6) as c2, round(ln(1 + d3.v), 6) as c3 from d1 join d2 using (id) join d3 using (id)", "feature_mix_sum")(lambda e: rounded(algebra.features(e, "degree_mix_sum")))
+query("un", _steps("un", 3) + " select d1.id, round(ln(1 + d1.v), 6) as c1, round(ln(1 + d1.v + d2.v + d3.v), 6) as c2 from d1 join d2 using (id) join d3 using (id)", "feature_mix_d0d2")(lambda e: rounded(algebra.features(e, "degree_mix_d0d2")))
+query("un", _steps("un", 2) + ", f as (select d1.id, ln(1 + d1.v) as a, ln(1 + d2.v) as b from d1 join d2 using (id)) select id, round(a / ((select max(a) from f) + 1e-6), 6) as c1, round(b / ((select max(b) from f) + 1e-6), 6) as c2 from f", "feature_normalised")(
+    lambda e: rounded(algebra.features(e, "degree_mix_sum_2", normalised=True)))
+query("un", _steps("un", 1) + " select id, " + ", ".join(f"round({'sin' if i % 2 == 0 else 'cos'}(v / pow(10000, {2 * (i // 2)} / 6.0)), 6) as c{i + 1}" for i in range(6)) + " from d1", "feature_encoding")(lambda e: rounded(algebra.features(e, "positional_encoding", width=6)))
+
+
+def _evmass(g: str) -> str:
+    out = f"+ids as (select src as id from {g} union select dst from {g}), deg as (select ids.id, count({g}.src) as k from ids left join {g} on src = ids.id group by ids.id), e0 as (select id, 1.0 / (select count(*) from ids) as v from ids)"
+    for k in range(1, 6):
+        out += f", s{k} as materialized (select ids.id, coalesce(sum(p.v), 0) as v from ids left join {g} on src = ids.id left join e{k - 1} p on p.id = dst group by ids.id), e{k} as materialized (select id, v / ((select sqrt(sum(v * v)) from s{k}) + 1e-8) as v from s{k})"
+    out += ", h0 as (select id, v * (select count(*) from ids) / (k + 1) as v from e5 join deg using (id))"
+    for k in (1, 2):
+        out += f", h{k} as materialized (select ids.id, coalesce(sum(p.v), 0) as v from ids left join {g} on src = ids.id left join h{k - 1} p on p.id = dst group by ids.id)"
+    return out
+
+
+query("un", _evmass("un") + " select id, round(ln(1 + h1.v), 5) as mass1, round(ln(1 + h1.v + h2.v), 5) as mass2 from h1 join h2 using (id)", "eigenvector_mass")(lambda e: rounded(algebra.eigenvector_mass(e, 2), 5))
 
 
 def _pagerank(g: str, steps: int) -> str:
@@ -102,17 +112,13 @@ def _pagerank(g: str, steps: int) -> str:
     return out
 
 
-query("up", _pagerank("up", 8) + " select id, round(v, 9) as value from p8", "pagerank")(lambda e: rounded(algebra.pagerank(e, iterations=8, tolerance=0), 9))
-query("up", _pagerank("up", 8) + ", f as (select id, ln(1 + v * (select n from n)) as x from p8) select id, round(x / ((select max(x) from f) + 1e-6), 6) as value from f", "pagerank_feature")(
+query("lc", _pagerank("lc", 8) + " select id, round(v, 9) as value from p8", "pagerank")(lambda e: rounded(algebra.pagerank(e, iterations=8, tolerance=0), 9))
+query("lc", _pagerank("lc", 8) + ", f as (select id, ln(1 + v * (select n from n)) as x from p8) select id, round(x / ((select max(x) from f) + 1e-6), 6) as value from f", "pagerank_feature")(
     lambda e: rounded(algebra.pagerank_feature(algebra.pagerank(e, iterations=8, tolerance=0))))
 query("sp", _steps("sp", 3) + " select id, round(v / sqrt((select sum(v * v) from d3)), 6) as value from d3", "eigenvector")(lambda e: rounded(algebra.eigenvector(e, 3)))
 query("sp", _DEG.format(g="sp") + " select a.id, round(2 * sum(1.0 / (a.deg + b.deg)) - 1, 6) as value from sp join d a on a.id = src join d b on b.id = dst group by a.id", "leverage")(lambda e: rounded(algebra.leverage(e)))
 
 
-def _first(e: DataFrame, n: int) -> DataFrame:
-    return graph.vertices(e).orderBy("id").limit(n)
-
-
 def _levels(g: str, sources: str, depth: int) -> str:
     """All levels of a breadth-first search; the last one has to be empty."""
     out, seen = f"+l0 as materialized (select id as source, id as node, 0 as dist, 1.0::double as sigma from ({sources}))", "select * from l0"
@@ -124,27 +130,23 @@ def _levels(g: str, sources: str, depth: int) -> str:
 
 
 _IDS = "select src as id from {g} union select dst from {g}"
-_SOURCES = f"select id from ({_IDS}) order by id limit 3"
-query("sp", _levels("sp", _SOURCES.format(g="sp"), 26) + " select source, node, dist, sigma from bfs", "bfs")(lambda e: traverse.bfs(e, _first(e, 3)))
-query("sp", _levels("sp", _SOURCES.format(g="sp"), 26) + " select source as id, max(dist) as ecc from bfs group by source", "eccentricity")(lambda e: traverse.eccentricities(e, _first(e, 3)))
-query("sp", _levels("sp", _SOURCES.format(g="sp"), 26) + f" select source as id, round(case when sum(dist) > 0 then (count(*) - 1) ** 2 / (((select count(*) from ({_IDS.format(g='sp')})) - 1) * sum(dist)) else 0 end, 6) as score from bfs group by source", "closeness")(
-    lambda e: rounded(traverse.closeness(e, _first(e, 3))))
-def _from_all(f):
-    def run(spark, sf_dir: str) -> DataFrame:
-        e = WHOLE["sp"](spark, sf_dir)
-        return f(e, graph.vertices(e))
-
-    return run
-
-
-# the whole graph is searched from all vertices
-QUERIES |= {"bfs_whole": _from_all(traverse.bfs), "eccentricity_whole": _from_all(traverse.eccentricities), "closeness_whole": _from_all(lambda e, ids: rounded(traverse.closeness(e, ids)))}
-_BC = _levels("up", _IDS.format(g="up"), 26) + """, ids as (select src as id from up union select dst from up),
+query("un", _levels("un", _IDS.format(g="un"), 6) + " select source, node, dist, sigma from bfs", "bfs")(lambda e: traverse.bfs(e, graph.vertices(e)))
+query("geo", _levels("geo", _IDS.format(g="geo"), 5) + " select source as id, max(dist) as ecc from bfs group by source", "eccentricity")(lambda e: traverse.eccentricities(e, graph.vertices(e)))
+query("un", _levels("un", _IDS.format(g="un"), 6) + f" select source as id, round(case when sum(dist) > 0 then (count(*) - 1) ** 2 / (((select count(*) from ({_IDS.format(g='un')})) - 1) * sum(dist)) else 0 end, 6) as score from bfs group by source", "closeness")(
+    lambda e: rounded(traverse.closeness(e, graph.vertices(e))))
+
+
+def _bc(g: str, depth: int) -> str:
+    return _levels(g, _IDS.format(g=g), depth) + f""", ids as (select src as id from {g} union select dst from {g}),
  b as (select v.node as id, sum(v.sigma * w.sigma / t.sigma) as s from bfs v join bfs w on w.source = v.node join bfs t on t.source = v.source and t.node = w.node and v.dist + w.dist = t.dist
-  where v.dist > 0 and w.dist > 0 group by v.node)"""
-query("up", _BC + " select id, round(coalesce(s, 0), 6) as score from ids left join b using (id)", "betweenness")(lambda e: rounded(betweenness(e)))
-query("up", _BC + " select id, round(coalesce(s, 0), 6) as score from ids left join b using (id)", "betweenness_by_joins")(lambda e: rounded(betweenness_by_joins(e)))
-query("up", _BC + " select id, round(coalesce(s, 0) / ((count(*) over () - 1) * (count(*) over () - 2)), 9) as score from ids left join b using (id) order by 2 desc, 1 limit 10", "betweenness_top10")(
+  where v.dist > 0 and w.dist > 0 group by v.node), n as (select count(*) as n from ids),
+ bc as (select id, coalesce(s, 0) as raw, case when n > 2 then coalesce(s, 0) / ((n - 1) * (n - 2)) else 0 end as score from ids cross join n left join b using (id))"""
+
+
+query("un", _bc("un", 6) + " select id, round(raw, 6) as score from bc", "betweenness")(lambda e: rounded(betweenness(e)))
+query("geo", _bc("geo", 5) + " select id, round(raw, 6) as score from bc", "betweenness_forest")(lambda e: rounded(betweenness(e)))
+query("un", _bc("un", 6) + " select id, round(raw, 6) as score from bc", "betweenness_by_joins")(lambda e: rounded(betweenness_by_joins(e)))
+query("un", _bc("un", 6) + " select id, round(score, 9) as score from bc order by 2 desc, 1 limit 10", "betweenness_top10")(
     lambda e: _normalised(e).orderBy(F.col("score").desc(), "id").limit(10))
 
 
@@ -153,25 +155,36 @@ def _normalised(e: DataFrame) -> DataFrame:
     return betweenness(e).join(F.broadcast(n)).select("id", F.round(F.col("score") / ((F.col("n") - 1) * (F.col("n") - 2)), 9).alias("score"))
 
 
-_REACH = ", reach as (select src as a, dst as b from {g} union select reach.a, dst from reach join {g} on src = b), ids as (select src as id from {g} union select dst from {g})"
-query("cs", _REACH.format(g="cs").lstrip(",").join(["+", ""]) + " select id, least(id, coalesce((select min(b) from reach where a = id), id)) as component from ids", "weak_components")(traverse.weak_components)
-_STRONG = _REACH.format(g="up").lstrip(",").join(["+", ""]) + ", scc as (select id, least(id, coalesce((select min(x.b) from reach x join reach y on y.a = x.b and y.b = x.a where x.a = id), id)) as component from ids)"
-query("up", _STRONG + " select id, component from scc", "strong_components")(traverse.strong_components)
-query("up", _STRONG + " select distinct a.component as src, b.component as dst from up join scc a on a.id = src join scc b on b.id = dst where a.component != b.component", "condensation")(
+_REACH = "+reach as (select src as a, dst as b from {g} union select reach.a, dst from reach join {g} on src = b), ids as (select src as id from {g} union select dst from {g})"
+_SCC = _REACH.format(g="lc") + ", scc as (select id, least(id, coalesce((select min(x.b) from reach x join reach y on y.a = x.b and y.b = x.a where x.a = id), id)) as component from ids)"
+query("geo", _REACH.format(g="geo") + " select id, least(id, coalesce((select min(b) from reach where a = id), id)) as component from ids", "weak_components")(traverse.weak_components)
+query("lc", _SCC + " select id, component from scc", "strong_components")(traverse.strong_components)
+query("lc", _SCC + " select distinct a.component as src, b.component as dst from lc join scc a on a.id = src join scc b on b.id = dst where a.component != b.component", "condensation")(
     lambda e: traverse.condensation(e, traverse.strong_components(e)))
-ORACLE["condensation_whole"] = f"with recursive {UN}, " + _REACH.format(g="un").lstrip(", ") + ", scc as (select id, least(id, coalesce((select min(x.b) from reach x join reach y on y.a = x.b and y.b = x.a where x.a = id), id)) as component from ids) select distinct a.component as src, b.component as dst from un join scc a on a.id = src join scc b on b.id = dst where a.component != b.component"
-query("up", _STRONG + ", d as (select id, component, (select count(*) from up where src = id) + (select count(*) from up where dst = id) as k from scc) select component, id from d qualify row_number() over (partition by component order by k desc, id) = 1", "pivots")(
+query("lc", _SCC + ", d as (select id, component, (select count(*) from lc where src = id) + (select count(*) from lc where dst = id) as k from scc) select component, id from d qualify row_number() over (partition by component order by k desc, id) = 1", "pivots")(
     lambda e: traverse.pivots(traverse.strong_components(e), algebra.degrees(e)))
 
 
-@query("up", None, "diameter_bound")
+# Of a forest the bound is twice the eccentricity of the pivot of the tree in which that is largest, 1 at least.
+@query("geo", _REACH.format(g="geo") + """, tree as (select id, least(id, coalesce((select min(b) from reach where a = id), id)) as component, (select count(*) from geo where src = id) as k from ids),
+hub as (select id, row_number() over (order by id) as n from tree qualify row_number() over (partition by component order by k desc, id) = 1),
+walk as (select id as source, id as node, 0 as dist from hub union select source, dst, dist + 1 from walk join geo on src = node where dist < 6),
+far as (select source, node, min(dist) as dist from walk group by all) select greatest(1.0, 2 * max(dist))::double as bound from far""", "diameter_bound")
 def diameter(e: DataFrame) -> DataFrame:
+    return e.sparkSession.createDataFrame([(traverse.diameter_bound(collected(e), False),)], "bound double")
+
+
+@query("lc", None, "diameter_bound_directed")
+def diameter_directed(e: DataFrame) -> DataFrame:
     return e.sparkSession.createDataFrame([(traverse.diameter_bound(collected(e), True),)], "bound double")
 
 
 query("un", _levels("un", _IDS.format(g="un"), 4) + """, m as (select id from (select id, (select count(*) from (select src, dst from un union select dst, src from un) where src = id) as k from (select src as id from un union select dst from un)) order by k desc, id limit 2)
 select id from m""", "landmarks_by_degree")(lambda e: e.sparkSession.createDataFrame([(i,) for i in traverse.landmarks(e, 2, "deg")], "id long"))
-query("sp", None, "landmark_stats")(lambda e: rounded(traverse.landmark_stats(traverse.landmark_distances(e, traverse.landmarks(e, 3)))))
+query("sp", "+marks as (select src as id from sp group by src order by count(*) desc, src limit 3)" + _levels("sp", "select id from marks", 5).replace("+l0", ", l0") + """, cap as (select 2.0 * max(dist) as cap from bfs), ids as (select distinct src as id from sp),
+x as (select ids.id, marks.id as mark, ln(1 + coalesce(bfs.dist, cap)) as v from ids cross join marks cross join cap left join bfs on source = marks.id and node = ids.id), top as (select mark, max(v) + 1e-6 as top from x group by mark)
+select id, round(min(v / top), 6) as least, round(max(v / top), 6) as most, round(avg(v / top), 6) as mean from x join top using (mark) group by id""", "landmark_stats")(
+    lambda e: rounded(traverse.landmark_stats(traverse.landmark_distances(e, traverse.landmarks(e, 3, "deg")))))
 
 # --- rank quality: out-degree as the truth, in-degree as the estimate
 _PAIRS = _DEG.format(g="un") + ", p as (select id, deg::double as truth, indeg::double as pred from d)"
@@ -186,9 +199,11 @@ query("un", _PAIRS + " select round(median(pred / truth), 6) as ratio from p whe
 query("un", _PAIRS + ", t as (select * from p order by truth desc, id limit 1000) select round(sum(truth * pred) / sum(truth * truth), 6) as slope from t", "fitted_scale")(lambda e: rounded(ranking.fitted_scale(_paired(e))))
 query("un", _PAIRS + " select round(avg(greatest(0, 1 - sign(truth - pred) * (pred - truth))), 6) as loss from p", "margin_loss")(
     lambda e: rounded(ranking.margin_loss(_paired(e).select(F.col("pred").alias("s_u"), F.col("truth").alias("s_v"), F.signum(F.col("truth") - F.col("pred")).alias("y")))))
-query("sp", _DEG.format(g="sp") + """, low as (select distinct deg as xmin from d order by 1 limit 50), fit as (select xmin, count(*) as n, 1 + count(*) / sum(ln(deg / (xmin - 0.5))) as gamma from d join low on deg >= xmin group by xmin),
-gap as (select xmin, gamma, abs((select count(*) from d where deg between xmin and x.deg) / n - (1 - (x.deg / xmin) ** (1 - gamma))) as g from fit join (select distinct deg from d) x on x.deg >= xmin)
-select xmin, round(gamma, 6) as gamma, round(max(g), 6) as ks from gap group by xmin, gamma order by 3, 1 limit 1""", "power_law")(lambda e: rounded(generators.power_law(algebra.degrees(e))))
+query("sp", _DEG.format(g="sp") + """, low as (select distinct deg as xmin from d where deg > 0 order by 1 limit 50),
+tail as (select xmin, deg, row_number() over (partition by xmin order by deg) as i, count(*) over (partition by xmin) as n from low join d on deg >= xmin),
+fit as (select xmin, n, 1 + n / sum(ln(deg / (xmin - 0.5))) as gamma from tail group by xmin, n having n >= 10),
+gap as (select xmin, gamma, max(abs((tail.n - i + 1)::double / tail.n - (deg / (xmin - 0.5)) ** (1 - gamma))) as ks from tail join fit using (xmin) group by xmin, gamma)
+select xmin, round(gamma, 6) as gamma, round(ks, 6) as ks from gap order by gap.ks, xmin limit 1""", "power_law")(lambda e: rounded(generators.power_law(algebra.degrees(e))))
 
 
 @query(None, "select a.vec_id as src, b.vec_id as dst from embeddings a join embeddings b on a.vec_id != b.vec_id qualify row_number() over (partition by a.vec_id order by list_cosine_similarity(a.embedding::double[], b.embedding::double[]) desc, b.vec_id) <= 3")
@@ -196,27 +211,33 @@ def embedding_neighbours(spark, sf_dir):
     return generators.nearest_by_cosine(tables.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x")), 3)
 
 
-# --- sampling: facts that hold whatever is drawn
+# --- sampling: the exact scores, and whether the estimates lie within a tolerance far below the largest score
 def _facts(e: DataFrame, est: DataFrame, eps: float) -> DataFrame:
-    both = _normalised(e).withColumnRenamed("score", "truth").join(est.select("id", "score"), "id")
-    return both.agg(F.count("*").alias("n"), (F.max(F.abs(F.col("truth") - F.col("score"))) <= eps).alias("within"))
-
-
-_N = " select count(*) as n, true as within from (select src as id from up union select dst from up)"
-query("up", _N, "adaptive_sampling")(lambda e: _facts(e, sampling.adaptive(e, 0, 0.05, 0.1).scores, 0.05))
-query("up", _N, "path_estimator")(lambda e: _facts(e, sampling.fixed(e, "rk", 4000), 0.1))
-query("up", _N, "pair_estimator")(lambda e: _facts(e, sampling.fixed(e, "abra", 4000), 0.1))
-query("up", _N, "source_estimator")(lambda e: _facts(e, sampling.fixed(e, "bp", 500), 0.1))
-query("up", _N, "progressive_sampling")(lambda e: _facts(e, sampling.progressive(e, 0.1)[0], 0.1))
-query("up", " select true as found", "top_k_sampling")(
-    lambda e: sampling.top_k(e, 3, 0.05).join(_normalised(e).orderBy(F.col("score").desc(), "id").limit(1).select("id"), "id").agg((F.count("*") == 1).alias("found")))
+    both = _normalised(e).withColumnRenamed("score", "truth").join(est.select("id", "score"), "id", "left")
+    return both.select("id", F.round("truth", 6).alias("truth"), F.coalesce(F.abs(F.col("truth") - F.col("score")) <= eps, F.lit(False)).alias("within"))
+
+
+def _estimates(name: str, eps: float, estimate) -> None:
+    query("geo", _bc("geo", 5) + " select id, round(score, 6) as truth, true as within from bc", name)(lambda e: _facts(e, estimate(e), eps))
+
+
+_estimates("adaptive_sampling", 0.01, lambda e: sampling.adaptive(e, 0, 0.01, 0.1, directed=False).scores)
+_estimates("path_estimator", 0.01, lambda e: sampling.fixed(e, "rk", 20_000))
+_estimates("pair_estimator", 0.01, lambda e: sampling.fixed(e, "abra", 20_000))
+_estimates("source_estimator", 0.02, lambda e: sampling.fixed(e, "bp", 3000))
+_estimates("progressive_sampling", 0.02, lambda e: sampling.progressive(e, 0.02)[0])
+query("geo", _bc("geo", 5) + ", top as (select id, score from bc order by score desc, id limit 3) select id, round(score, 6) as truth, true as found from top", "top_k_sampling")(
+    lambda e: _normalised(e).orderBy(F.col("score").desc(), "id").limit(3).join(sampling.top_k(e, 3, 0.01, directed=False).select("id", "lower", "upper"), "id", "left").select(
+        "id", F.round("score", 6).alias("truth"), F.coalesce(F.col("score").between(F.col("lower") - 1e-9, F.col("upper") + 1e-9), F.lit(False)).alias("found")))
+
+
 @query(None)
 def supplier_top_k(spark, sf_dir):
     """The ten largest of the whole supplier graph, estimated; exact scores are out of reach of SQL there."""
-    return sampling.top_k(tables.supplier_part(spark, sf_dir, 0), 10, 0.01, directed=False)
+    return sampling.top_k(tables.supplier_part(spark, sf_dir), 10, 0.01, directed=False)
 
 
-query("up", None, "graph_network")(lambda e: rounded(gnn.rank_scores(e, gnn.Weights.seeded(3), hops=3)))
+query("un", None, "graph_network")(lambda e: rounded(gnn.rank_scores(e, gnn.Weights.seeded(3), hops=3)))
 
 # --- run logs: orders as runs, priorities as graphs, statuses as arms
 _RUNS = "runs as (select o_orderpriority as graph, o_orderstatus as arm, o_custkey % 5 as seed, o_totalprice as seconds, (o_orderkey % 4)::int as threads, o_orderkey as id from orders)"
@@ -251,8 +272,11 @@ runs(", g as (select graph, arm, avg(seconds) as seconds from runs group by all)
     lambda r: runlog.places(r.groupBy("graph", "arm").agg(F.avg("seconds").alias("seconds")), "graph", "arm", "seconds"))
 runs(", g as (select graph, arm, avg(seconds) as seconds from runs group by all) select arm, round(case when count(*) = 5 then avg(seconds) end, 4) as mean from g group by arm", "run_complete_means")(
     lambda r: runlog.complete_means(r.groupBy("graph", "arm").agg(F.avg("seconds").alias("seconds")), "arm", "seconds", 5))
-runs(", g as (select distinct graph from runs), a as (select distinct arm from runs), s as (select distinct seed from runs where seed < 6) select graph, arm, seed from g, a, s where (graph, arm, seed) not in (select (graph, arm, seed) from runs where seconds > 200000)", "run_missing")(
-    lambda r: runlog.missing(runlog.run_matrix([r.select(c).distinct() for c in ("graph", "arm", "seed")]), r.where("seconds > 200000"), ["graph", "arm", "seed"]))
+runs(", g as (select distinct graph from runs), a as (select distinct arm from runs), s as (select distinct seed from runs) select graph, arm, seed from g, a, s where (graph, arm, seed) not in (select (graph, arm, seed) from runs where seconds > 498000)", "run_missing")(
+    lambda r: runlog.missing(runlog.run_matrix([r.select(c).distinct() for c in ("graph", "arm", "seed")]), r.where("seconds > 498000"), ["graph", "arm", "seed"]))
 runs(_M + " select graph, arm, seed, round(seconds, 4) as seconds, round(sum(seconds) over (partition by graph, arm order by seed), 4) as running from m", "run_running")(lambda r: runlog.running(_mean(r), ["graph", "arm"], "seed", "seconds"))
 runs(_M + " select graph, arm, seed, round(seconds, 4) as seconds, round(lag(seconds) over w, 4) as before, round(lead(seconds) over w, 4) as after from m window w as (partition by graph, arm order by seconds desc, seed)", "run_neighbours")(lambda r: runlog.with_neighbours(_mean(r), ["graph", "arm"], "seconds", "seed"))
 runs(" select graph, arm, seed, round(seconds, 4) as seconds, threads, id from runs qualify row_number() over (partition by graph, arm order by id desc) = 1", "run_last")(lambda r: runlog.last_seeds(r, ["graph", "arm"], "id"))
+
+QUERIES |= files.QUERIES
+ORACLE |= files.ORACLE

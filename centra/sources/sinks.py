@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -39,7 +39,22 @@ def predictions(truth: DataFrame, pred: DataFrame, degrees: DataFrame) -> DataFr
     return both.join(degrees, "id").select("id", "truth", "pred", F.col("indeg").alias("in_deg"), F.col("deg").alias("out_deg"))
 
 
-def markdown(rows: DataFrame, digits: int = 4) -> DataFrame:
+def _cells(rows: DataFrame, digits: int) -> list[Column]:
+    return [F.coalesce(F.format_string(f"%.{digits}f", F.col(f"`{c}`")) if t in ("double", "float") else F.col(f"`{c}`").cast("string"), F.lit("-")) for c, t in rows.dtypes]
+
+
+def _with_head(rows: DataFrame, head: list[str]) -> DataFrame:
+    return rows.sparkSession.createDataFrame([(h,) for h in head], "value string").unionByName(rows)
+
+
+def markdown(rows: DataFrame, digits: int = 4, header: bool = False) -> DataFrame:
     """(value): lines of a table, numbers with digits places; for results of a few rows."""
-    cells = [F.coalesce(F.format_number(F.col(f"`{c}`"), digits) if t in ("double", "float") else F.col(f"`{c}`").cast("string"), F.lit("-")) for c, t in rows.dtypes]
-    return rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
+    lines = rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *_cells(rows, digits)), F.lit(" |")).alias("value"))
+    return _with_head(lines, [f"| {' | '.join(rows.columns)} |", f"|{'-|' * len(rows.columns)}"]) if header else lines
+
+
+def latex(rows: DataFrame, digits: int = 4) -> DataFrame:
+    """(value): the body of a LaTeX table, special characters escaped."""
+    cells = [F.regexp_replace(c, r"([_%&#$])", r"\\$1") for c in _cells(rows, digits)]
+    lines = rows.select(F.concat(F.concat_ws(" & ", *cells), F.lit(r" \\")).alias("value"))
+    return _with_head(lines, [" & ".join(rows.columns) + r" \\ \midrule"])

@@ -13,29 +13,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _lines(spark: SparkSession, sf_dir: str, quantity: float | None) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem")
-    return lines if quantity is None else lines.where(F.col("l_quantity") >= quantity)
+def supplier_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Undirected edges between suppliers (even ids) and parts (odd ids) of order lines."""
+    return symmetrise(table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst")).distinct())
 
 
-def supplier_part(spark: SparkSession, sf_dir: str, quantity: float | None = 50) -> DataFrame:
-    """Undirected edges between suppliers (even ids) and parts (odd ids) of large order lines, or of all with None."""
-    lines = _lines(spark, sf_dir, quantity)
-    return symmetrise(lines.select((F.col("l_suppkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst")).distinct())
-
-
-def customer_supplier(spark: SparkSession, sf_dir: str, quantity: float | None = 50) -> DataFrame:
-    """Undirected edges between customers (even ids) and suppliers (odd ids) of large order lines, or of all with None."""
-    lines = _lines(spark, sf_dir, quantity).select("l_orderkey", "l_suppkey")
+def customer_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Undirected edges between customers (even ids) and suppliers (odd ids) of order lines."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     met = lines.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     return symmetrise(met.select((F.col("o_custkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst")).distinct())
 
 
-def next_user(spark: SparkSession, sf_dir: str, purchases: bool = False) -> DataFrame:
+def next_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directed edges from the user of an event to the user of the next one in time."""
-    events = table(spark, sf_dir, "events")
-    if purchases:
-        events = events.where("event_type = 'purchase' and value > 100")
-    line = numbered(events.select("ts", "event_id", "user_id"), [F.col("ts"), F.col("event_id")])
+    line = numbered(table(spark, sf_dir, "events").select("ts", "event_id", "user_id"), [F.col("ts"), F.col("event_id")])
     after = line.select((F.col("n") - 1).alias("n"), F.col("user_id").alias("dst"))
     return drop_loops(line.join(after, "n").select(F.col("user_id").alias("src"), "dst")).distinct()
+
+
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An undirected forest: suppliers (ids 0 modulo 3) below their nations (1) below their regions (2)."""
+    up = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 3).alias("src"), (F.col("s_nationkey") * 3 + 1).alias("dst"))
+    top = table(spark, sf_dir, "nation").select((F.col("n_nationkey") * 3 + 1).alias("src"), (F.col("n_regionkey") * 3 + 2).alias("dst"))
+    return symmetrise(up.unionByName(top))
+
+
+def last_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directed edges from each customer to the customer of the order that comes next after its last one."""
+    line = numbered(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), [F.col("o_orderkey")])
+    last = line.groupBy(F.col("o_custkey").alias("src")).agg((F.max("n") + 1).alias("n"))
+    return drop_loops(last.join(line.select("n", F.col("o_custkey").alias("dst")), "n").select("src", "dst"))

@@ -155,9 +155,10 @@ def test_algebra(spark):
     mass = algebra.eigenvector_mass(e, 2).collect()
     assert len(mass) == 5 and all(r.mass2 >= r.mass1 for r in mass)
     assert algebra.parse_init_type("AW_pr_sp8_ff") == {"base": "AW", "pagerank": True, "landmarks": 8, "mode": "ff"}
-    assert {r.id: r.value for r in algebra.mixed_degrees(e, "mix_max_sum").collect()}[2] == 5
+    assert {tuple(r)[1:] for r in algebra.features(e, "degree_mix_max_sum").collect() if r.id == 2} == {tuple(math.log1p(x) for x in (1, 4, 4, 1, 4, 1))}
+    assert [len(algebra.features(e, k).columns) for k in ("random_3", "degree0", "ev_mix_mass_2", "degree_mix_mass_3", "positional_encoding_3d")] == [4, 2, 3, 4, 37]
     with pytest.raises(ValueError):
-        algebra.mixed_degrees(e, "x")
+        algebra.features(e, "x")
 
 
 def test_landmarks(spark):
