@@ -177,3 +177,35 @@ def predicted_stop(b: np.ndarray, k: int, err: float, delta_low: np.ndarray, del
         else:
             low = middle + 1
     return low
+
+
+def source_samples(n: int, err: float, delta: float) -> int:
+    """Sources that bound every vertex's error by err: the inverse of the bound for single sources."""
+    return int(np.ceil((np.log(n) + np.log(2) - np.log(delta)) / (2 * err * err)))
+
+
+def schedule(least: int, most: int, growth: float = 1.2) -> list[int]:
+    """Sample sizes from least to most, each growth times the one before, rounded up."""
+    out = [max(1, least)]
+    while out[-1] < most:
+        out.append(min(most, max(out[-1] + 1, int(np.ceil(out[-1] * growth)))))
+    return out
+
+
+class Congruential:
+    """The linear congruential generator of 64 bits with MMIX's constants; numbers below m come without bias."""
+
+    FACTOR, STEP = 6364136223846793005, 1442695040888963407  # fixed values
+
+    def __init__(self, seed: int):
+        self.state = seed % 2**64
+
+    def next(self) -> int:
+        self.state = (self.state * self.FACTOR + self.STEP) % 2**64
+        return self.state
+
+    def below(self, m: int) -> int:
+        whole = 2**64 - 2**64 % m
+        while (r := self.next()) >= whole:
+            pass
+        return r % m

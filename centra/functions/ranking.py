@@ -52,13 +52,22 @@ def kendall(pairs: DataFrame) -> DataFrame:
     return spark.createDataFrame([(n, tau_a, tau_b)], "n long, tau_a double, tau_b double")
 
 
-def discordant(pairs: DataFrame, bits: int = 12) -> int:
-    """Pairs with truth and prediction in strictly opposite order.
+#: Rows up to which discordant pairs are counted at once, 16 bytes each.
+SMALL = 1_000_000
+
+
+def discordant(pairs: DataFrame, bits: int = 12, small: int = SMALL) -> int:
+    """Pairs with truth and prediction in strictly opposite order; of more than small rows in ranges:
 
     Each row has a place t by truth and p by prediction, ties broken by the other one, so that tied pairs are in order.
     Pairs within 2^bits places of either are counted by merging in one task for each range; all others from the counts
     of cells, level by level of the bits in which their ranges differ first, with distributed running totals.
     """
+    pairs = checkpointed(pairs.select("id", "truth", "pred"))
+    if pairs.count() <= small:
+        table = pairs.select("truth", "pred").toArrow()
+        truth, pred = (table.column(k).to_numpy() for k in (0, 1))
+        return inversions(pred[np.lexsort((pred, truth))])
     rank = numbered(pairs.select("id", "truth", "pred"), [F.col("pred"), F.col("truth"), F.col("id")], "p")
     rank = numbered(rank, [F.col("truth"), F.col("pred"), F.col("id")], "t")
     cell = checkpointed(rank.select("t", "p", F.shiftright("t", bits).alias("a"), F.shiftright("p", bits).alias("b")))
@@ -127,6 +136,48 @@ def errors(pairs: DataFrame, eps: float) -> DataFrame:
     return got.select("n", "wrong", "mae", "std", "mse", *(F.col("q")[i].alias(c) for i, c in enumerate(("least", "q1", "median", "q3", "max_ae"))))
 
 
+def kendall_top(pairs: DataFrame, k: int) -> DataFrame:
+    """kendall() on the k largest true scores."""
+    return kendall(top(pairs, "truth", k))
+
+
+def kendall_positive(pairs: DataFrame) -> DataFrame:
+    """kendall() where the truth is above 0; NaN for fewer than two such rows."""
+    nan = lambda c: F.when(F.col("n") < 2, float("nan")).otherwise(F.col(c)).alias(c)
+    return kendall(pairs.where("truth > 0")).select("n", nan("tau_a"), nan("tau_b"))
+
+
+def offset_check(truth: DataFrame, pred: DataFrame, margin: float = 0.1) -> DataFrame:
+    """One row (tau, shifted, sound): tau-b as it is and with predictions moved up by one id, which has to be worse by
+    margin if ids are placed rightly."""
+    right = kendall(paired(truth, pred)).select(F.col("tau_b").alias("tau"))
+    wrong = kendall(paired(truth, pred.withColumn("id", F.col("id") + 1))).select(F.col("tau_b").alias("shifted"))
+    return right.join(F.broadcast(wrong)).withColumn("sound", F.col("tau") > F.col("shifted") + margin)
+
+
+def bias_check(pairs: DataFrame, eps: float, n: int, tau: int, k: int = 1000) -> DataFrame:
+    """Rows (kind, max_ae, over_eps, argmax_rank, mae, scale) of predictions as they are, times n / (n - tau), and times
+    the least-squares scale to the truth over its k largest; argmax_rank is the true rank of the largest error."""
+    own = checkpointed(pairs)
+    fit = top(own, "truth", k).agg((F.sum(F.col("truth") * F.col("pred")) / F.sum(F.col("pred") ** 2)).alias("scale"))
+    kinds = [("raw", F.lit(1.0), None), ("rescaled", F.lit(n / (n - tau)), None), ("fitted", F.col("scale"), fit)]
+    out = None
+    for kind, scale, table in kinds:
+        rows = (own.join(F.broadcast(table)) if table is not None else own).withColumn("by", scale)
+        e = rows.withColumn("e", F.abs(F.col("pred") * F.col("by") - F.col("truth")))
+        got = e.agg(F.max("e").alias("max_ae"), F.sum((F.col("e") > eps).cast("long")).alias("over_eps"), F.max_by("truth", F.struct("e", -F.col("id"))).alias("at"), F.avg("e").alias("mae"), F.max("by").alias("scale"))
+        rank = own.join(F.broadcast(got.select("at"))).agg((F.sum((F.col("truth") > F.col("at")).cast("long")) + 1).alias("argmax_rank"))
+        row = got.join(F.broadcast(rank)).select(F.lit(kind).alias("kind"), "max_ae", "over_eps", "argmax_rank", "mae", "scale")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def unmatched(truth: DataFrame, pred: DataFrame) -> DataFrame:
+    """(id, side) of ids that only one of the two has; exact scores and a sample's agree in keys if there is none."""
+    one = lambda a, b, side: a.select("id").join(b.select("id"), "id", "left_anti").withColumn("side", F.lit(side))
+    return one(truth, pred, "truth").unionByName(one(pred, truth, "pred"))
+
+
 def median_scale(pairs: DataFrame) -> DataFrame:
     """One row (ratio): the median of prediction over truth where that is positive."""
     return pairs.where("truth > 0").agg(F.median(F.col("pred") / F.col("truth")).alias("ratio"))

@@ -15,14 +15,16 @@ class Csr:
 
     def __init__(self, src: np.ndarray, dst: np.ndarray):
         self.ids, flat = np.unique(np.concatenate([src, dst]), return_inverse=True)
-        self.n, self.m = len(self.ids), len(src)
-        a, b = flat[: len(src)], flat[len(src) :]
+        self.n = n = len(self.ids)
+        key = np.unique(flat[: len(src)].astype(np.int64) * n + flat[len(src) :])  # a repeated edge is no further path
+        self.m, a, b = len(key), key // max(n, 1), key % max(n, 1)
         self.out_at, self.out_to = self._rows(a, b)
-        self.in_at, self.in_to = self._rows(b, a)
+        order = np.argsort(b, kind="stable")
+        self.in_at, self.in_to = self._rows(b[order], a[order])
 
     def _rows(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((b, a))
-        return np.concatenate(([0], np.cumsum(np.bincount(a, minlength=self.n)))), b[order].astype(np.int32)
+        """Of edges sorted by a."""
+        return np.concatenate(([0], np.cumsum(np.bincount(a, minlength=self.n)))), b.astype(np.int32)
 
     def expand(self, at: np.ndarray, to: np.ndarray, frontier: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All edges that leave the frontier: their starts and ends."""
@@ -139,7 +141,11 @@ class Csr:
 
 def collected(edges: DataFrame, limit: int = LIMIT) -> Csr:
     """The graph of edges, after its size is checked."""
-    if (m := edges.count()) > limit:
-        raise ValueError(f"{m} edges are more than a broadcast graph may have ({limit}); use the operators made of joins")
-    table = edges.select("src", "dst").toArrow()
+    held = edges.select("src", "dst").persist()  # counted, then read
+    try:
+        if (m := held.count()) > limit:
+            raise ValueError(f"{m} edges are more than a broadcast graph may have ({limit}); use the operators made of joins")
+        table = held.toArrow()
+    finally:
+        held.unpersist()
     return Csr(table.column(0).to_numpy(), table.column(1).to_numpy())

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from centra.functions.storage import checkpointed
 
 from .algebra import degree_masses, pagerank, pagerank_feature
-from .graph import between, keep_rows, transpose, uniform, vertices
+from .graph import between, keep_columns, keep_rows, transpose, uniform, vertices
 
 EPS = 1e-12
 
@@ -117,6 +117,36 @@ def as_features(table: DataFrame) -> DataFrame:
     return table.select("id", F.array(*(F.col(c).cast("double") for c in table.columns if c != "id")).alias("x"))
 
 
+def deep_scores(edges: DataFrame, weights: Weights, kind: str = "betweenness", hops: int = 6) -> DataFrame:
+    """(id, score) of the two deeper models; weights hold one embedding and its layers.
+
+    betweenness: five layers (the embedding and four more) over A and A', products of both streams' scores; the second
+    stream's last layer has the weights of the one before it. closeness: seven layers, the embedding over A and the
+    others over A' masked by columns; the sum of the scores.
+    """
+    kept = checkpointed(between(edges))
+    if kind == "closeness":
+        ids = vertices(edges)
+        features = as_features(ids.join(degree_masses(edges, hops), "id", "left").fillna(0.0))
+        return stream(checkpointed(keep_columns(transpose(edges), kept)), features, weights)
+    if kind != "betweenness":
+        raise ValueError(f"unknown model {kind!r}")
+    forth, back = checkpointed(keep_rows(edges, kept)), checkpointed(keep_rows(transpose(edges), kept))
+    ids = vertices(edges)
+    own = lambda e: as_features(ids.join(degree_masses(e, hops), "id", "left").fillna(0.0))
+    shared = Weights(weights.embed, [*weights.layers[:-1], weights.layers[-2]], weights.scorer)
+    both = stream(forth, own(forth), weights).join(stream(back, own(back), shared).withColumnRenamed("score", "other"), "id")
+    return both.select("id", (F.col("score") * F.col("other")).alias("score"))
+
+
+def master_update(state: np.ndarray, rows: DataFrame, update: tuple[np.ndarray, np.ndarray], share: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The next global state from the last one and the mean of rows(id, x), and what it sends to all vertices."""
+    width = len(state)
+    mean = rows.agg(*(F.avg(F.col("x")[i]) for i in range(width))).first()
+    new = np.tanh(np.concatenate([state, [v or 0.0 for v in mean]]) @ update[0] + update[1])
+    return new, new @ share[0] + share[1]
+
+
 def rank_scores(
     edges: DataFrame, weights: Weights, hops: int = 6, use_pagerank: bool = False, fusion: str = "mul",
     back_scorer: list[tuple[np.ndarray, np.ndarray]] | None = None, head: list[tuple[np.ndarray, np.ndarray]] | None = None,

@@ -6,6 +6,7 @@ Spark jobs over a broadcast graph; counts of a batch are pre-aggregated in each
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -95,6 +96,35 @@ def path_counts(g: Csr, seed: int, phase: int, first: int, last: int, endpoints:
     return counts
 
 
+def all_paths(g: Csr, s: int, t: int) -> list[list[int]]:
+    """Every shortest path s -> t; none if t is s or out of reach. As many as there are, so for small graphs."""
+    dist, _, _, links = g.paths(s)
+    if s == t or dist[t] < 0:
+        return []
+    paths = [[t]]
+    for a, b in reversed(links[: dist[t]]):
+        before: dict[int, list[int]] = {}
+        for x, y in zip(a.tolist(), b.tolist()):
+            before.setdefault(y, []).append(x)
+        paths = [[x, *p] for p in paths for x in before[p[0]]]
+    return paths
+
+
+def multi_path_counts(g: Csr, seed: int, phase: int, first: int, last: int, alpha: float = 2.3) -> np.ndarray:
+    """floor(alpha times the number of shortest paths) of a pair's paths where there are several, else one; a vertex
+    counts by its share of them."""
+    counts, work = np.zeros(g.n), Workspace(g.n)
+    for i in range(first, last):
+        rng = np.random.default_rng((seed, phase, i))
+        s, t = _pair(g, rng)
+        dist, sigma, _, _ = g.paths(s)
+        if dist[t] > 1:
+            draws = int(alpha * sigma[t]) if alpha > 0 and sigma[t] > 1 else 1
+            for _ in range(draws):
+                counts[sample_path(g, s, t, rng, work=work)] += 1 / draws
+    return counts
+
+
 def rk_counts(g: Csr, seed: int, phase: int, first: int, last: int) -> np.ndarray:
     """One path between vertices that are no neighbours."""
     counts, work = np.zeros(g.n), Workspace(g.n)
@@ -134,7 +164,7 @@ def bp_counts(g: Csr, seed: int, phase: int, first: int, last: int) -> np.ndarra
     return counts
 
 
-KERNELS = {"rk": rk_counts, "abra": abra_counts, "bp": bp_counts}
+KERNELS = {"rk": rk_counts, "abra": abra_counts, "bp": bp_counts, "multi": multi_path_counts}
 
 
 class Sampler:
@@ -147,7 +177,7 @@ class Sampler:
     def batch(self, kernel, phase: int, first: int, last: int, rows: int = 1, **options) -> np.ndarray:
         """Summed counts of samples first..last-1: rows x n numbers, as small as the broadcast graph."""
         sent, seed, width = self.sent, self.seed, rows * self.g.n
-        tasks = max(1, min(last - first, 4 * self.spark.sparkContext.defaultParallelism))
+        tasks = max(1, min((last - first) // 32, 2 * self.spark.sparkContext.defaultParallelism))
         cuts = np.linspace(first, last, tasks + 1).astype(int).tolist()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,6 +238,7 @@ def adaptive(
         last = min(pairs + step, int(np.ceil(omega)))
         counts += sampler.batch(path_counts, 2, pairs, last, endpoints=endpoints)
         pairs = last
+        step += step // 2  # a job for each check, and at most half as many samples again as the test needs
         top = np.lexsort((np.arange(g.n), -counts))[:tracked_n]
         if bounds.finished(counts[top] / pairs, pairs, min(k, g.n), err, all_low[top], all_up[top], omega, variant):
             break
@@ -228,16 +259,54 @@ def top_k(edges: DataFrame, k: int, err: float = 0.01, delta: float = 0.1, **opt
 
 
 def fixed(edges: DataFrame, estimator: str, samples: int, seed: int = 0) -> DataFrame:
-    """(id, score): the share of pairs' paths through id, from samples draws of 'rk', 'abra' or 'bp'."""
+    """(id, score): the share of pairs' paths through id, from samples draws of 'rk', 'abra', 'bp' or 'multi'."""
     sampler = Sampler(edges, seed)
+    factor = _factor(sampler.g, estimator)
     counts = sampler.batch(KERNELS[estimator], 3, 0, samples)
-    factor = 1.0
-    if estimator == "rk":  # drawn among pairs without an edge
-        loops = int((np.repeat(np.arange(sampler.g.n), np.diff(sampler.g.out_at)) == sampler.g.out_to).sum())
-        factor = 1 - (sampler.g.m - loops) / (sampler.g.n * (sampler.g.n - 1))
     return edges.sparkSession.createDataFrame(pa.table([pa.array(sampler.g.ids), counts / samples * factor], names=["id", "score"]))
 
 
+def _factor(g: Csr, estimator: str) -> float:
+    """The share of ordered pairs that the estimator draws from; it has to be able to draw one."""
+    if g.n < 2:
+        raise ValueError("two vertices are needed at least")
+    if estimator != "rk":
+        return 1.0
+    loops = int((np.repeat(np.arange(g.n), np.diff(g.out_at)) == g.out_to).sum())
+    share = 1 - (g.m - loops) / (g.n * (g.n - 1))
+    if share <= 0:
+        raise ValueError("all pairs have an edge, so none can be drawn without one")
+    return share
+
+
+def timed(edges: DataFrame, estimator: str, seconds: float, seed: int = 0, first: int = 500, share: float = 0.75) -> tuple[DataFrame, int]:
+    """fixed() for as many samples as a time allows, and their number: batches of what share of the time left should do."""
+    sampler, done, counts = Sampler(edges, seed), 0, 0.0
+    factor, began, size = _factor(sampler.g, estimator), time.monotonic(), first
+    while True:
+        started = time.monotonic()
+        counts = counts + sampler.batch(KERNELS[estimator], 3, done, done + size)
+        done += size
+        now = time.monotonic()
+        left = seconds - (now - began)
+        if left <= 0:
+            return edges.sparkSession.createDataFrame(pa.table([pa.array(sampler.g.ids), counts / done * factor], names=["id", "score"])), done
+        size = max(1, int(size * share * left / max(now - started, 1e-3)))
+
+
+def oracle_allocation(edges: DataFrame, truth: DataFrame, k: int, err: float = 0.01, delta: float = 0.1, start_factor: float = 100, variant: str = "paper_bd", directed: bool = True) -> DataFrame:
+    """(id, share, low, up): how delta would be spread over the tracked vertices if the burn-in had found the exact
+    shares of truth(id, score), scores being shares of ordered pairs."""
+    g = collected(edges)
+    omega = bounds.worst_case_samples(diameter_bound(g, directed), err, delta)
+    tracked = truth.orderBy(F.col("score").desc(), "id").limit(bounds.tracking_size(g.n, g.m, k)).toArrow()
+    share = tracked.column(tracked.column_names.index("score")).to_numpy()
+    low, up = bounds.error_budgets(share, min(k, g.n), err, start_factor, variant)
+    d_low, d_up = bounds.calibrated_deltas(share, low, up, g.n, err, delta)
+    table = pa.table([tracked.column(tracked.column_names.index("id")), pa.array(share), pa.array(np.asarray(d_low, float)), pa.array(np.asarray(d_up, float)), pa.array(np.full(len(share), omega))], names=["id", "share", "low", "up", "omega"])
+    return edges.sparkSession.createDataFrame(table)
+
+
 def progressive(edges: DataFrame, err: float, delta: float = 0.1, trials: int = 25, growth: float = 1.2, seed: int = 0, first: int = 200, most: int = 1_000_000) -> tuple[DataFrame, int, float]:
     """Scores from pair sampling whose size grows until Monte-Carlo Rademacher averages bound the error by err.
 
@@ -246,6 +315,7 @@ def progressive(edges: DataFrame, err: float, delta: float = 0.1, trials: int =
     """
     sampler = Sampler(edges, seed)
     g = sampler.g
+    _factor(g, "abra")
     size, done = first, 0
     sums, squares, signed = np.zeros(g.n), np.zeros(g.n), np.zeros((trials, g.n))
     stages = max(1, int(np.ceil(np.log(most / first) / np.log(growth))))

@@ -195,6 +195,20 @@ query("un", _PAIRS + ", t as (select id from p order by truth desc, id limit 20)
 query("un", _PAIRS + ", k as (select greatest(1, floor(count(*) * 10 / 100)::int) as k from p), r as (select id, row_number() over (order by truth desc, id) as a, row_number() over (order by pred desc, id) as b from p) select any_value(k) as k, round(sum((a <= k and b <= k)::int) / any_value(k), 6) as share from r, k", "top_share")(lambda e: rounded(ranking.top_share(_paired(e), 10)))
 query("un", _PAIRS + ", r as (select truth, row_number() over (order by truth desc, id) as a, row_number() over (order by pred desc, id) as b from p) select round(sum(truth / log2(b + 1)) filter (b <= 20) / sum(truth / log2(a + 1)) filter (a <= 20), 6) as ndcg from r", "ndcg")(lambda e: rounded(ranking.ndcg(_paired(e), 20)))
 query("un", _PAIRS + ", e as (select abs(truth - pred) as e from p) select count(*) as n, count(*) filter (e > 2) as wrong, round(avg(e), 6) as mae, round(stddev_pop(e), 6) as std, round(avg(e * e), 6) as mse, min(e) as least, quantile_cont(e, 0.25) as q1, quantile_cont(e, 0.5) as median, quantile_cont(e, 0.75) as q3, max(e) as max_ae from e", "error_summary")(lambda e: rounded(ranking.errors(_paired(e), 2)))
+_TAU = "s as (select sum(sign(a.truth - b.truth) * sign(a.pred - b.pred)) as s, count(*) as n0, sum((a.truth = b.truth)::int) as n1, sum((a.pred = b.pred)::int) as n2 from {p} a join {p} b on a.id < b.id)"
+_BOTH = " select (select count(*) from q) as n, round(s / n0, 6) as tau_a, round(s / sqrt((n0 - n1)::double * (n0 - n2)), 6) as tau_b from s"
+query("un", _PAIRS + ", q as (select * from p order by truth desc, id limit 30), " + _TAU.format(p="q") + _BOTH, "kendall_top")(lambda e: rounded(ranking.kendall_top(_paired(e), 30)))
+query("lc", _PAIRS.replace("from un", "from lc").replace("union select dst from un", "union select dst from lc") + ", q as (select id, pred as truth, truth as pred from p where pred > 0), " + _TAU.format(p="q") + _BOTH, "kendall_positive")(
+    lambda e: rounded(ranking.kendall_positive(_paired(e).select("id", F.col("pred").alias("truth"), F.col("truth").alias("pred")))))
+query("un", _PAIRS + ", m as (select a.id, a.truth, coalesce(b.pred, 0) as pred from p a left join p b on a.id = b.id + 1), " + _TAU.format(p="p") + ", " + _TAU.format(p="m").replace("s as (", "z as (", 1) + """, t as (select s.s / sqrt((s.n0 - s.n1)::double * (s.n0 - s.n2)) as tau, z.s / sqrt((z.n0 - z.n1)::double * (z.n0 - z.n2)) as shifted from s, z)
+select round(tau, 6) as tau, round(shifted, 6) as shifted, tau > shifted + 0.1 as sound from t""", "offset_check")(
+    lambda e: rounded(ranking.offset_check(_paired(e).select("id", F.col("truth").alias("score")), _paired(e).select("id", F.col("pred").alias("score")))))
+query("un", _PAIRS + """, fit as (select sum(truth * pred) / sum(pred * pred) as f from (select * from p order by truth desc, id limit 1000)), k as (select 'raw' as kind, 1.0::double as scale union all select 'rescaled', 100 / 80.0 union all select 'fitted', f from fit),
+e as (select kind, scale, id, truth, abs(pred * scale - truth) as e from p, k), w as (select kind, any_value(scale) as scale, max(e) as max_ae, count(*) filter (e > 2) as over_eps, avg(e) as mae from e group by kind),
+t as (select kind, truth as top from e qualify row_number() over (partition by kind order by e desc, id) = 1)
+select kind, round(max_ae, 6) as max_ae, over_eps, (select count(*) from p where truth > top) + 1 as argmax_rank, round(mae, 6) as mae, round(scale, 6) as scale from w join t using (kind)""", "bias_check")(lambda e: rounded(ranking.bias_check(_paired(e), 2, 100, 20)))
+query("lc", " select id, side from (select src as id, 'truth' as side from lc where src not in (select dst from lc) union select dst, 'pred' from lc where dst not in (select src from lc))", "unmatched_keys")(
+    lambda e: ranking.unmatched(e.select(F.col("src").alias("id")).distinct(), e.select(F.col("dst").alias("id")).distinct()))
 query("un", _PAIRS + " select round(median(pred / truth), 6) as ratio from p where truth > 0", "median_scale")(lambda e: rounded(ranking.median_scale(_paired(e))))
 query("un", _PAIRS + ", t as (select * from p order by truth desc, id limit 1000) select round(sum(truth * pred) / sum(truth * truth), 6) as slope from t", "fitted_scale")(lambda e: rounded(ranking.fitted_scale(_paired(e))))
 query("un", _PAIRS + " select round(avg(greatest(0, 1 - sign(truth - pred) * (pred - truth))), 6) as loss from p", "margin_loss")(
@@ -278,5 +292,25 @@ runs(_M + " select graph, arm, seed, round(seconds, 4) as seconds, round(sum(sec
 runs(_M + " select graph, arm, seed, round(seconds, 4) as seconds, round(lag(seconds) over w, 4) as before, round(lead(seconds) over w, 4) as after from m window w as (partition by graph, arm order by seconds desc, seed)", "run_neighbours")(lambda r: runlog.with_neighbours(_mean(r), ["graph", "arm"], "seconds", "seed"))
 runs(" select graph, arm, seed, round(seconds, 4) as seconds, threads, id from runs qualify row_number() over (partition by graph, arm order by id desc) = 1", "run_last")(lambda r: runlog.last_seeds(r, ["graph", "arm"], "id"))
 
+_NAMED = ", x as (select graph || '_S' || seed || case when threads = 0 then '_filtered' else '' end as name, id as place, seconds, case when id % 7 = 0 then '-' else (id % 10)::varchar end as score from runs)"
+_named = lambda r: r.select(F.concat("graph", F.lit("_S"), "seed", F.when(F.col("threads") == 0, "_filtered").otherwise("")).alias("name"), F.col("id").alias("place"), F.col("seconds").cast("string").alias("seconds"), F.when(F.col("id") % 7 == 0, "-").otherwise((F.col("id") % 10).cast("string")).alias("score"))
+_SEEDS = _NAMED + ", g as (select regexp_replace(name, '_S\\d+', '') as base, min_by(name, place) as first, count(*) as n_seeds, avg(seconds) as seconds, avg(try_cast(score as double)) as score from x group by 1)"
+_SEEDED = " select regexp_replace(first, '_S\\d+', '_' || n_seeds || '_seeds') as name, n_seeds, round(seconds, 4) as seconds, round(score, 4) as score from g"
+runs(_SEEDS + _SEEDED, "run_seed_means")(lambda r: runlog.seed_means(_named(r), "name", ["seconds", "score"]))
+runs(_SEEDS + _SEEDED + " where first like '%\\_filtered' escape '\\'", "run_filtered")(lambda r: runlog.seed_means(runlog.split_filtered(_named(r), "name")[1], "name", ["seconds", "score"]))
+runs(" select graph, round(avg(seconds), 4) as seconds, round(2 * avg(threads), 4) as threads, min(seed) as seed from runs group by graph", "run_doubled_means")(lambda r: runlog.doubled_means(r, ["graph"], ["seconds"], ["threads"], ["seed"]))
+runs(" select graph, arm, round(1 - avg(threads), 4) as threads, round(avg(seconds), 4) as seconds from runs group by all", "run_complements")(lambda r: runlog.complements(r, ["graph", "arm"], "threads", "seconds"))
+runs(", i as (select graph, arm, min(seconds) as least, median(seconds) as median, max(seconds) as most from runs group by all) select graph, round(min(least), 4) as least, round(avg(median), 4) as median, round(max(most), 4) as most, count(*) as groups from i group by graph", "run_regrouped")(
+    lambda r: runlog.regrouped(r, ["graph", "arm"], ["graph"], "seconds"))
+runs(", m as (select graph, seed, avg(seconds) filter (arm = 'O') / avg(seconds) filter (arm = 'F') as ratio from runs group by all) select round(median(ratio), 4) as median_ratio, count(ratio) as n from m", "run_median_speed_up")(
+    lambda r: runlog.seed_speed_up(r, ["graph", "seed"], "seconds", "arm", "O", "F"))
+runs(", d as (select 'count' as summary, count(seconds)::double as seconds from runs union all select 'mean', avg(seconds) from runs union all select 'stddev', stddev_samp(seconds) from runs union all select 'min', min(seconds) from runs union all select 'max', max(seconds) from runs) select summary, round(seconds, 4) as seconds from d", "run_describe")(
+    lambda r: r.select("seconds").summary("count", "mean", "stddev", "min", "max").select("summary", F.col("seconds").cast("double").alias("seconds")))
+_STOPS = ", y as (select graph, seed % 3 as seed, case threads when 3 then 10 else 0 end as k, case arm when 'O' then 'code' when 'F' then 'paper' else 'cpp' end as variant, max(id) as samples from runs where id % 2 = 1 group by all)"
+runs(_STOPS + """, w as (select graph, seed, k, max(samples) filter (variant = 'code') as code, max(samples) filter (variant = 'paper') as paper, max(samples) filter (variant = 'cpp') as cpp from y group by all)
+select w.graph, w.k, round(avg(w.paper / w.code), 4) as paper_over_code, round(avg(w.cpp / w.code), 4) as cpp_over_code, round(avg(w.code / z.code), 4) as code_over_zero, round(avg(w.paper / z.code), 4) as paper_over_zero
+from w left join w z on z.graph = w.graph and z.seed = w.seed and z.k = 0 group by all""", "run_predicted")(
+    lambda r: runlog.predicted_summary(r.where("id % 2 = 1").groupBy("graph", (F.col("seed") % 3).alias("seed"), F.when(F.col("threads") == 3, 10).otherwise(0).alias("k"), F.when(F.col("arm") == "O", "code").when(F.col("arm") == "F", "paper").otherwise("cpp").alias("variant")).agg(F.max("id").alias("samples")), ["graph"], "seed"))
+
 QUERIES |= files.QUERIES
 ORACLE |= files.ORACLE

@@ -99,3 +99,60 @@ def with_neighbours(rows: DataFrame, by: list[str], value: str, id_: str) -> Dat
     """Each row's value between those ranked before and after it."""
     order = Window.partitionBy(*by).orderBy(F.col(value).desc(), id_)
     return rows.withColumn("before", F.lag(value).over(order)).withColumn("after", F.lead(value).over(order))
+
+
+def seed_means(rows: DataFrame, name: str, values: list[str]) -> DataFrame:
+    """One row for each name but for its _S<number>: means of what is a number, and the name, in which several seeds are
+    counted as _<n>_seeds. rows(place, name, *values), of which the first one's place names the group."""
+    base = F.regexp_replace(name, r"_S\d+", "")
+    number = {v: F.avg(F.col(v).try_cast("double")).alias(v) for v in values}
+    got = rows.withColumn("__base", base).groupBy("__base").agg(F.min_by(name, "place").alias("__first"), F.count("*").alias("n_seeds"), *number.values())
+    counted = F.regexp_replace("__first", r"^(.*?)_S\d+", F.concat(F.lit("$1_"), F.col("n_seeds").cast("string"), F.lit("_seeds")))
+    return got.select(F.when(F.col("n_seeds") > 1, counted).otherwise(F.col("__first")).alias(name), "n_seeds", *values)
+
+
+def split_filtered(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of plain and of filtered scores."""
+    return rows.where(~F.col(name).endswith("_filtered")), rows.where(F.col(name).endswith("_filtered"))
+
+
+def doubled_means(rows: DataFrame, by: list[str], mean: list[str], doubled: list[str], least: list[str]) -> DataFrame:
+    """Means of some columns, twice the mean of others (two-sided bounds), the minimum of those that do not vary."""
+    return rows.groupBy(*by).agg(*(F.avg(c).alias(c) for c in mean), *((2 * F.avg(c)).alias(c) for c in doubled), *(F.min(c).alias(c) for c in least))
+
+
+def complements(rows: DataFrame, by: list[str], complement: str, mean: str) -> DataFrame:
+    """One less the mean of a column, beside the mean of another."""
+    return rows.groupBy(*by).agg((1 - F.avg(complement)).alias(complement), F.avg(mean).alias(mean))
+
+
+def regrouped(rows: DataFrame, fine: list[str], coarse: list[str], value: str) -> DataFrame:
+    """Range and median in fine groups, then the outer range and the mean median in coarse ones."""
+    inner = spread(rows, fine, value)
+    return inner.groupBy(*coarse).agg(F.min("least").alias("least"), F.avg("median").alias("median"), F.max("most").alias("most"), F.count("*").alias("groups"))
+
+
+def seed_speed_up(runs: DataFrame, by: list[str], value: str, arm: str, slow: str, fast: str) -> DataFrame:
+    """The median over by of speed_up()'s ratios, and how many there are."""
+    return speed_up(runs, by, value, arm, slow, fast).agg(F.median("ratio").alias("median_ratio"), F.count("ratio").alias("n"))
+
+
+def predicted_stops(lines: DataFrame, variants: tuple[str, ...] = ("code", "paper", "cpp")) -> DataFrame:
+    """(log, k, variant, samples) of lines(log, line, value): the header '# k = N' holds for what follows it; samples is
+    null where a variant does not stop. A later line for the same key counts."""
+    kinds = "|".join(variants)
+    header, stop = r"^#+ k = (\d+)", rf"^\s+({kinds})\s+(?:(\d+) samples|does NOT stop)"
+    order = Window.partitionBy("log").orderBy("line")
+    marked = lines.withColumn("k", F.last(F.when(F.col("value").rlike(header), F.regexp_extract("value", header, 1).cast("int")), ignorenulls=True).over(order))
+    found = marked.where(F.col("value").rlike(stop) & F.col("k").isNotNull())
+    samples = F.regexp_extract("value", stop, 2).try_cast("long")
+    return found.groupBy("log", "k", F.regexp_extract("value", stop, 1).alias("variant")).agg(F.max_by(samples, "line").alias("samples"))
+
+
+def predicted_summary(stops: DataFrame, by: list[str], seed: str) -> DataFrame:
+    """By graph and k the mean ratios over seeds of paper and cpp to code, and of code and paper to code at k = 0."""
+    wide = stops.groupBy(*by, seed, "k").pivot("variant", ["code", "paper", "cpp"]).agg(F.first("samples"))
+    base = wide.where("k = 0").select(*by, seed, F.col("code").alias("zero"))
+    met = wide.join(base, [*by, seed], "left")
+    ratio = lambda a, b: F.avg(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")))
+    return met.groupBy(*by, "k").agg(ratio("paper", "code").alias("paper_over_code"), ratio("cpp", "code").alias("cpp_over_code"), ratio("code", "zero").alias("code_over_zero"), ratio("paper", "zero").alias("paper_over_zero"))
