@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from .common import durable
+from .common import durable, lean
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -125,6 +125,7 @@ def _unpack_words(data: bytes) -> list[bytes]:
 def blocks(docs: DataFrame, pattern: str = PATTERN) -> DataFrame:
     """A row for each block: its documents' ids, their lengths in words, all their words' numbers, and the word list."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -167,6 +168,7 @@ def asks(table: DataFrame, parts: int) -> DataFrame:
     """Each block's words dealt by their hash: (part, of, at, words); at are the steps between the
     words' numbers in the block."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -187,6 +189,7 @@ def asks(table: DataFrame, parts: int) -> DataFrame:
 def answers(asked: DataFrame, parts: int, path: str = RANKS) -> DataFrame:
     """(of, at, sizes, ids) for each row of asked; each distinct word of a part is encoded once."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, known, now = _word_encoder(path), {}, None
 
@@ -216,6 +219,7 @@ def _assembled(docs: DataFrame, emit, fields: list[tuple[str, str, pa.DataType]]
     names = ["doc_id", *(n for n, _, _ in fields)]
     kinds = [pa.int64(), *(k for _, _, k in fields)]
 
+    @lean
     def run(key, own: pa.Table, words: pa.Table) -> pa.Table:
         got = [(np.cumsum(_unpack(a.as_py())[0]), *_unpack(s.as_py()), *_unpack(i.as_py())) for a, s, i in zip(words.column("at"), words.column("sizes"), words.column("ids"))]
         none = [np.zeros(0, np.uint32)]
@@ -258,6 +262,7 @@ def encode(docs: DataFrame, pattern: str = PATTERN, path: str = RANKS) -> DataFr
 def decode(coded: DataFrame, path: str = RANKS) -> DataFrame:
     """doc_id and bytes of every row of coded(doc_id, ids); null ids give no bytes."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [decode_ids(np.array(x.as_py() or [], np.int64), path) for x in batch.column(1)]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_sign, unused
+from .common import lean, row_sign, unused
 
 #: Expected number of labelled training documents for each language, at most.
 TRAIN_DOCS_PER_LANG = 4000
@@ -112,6 +112,7 @@ def train(docs: DataFrame, per_lang: int = TRAIN_DOCS_PER_LANG) -> Model:
     number = {k: i for i, k in enumerate(langs)}
     width = BUCKETS + len(NAMES)
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(langs) * width, np.int64)
         for batch in batches:
@@ -221,6 +222,7 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:kept])
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [x for _, part in _chunks(batch.column(text).to_pylist()) for x in _label(part, sent.value)]

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _pack, _pack_words, _unpack, _unpack_words
-from .common import checkpointed, durable, row_sign
+from .common import checkpointed, durable, lean, row_sign
 from .substrings import _unzip, _zip
 
 VOCABULARY = 8192
@@ -75,6 +75,7 @@ def blocks(docs: DataFrame) -> DataFrame:
     """A row for each block: its documents' ids and signs, their lengths in words, all their words' numbers, the word list
     and how often the block has each word."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -111,6 +112,7 @@ def blocks(docs: DataFrame) -> DataFrame:
 def _asks(table: DataFrame, parts: int) -> DataFrame:
     """Each block's words dealt by their hash: (part, of, at, often, words), at being their numbers in the block."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, packed, often in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
@@ -132,6 +134,7 @@ def _answers(asked: DataFrame, parts: int, size: int) -> DataFrame:
     """Rows (of, at, totals) for each row of asked, and for each part a row (words, totals, ends): its size most frequent
     words and the sums of all its words' counts by shape."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
 
@@ -183,11 +186,13 @@ class Vocabulary:
 def _vocabulary(answered: DataFrame, size: int) -> Vocabulary:
     """size words and SHAPES sums reach the driver."""
 
+    @lean
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 yield pa.RecordBatch.from_arrays([pa.array(_unpack_words(w), pa.binary()), pa.array(_unzip(n, np.int64))], names=["word", "n"])
 
+    @lean
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SHAPES, np.int64)
         for batch in batches:
@@ -220,6 +225,7 @@ def read(docs: DataFrame, size: int | None = None) -> tuple[DataFrame, Vocabular
     sent = docs.sparkSession.sparkContext.broadcast(vocab)
     names = ["doc_id", "sign", "n_tokens", "own", "ids"]
 
+    @lean
     def run(key, own: pa.Table, found: pa.Table) -> pa.Table:
         vocab, out = sent.value, []
         at = [np.cumsum(_unpack(x)[0].view(np.int32), dtype=np.int64) for x in found.column("at").to_pylist()]
@@ -376,6 +382,7 @@ def train(coded: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Net:
     for number in range(rounds):
         sent = spark.sparkContext.broadcast((vocab.counts, net))
 
+        @lean
         def run(batches: Iterator[pa.RecordBatch], sent=sent, number=number) -> Iterator[pa.RecordBatch]:
             counts, begun = sent.value
             vocab, held, now = Vocabulary({}, counts), [], None
@@ -416,6 +423,7 @@ def train(coded: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Net:
 def _summed(rows: DataFrame, parts: int) -> DataFrame:
     """Sums by part, in the order of shards."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, now, seen, shard = None, None, 0, 0
         for batch in batches:
@@ -453,6 +461,7 @@ def score(coded: DataFrame, net: Net) -> DataFrame:
     """doc_id, n_tokens, sum_logp and mean_logp of every row of coded, which read() has made."""
     sent = coded.sparkSession.sparkContext.broadcast(net)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = sent.value
         end = len(net.dist) - 1

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, durable, row_sign, unused
+from .common import checkpointed, durable, lean, row_sign, unused
 from centra.operators.components import components
 
 SHINGLE = 4
@@ -54,6 +54,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, sign) of every row of docs(doc_id, text); fp holds the 64 bits, sign is a hash of doc_id and text."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.fromiter((fingerprint(x.as_py(), shingle) for x in batch.column(1)), np.uint64, batch.num_rows).view(np.int64)
@@ -150,6 +151,7 @@ def links_at(anchor: np.ndarray, fp: np.ndarray, at_home: np.ndarray, link: int
 def links(distinct: DataFrame, link: int = LINK, parts: int = PARTS) -> DataFrame:
     """(a, b) connecting all of distinct(fp) that differ in at most link bits, without listing dense groups' pairs."""
 
+    @lean
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy().view(np.uint64)
@@ -159,6 +161,7 @@ def links(distinct: DataFrame, link: int = LINK, parts: int = PARTS) -> DataFram
                 anchor = found[row, col]
                 yield pa.RecordBatch.from_arrays([pa.array(anchor | part << 32), pa.array(fps[row].view(np.int64)), pa.array(anchor == home[row])], names=["anchor", "fp", "home"])
 
+    @lean
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         for batch in batches:

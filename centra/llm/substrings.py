@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, lean
 from .suffix import permuted_common_prefixes, suffix_array
 
 WINDOW = 100
@@ -65,6 +65,7 @@ def blocks(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """(block, doc_ids, sizes, data, rest): documents in order, their lengths in bytes, their bytes, compressed, and the
     columns carry of theirs as an Arrow stream."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -182,6 +183,7 @@ def shared(table: DataFrame, parts: int) -> DataFrame:
     names = ["part", "block", "left", "right", "size", "h", "c", "doc"]
     kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, ids, sizes, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
@@ -213,6 +215,7 @@ def met(picked: DataFrame, parts: int, hot_contexts: int) -> DataFrame:
     names = ["block", "left", "right", "at", "size", "h", "n", "hot"]
     kinds = [pa.int64(), *[pa.binary()] * 5, pa.int64(), pa.int64()]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
         for batch in batches:
@@ -266,6 +269,7 @@ def contexts(table: DataFrame, asked: DataFrame, shards: int, hot_shards: int) -
     block, and rows (shard, block, left, right) of the others."""
     kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
 
+    @lean
     def run(key, own: pa.Table, wanted: pa.Table) -> pa.Table:
         rows = []
         left = np.concatenate([np.zeros(0, np.int64), *(_unzip(x, "<u4").astype(np.int64) for x in wanted.column("at").to_pylist())])
@@ -344,6 +348,7 @@ def repeated(text: list[bytes], doc: np.ndarray, block: np.ndarray, left: np.nda
 def sorted_shards(shipped: DataFrame) -> DataFrame:
     """(block, left, right) of the intervals that the shards find repeated, or that blocks have found."""
 
+    @lean
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         text, doc, left, block, sums, out = [], [], [], [], [], []
         for at, d, of, right, size, data in zip(*(rows.column(c).to_pylist() for c in SHIPPED[1:])):
@@ -381,6 +386,7 @@ def sorted_shards(shipped: DataFrame) -> DataFrame:
 def cut(table: DataFrame, cuts: DataFrame, emit, schema: str, names: list[str]) -> DataFrame:
     """Rows of emit(ids, texts, begins and ends of their removed runs, rest), columns for each block's documents."""
 
+    @lean
     def run(key, own: pa.Table, found: pa.Table) -> pa.Table:
         out = []
         for ids, sizes, packed, rest in zip(*(own.column(c).to_pylist() for c in ("doc_ids", "sizes", "data", "rest"))):
