@@ -236,6 +236,88 @@ def test_simhash_stage_tells_components_apart(spark):
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, rows[:5]))
 
 
+def brute_links(anchor, fps, link):
+    """Components of rows that share an anchor and link, as sets of row numbers."""
+    parent = list(range(len(fps)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(fps)), 2):
+        if anchor[i] == anchor[j] and sum(int(x ^ y).bit_count() for x, y in zip(fps[i], fps[j])) <= link:
+            parent[find(j)] = find(i)
+    return sorted(sorted(j for j in range(len(fps)) if find(j) == find(i)) for i in range(len(fps)) if find(i) == i)
+
+
+@pytest.mark.parametrize("small, at_once", [(1024, 1 << 19), (1024, 16), (6, 64)])
+def test_wide_fingerprints_meet_as_brute_force(monkeypatch, small, at_once):
+    monkeypatch.setattr(simhash, "SMALL", small)
+    monkeypatch.setattr(simhash, "AT_ONCE", at_once)
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, (12, simhash.LANES)).astype(np.uint64)
+    fps = base[rng.integers(0, 12, 160)]
+    for row in fps:
+        for bit in rng.integers(0, 256, rng.integers(0, 50)):
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    anchor = np.sort(rng.choice([1, 2, 2, 2, 5, 9], 160))
+    a, b = simhash.meet(anchor, fps, 44)
+    assert all(anchor[i] == anchor[j] and simhash._apart(fps[i], fps[j]) <= 44 for i, j in zip(a, b))
+    parent = {i: {i} for i in range(160)}
+    for i, j in zip(a.tolist(), b.tolist()):
+        if parent[i] is not parent[j]:
+            parent[i] |= parent[j]
+            for k in parent[j]:
+                parent[k] = parent[i]
+    assert sorted({id(x): sorted(x) for x in parent.values()}.values()) == brute_links(anchor, fps, 44)
+
+
+def test_wide_fingerprint_matches_definition():
+    text = "One two  three\tfour five six seven one two three four five six"
+    words = text.lower().split()
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 5]), 42) for i in range(len(words) - 4)]
+    got = simhash.sketch(text)
+    assert int(got[0]) == simhash.fingerprint(text, 5)
+    for lane in range(1, simhash.LANES):
+        mixed = []
+        for h in hashes:
+            z = (h + lane * 0x9E3779B97F4A7C15) % 2**64
+            z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+            z = (z ^ z >> 27) * 0x94D049BB133111EB % 2**64
+            mixed.append(z ^ z >> 31)
+        assert int(got[lane]) == sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in mixed) > len(mixed))
+    assert not simhash.sketch(None).any() and not simhash.sketch(" \n").any()
+
+
+def test_simhash_stage_finds_pairs_at_the_similarity(spark):
+    """Of pairs at 0.85 or more nearly all, below 0.5 none; unrelated documents stay."""
+    rng, rows, similar, apart = random.Random(6), [], {}, set()
+    for i in range(240):
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        other = list(words)
+        for _ in range(rng.choice([1, 3, 5, 60])):
+            other[rng.randrange(len(other))] = f"x{rng.randrange(10**6)}"
+        x, y = ({tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in (words, other))
+        jaccard = len(x & y) / len(x | y)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        if jaccard >= 0.85:
+            similar[2 * i + 1] = jaccard
+        elif jaccard < 0.5:
+            apart.add(2 * i + 1)
+    got = {r.doc_id for r in simhash.stage(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(5), "").collect()}
+    assert {d for d, _ in rows if d % 2 == 0} <= got and apart <= got
+    assert len(similar) > 100 and len(similar.keys() - got) >= 0.93 * len(similar)
+
+
+def test_layout_grows_with_rows():
+    for rows in (0, 1, 10**5, 10**8, 10**11):
+        parts = simhash.layout(rows)
+        assert all(len(set(p.tolist())) == len(p) and p.max() < 64 * simhash.LANES for p in parts)
+        assert [p.tolist() for p in parts] == [p.tolist() for p in simhash.layout(rows)]
+    assert len(simhash.layout(10**5)[0]) < len(simhash.layout(10**8)[0]) < len(simhash.layout(10**11)[0])
+
+
 def test_components(spark):
     edges = [(5, 4), (4, 3), (3, 2), (2, 1), (10, 11), (11, 10), (7, 7), (None, 3), *[(100, i) for i in range(101, 150)]]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
