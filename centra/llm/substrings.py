@@ -5,8 +5,8 @@
    its context, so each window belongs to one context, and equal windows belong to contexts of equal grams.
 2. Picks meet by gram (class), one for each block and context. A context that an earlier one equals is repeated
    throughout. A class whose contexts are all equal is thereby done.
-3. The other classes' contexts, each once, are dealt into shards by class. A shard's suffix array is made by induced
-   sorting; permuted common prefixes of WINDOW and more join equal windows, and all but the earliest are repeated.
+3. The other classes' contexts, each once, are dealt into shards by class. Suffix arrays of a shard's bins of classes are made by
+   induced sorting; permuted common prefixes of WINDOW and more join equal windows, and all but the earliest are repeated.
    Classes of more than HOT_CONTEXTS contexts, which one task might not hold, are compared window by window instead:
    a block sends the hash of 128 bits and the place of each window, the earliest of equal ones, and these are dealt
    by their hash, whatever the class.
@@ -42,6 +42,9 @@ SLICE = 1 << 19
 PART_PICKS = 600_000
 SHARD_BYTES = 1 << 20
 HOT_CONTEXTS = 1 << 14
+#: A shard's classes fall into so many bins; bins that begin within so many bytes are sorted together, so that a task
+#: holds the suffix array of some bins, not of a shard into which large classes happen to fall.
+BINS, PORTION_BYTES = 256, 1 << 19
 #: Windows of hot classes that one group gets, on average.
 HOT_WINDOWS = 500_000
 LAST = np.iinfo(np.int64).max
@@ -260,14 +263,14 @@ def met(picked: DataFrame, parts: int, hot_contexts: int) -> DataFrame:
     return picked.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, schema)
 
 
-SHIPPED = ["shard", "block", "doc", "left", "right", "size", "data"]
+SHIPPED = ["shard", "block", "doc", "left", "right", "size", "bin", "data"]
 
 
 def contexts(table: DataFrame, asked: DataFrame, shards: int, hot_shards: int) -> DataFrame:
-    """Rows (shard, block, doc, left, size, data) with the bytes of the contexts asked for; for hot classes, from shard
+    """Rows (shard, block, doc, left, size, bin, data) with the bytes of the contexts asked for; for hot classes, from shard
     number shards on, rows (shard, block, doc, left, data) with windows and their hashes, the first of equal ones in the
     block, and rows (shard, block, left, right) of the others."""
-    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
 
     @lean
     def run(key, own: pa.Table, wanted: pa.Table) -> pa.Table:
@@ -286,7 +289,8 @@ def contexts(table: DataFrame, asked: DataFrame, shards: int, hot_shards: int) -
             order = order[~hot[order]]
             for s, of in _dealt(shard, order, shards):
                 text = zstandard.ZstdCompressor(level=3).compress(b"".join(data[a : a + n] for a, n in zip(left[of].tolist(), size[of].tolist())))
-                rows.append((s, block, _zip(doc[of]), _zip(left[of]), None, size[of].astype(np.uint8).tobytes(), text))
+                bins = (h[of] >> np.uint64(48)) % np.uint64(BINS)
+                rows.append((s, block, _zip(doc[of]), _zip(left[of]), None, size[of].astype(np.uint8).tobytes(), bins.astype(np.uint8).tobytes(), text))
             if hot.any():
                 n = size[hot] - WINDOW + 1
                 at = np.repeat(left[hot] - np.cumsum(n) + n, n) + np.arange(n.sum())
@@ -295,14 +299,14 @@ def contexts(table: DataFrame, asked: DataFrame, shards: int, hot_shards: int) -
                 at, sums = at[order], sums[order]
                 first = np.append(True, (sums[1:] != sums[:-1]).any(1))
                 lo, hi = _merged(at[~first], at[~first] + WINDOW)
-                rows.append((block % shards, block, None, _zip(lo), _zip(hi), None, None))
+                rows.append((block % shards, block, None, _zip(lo), _zip(hi), None, None, None))
                 shard = sums[:, 0] % np.uint64(hot_shards)
                 order = np.flatnonzero(first)[np.argsort(shard[first], kind="stable")]
                 for s, of in _dealt(shard, order, hot_shards):
-                    rows.append((shards + s, block, _zip(keys[np.searchsorted(ends, at[of], "right")]), _zip(at[of]), None, None, sums[of].tobytes()))
+                    rows.append((shards + s, block, _zip(keys[np.searchsorted(ends, at[of], "right")]), _zip(at[of]), None, None, None, sums[of].tobytes()))
         return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=SHIPPED)
 
-    schema = "shard int, block long, doc binary, left binary, right binary, size binary, data binary"
+    schema = "shard int, block long, doc binary, left binary, right binary, size binary, bin binary, data binary"
     wanted = asked.where("n > 0 or hot > 0").select(F.col("block").alias("of"), "at", "size", "h", "hot")
     own = table.join(wanted.select(F.col("of").alias("block")).distinct(), "block", "left_semi").select("block", "doc_ids", "sizes", "data")
     return own.groupBy("block").cogroup(wanted.groupBy("of")).applyInArrow(run, schema)
@@ -315,34 +319,43 @@ def _dealt(shard: np.ndarray, order: np.ndarray, shards: int) -> Iterator[tuple[
         yield s, order[bounds[s] : bounds[s + 1]]
 
 
+def portions(size: np.ndarray, bins: np.ndarray) -> list[np.ndarray]:
+    """Contexts by whole bins, as many as begin within PORTION_BYTES; a bin alone may be larger."""
+    total = np.bincount(bins, size, BINS)
+    number = ((np.cumsum(total) - total) // PORTION_BYTES)[bins]
+    order = np.argsort(number, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(number[order])) + 1)
+
+
 def repeated(text: list[bytes], doc: np.ndarray, block: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of contexts in one shard: the context numbers and offsets of windows that also start earlier."""
-    size = np.array([len(x) for x in text])
+    """The context numbers and offsets of windows that also start earlier; no window is in two of the contexts."""
+    size = np.array([len(x) for x in text], np.int32)
     flat = np.frombuffer(b"\0".join(text) + b"\0", np.uint8)
-    ends = np.cumsum(size + 1)
-    begins = ends - size - 1
-    symbols = flat.astype(np.int64) + 1
-    symbols[ends - 1] = 0
+    begins = np.cumsum(size + 1, dtype=np.int32) - size - 1
+    symbols = flat.astype(np.int32)
+    symbols += 1
+    symbols[begins + size] = 0
     sa = suffix_array(symbols)
+    del symbols
     prefix = permuted_common_prefixes(flat, sa, WINDOW)
-    of = np.repeat(np.arange(len(text)), size + 1)
-    valid = np.arange(len(flat)) + WINDOW < ends[of]
+    of = np.repeat(np.arange(len(text), dtype=np.int32), size + 1)
+    offset = np.arange(len(flat), dtype=np.int32) - begins[of]
+    valid = offset + WINDOW <= size[of]
     place = sa[valid[sa]]
     # Equal windows stand next to each other; a void suffix never shares WINDOW symbols with one that is not.
-    was = np.append(-1, sa[:-1])[valid[sa]]
+    was = np.append(np.int32(-1), sa[:-1])[valid[sa]]
     joined = (prefix[place] >= WINDOW) & (was >= 0) & valid[was]
-    own = of[place]
-    start = left[own] + place - begins[own]
-    order = np.lexsort((start, block[own], doc[own]))
-    a, b = order[:-1], order[1:]
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.append(0, np.cumsum((start[a] != start[b]) | (block[own[a]] != block[own[b]]))) if len(order) else 0
+    own, offset = of[place], offset[place]
     group = np.flatnonzero(~joined)
     if not len(group):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # Windows of one context follow each other without any of another between them, so contexts are put in order.
+    turn = np.empty(len(text), np.int64)
+    turn[np.lexsort((left, block, doc))] = np.arange(len(text)) * (int(size.max()) + 1)
+    rank = turn[own] + offset
     least = np.minimum.reduceat(rank, group)
     later = rank > np.repeat(least, np.diff(np.append(group, len(rank))))
-    return own[later], (place - begins[own])[later]
+    return own[later].astype(np.int64), offset[later].astype(np.int64)
 
 
 def sorted_shards(shipped: DataFrame) -> DataFrame:
@@ -350,8 +363,8 @@ def sorted_shards(shipped: DataFrame) -> DataFrame:
 
     @lean
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        text, doc, left, block, sums, out = [], [], [], [], [], []
-        for at, d, of, right, size, data in zip(*(rows.column(c).to_pylist() for c in SHIPPED[1:])):
+        text, doc, left, block, bins, sums, out = [], [], [], [], [], [], []
+        for at, d, of, right, size, b, data in zip(*(rows.column(c).to_pylist() for c in SHIPPED[1:])):
             if d is None:
                 out.append((at, of, right))
                 continue
@@ -359,6 +372,7 @@ def sorted_shards(shipped: DataFrame) -> DataFrame:
             if size is None:
                 sums.append(np.frombuffer(data, np.uint64).reshape(-1, 2))
                 continue
+            bins.append(np.frombuffer(b, np.uint8))
             ends = np.cumsum(np.frombuffer(size, np.uint8), dtype=np.int64)
             raw = zstandard.ZstdDecompressor().decompress(data)
             text += [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
@@ -370,8 +384,11 @@ def sorted_shards(shipped: DataFrame) -> DataFrame:
                 later = order[1:][(sums[order[1:]] == sums[order[:-1]]).all(1)]
                 start, at = left[later], block[later]
             else:
-                own, offset = repeated(text, doc, block, left)
-                start, at = left[own] + offset, block[own]
+                found = []
+                for some in portions(np.array([len(x) for x in text]), np.concatenate(bins)):
+                    own, offset = repeated([text[i] for i in some.tolist()], doc[some], block[some], left[some])
+                    found.append((left[some[own]] + offset, block[some[own]]))
+                start, at = (np.concatenate([f[i] for f in found]) for i in range(2))
             order = np.argsort(at, kind="stable")
             start, at = start[order], at[order]
             for b in np.unique(at):

@@ -138,6 +138,17 @@ def test_substrings_match_brute_force(docs, hot):
     assert as_lists(substrings.digests(docs, hot).collect()) == brute_substrings([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_portions_are_whole_bins():
+    rng = np.random.default_rng(7)
+    size, bins = rng.integers(100, 169, 40_000), np.minimum(rng.integers(0, 400, 40_000), substrings.BINS - 1).astype(np.uint8)
+    found = substrings.portions(size, bins)
+    assert sorted(np.concatenate(found).tolist()) == list(range(len(size)))
+    of = [set(bins[f].tolist()) for f in found]
+    assert len(found) > 5 and sum(map(len, of)) == len(set(bins.tolist()))
+    assert all(size[f].sum() <= substrings.PORTION_BYTES + max(size[bins == b].sum() for b in o) for f, o in zip(found, of))
+    assert [f.tolist() for f in substrings.portions(size[:1], bins[:1])] == [[0]]
+
+
 def test_substrings_odd_cases(odd, empty):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     assert as_lists(substrings.digests(odd).collect()) == brute_substrings(rows)
