@@ -8,8 +8,9 @@ is copied to every anchor within 1 + LINK // PARTS of it, where it meets all fin
 An anchor yields its links, or where they are many a spanning forest of them; components join them.
 
 The pipeline's stage looks for a shingle similarity of 0.8, where 64 bits differ in some ten and covering that many would
-compare most pairs. Its fingerprints are wider and fall into many small parts, so that similar ones probably share an
-anchor of some part; they are compared there over all their bits.
+compare most pairs. Its fingerprints are wider and fall into parts, and in each part they are compared where they agree
+under one of a set of masks, chosen so that any two that differ in as few bits as link agree under some mask of some part
+(Pagh's covering). So no link is lost, whatever its bits; the price is that blocks of fingerprints are compared pairwise.
 
 Cases: a null text and one without words have fingerprint zero and link like any other. Equal texts share a fingerprint
 and are compared once. A component's id is its smallest doc_id; null doc_ids do not count, and a component of nothing
@@ -223,13 +224,11 @@ def op4_simhash(spark, sf_dir: str) -> DataFrame:
 #: Shingle sets with a Jaccard similarity of 0.8 have a cosine of 0.89 and differ in 15 % of the bits, 39 of 256 on
 #: average with a standard deviation of 6.
 STAGE_SHINGLE, LANES, STAGE_LINK = 5, 4, 44
-#: Share of bits that differ at the least similarity that the stage looks for.
-APART = 0.151
-#: Anchors' code bits; the logarithm of the rows up to which the code and four further bits deal them finely enough; how
-#: many parts of such a pair have the same anchor on average, so that 1 - exp(-3) = 95 % of those pairs meet.
-CODE, FINE, MEETINGS = 15, 21, 3.0
+#: Fingerprints are dealt into blocks, of which each two, and each with itself, are compared in tasks of their own: one block
+#: up to SPARSE rows, two up to twice BLOCK, then as many as hold BLOCK rows each. Few blocks' parts are dealt to several tasks.
+SPARSE, BLOCK, TASKS = 1 << 17, 1 << 20, 128
 #: Larger groups are walked; so many pairs are compared at a time.
-SMALL, AT_ONCE = 1024, 1 << 19
+SMALL, AT_ONCE = 1024, 1 << 17
 
 
 def sketch(text: str | None) -> np.ndarray:
@@ -275,30 +274,89 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def layout(rows: int) -> list[np.ndarray]:
-    """The parts into which fingerprints of so many rows fall: CODE bits covered by the Hamming code, then bits as they are.
+    """The parts into which the bits of so many fingerprints fall; each bit is in one.
 
-    Bits beyond the code grow with the logarithm of the rows, so that anchors hold about as many at any size; parts grow
-    as their chance of agreeing falls. A part's bits are drawn without repeats, by fixed seeds.
+    Fewer and wider parts need more masks but leave fewer to compare under each, which pays as rows grow.
     """
-    plain = max(4, (max(rows, 1) - 1).bit_length() + 4 - FINE)
-    same = 1 - APART
-    near = CODE * APART * same ** (CODE - 1) + CODE * (CODE - 1) / 2 * APART**2 * same ** (CODE - 2)
-    agree = (same**CODE + near / 8) * same**plain  # words that differ in one or two bits share a code word in one case of 8
-    rng = np.random.default_rng(SEED)
-    bits: list[np.ndarray] = []
-    while len(bits) < int(np.ceil(MEETINGS / agree)):
-        order, width = rng.permutation(64 * LANES), CODE + plain
-        bits.extend(order[i : i + width] for i in range(0, len(order) - width + 1, width))
-    return bits[: int(np.ceil(MEETINGS / agree))]
-
-
-def homes(fps: np.ndarray, parts: list[np.ndarray]) -> Iterator[np.ndarray]:
-    """Each part's anchors: with no bit to spare beyond the covering radius, the home is the only one in reach."""
-    bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little").T.astype(np.int64)
+    parts = next(n for n, most in ((9, 1 << 20), (8, 1 << 22), (7, 1 << 28), (6, np.inf)) if rows <= most)
+    return np.array_split(np.arange(64 * LANES), parts)
+
+
+def covers(parts: list[np.ndarray], link: int = STAGE_LINK) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each part and its masks: two fingerprints that differ in at most link bits agree under a mask of some part.
+
+    Shares of the parts sum to link + 1, so a part has fewer differing bits than its share d. Each of a part's bits has a
+    vector of d bits and each mask but zero another; a mask takes the bits whose vectors have an odd product with its own.
+    Fewer than d vectors are all orthogonal to some vector, whose mask then takes none of the bits that differ. That holds
+    for any vectors; they are chosen one by one so that few unrelated values agree.
+    """
+    out = []
     for number, places in enumerate(parts):
-        value = sum(bits[place] << i for i, place in enumerate(places))
-        s = _syndromes(value & (1 << CODE) - 1)
-        yield value ^ np.where(s > 0, 1 << np.maximum(s - 1, 0), 0) | number << 48
+        share = (link + 1) // len(parts) + (number < (link + 1) % len(parts))
+        vectors = np.arange(1, 1 << share)
+        odd = (np.bitwise_count(vectors[:, None] & vectors) & 1).astype(np.uint64)
+        masks, taken = np.zeros(len(vectors), np.uint64), np.zeros(len(vectors))
+        for place in range(len(places) if len(vectors) else 0):
+            best = (2.0 ** -(taken[:, None] + odd)).sum(0).argmin()
+            masks |= odd[:, best] << np.uint64(place)
+            taken += odd[:, best]
+        out.append((places, masks))
+    return out
+
+
+def _values(fps: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The bits at successive places, at most 64, as numbers."""
+    lane, skip = divmod(int(places[0]), 64)
+    value = fps[:, lane] >> np.uint64(skip)
+    if skip + len(places) > 64:
+        value |= fps[:, lane + 1] << np.uint64(64 - skip)
+    return value & np.uint64((1 << len(places)) - 1)
+
+
+def _dealt(value: np.ndarray, mask: np.uint64, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """value & mask sorted, and the rows in that order, equal ones as they come."""
+    spare = np.uint64(max(len(value) - 1, 1).bit_length())
+    if width + int(spare) > 64:
+        order = np.argsort(value & mask, kind="stable")
+        return (value & mask)[order], order
+    packed = np.sort((value & mask) << spare | np.arange(len(value), dtype=np.uint64))
+    return packed >> spare, (packed & (np.uint64(1) << spare) - np.uint64(1)).astype(np.int64)
+
+
+def _merged(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least row of each row's component, once rows a and b are joined."""
+    while True:
+        x, y = root[a], root[b]
+        left = x != y
+        if not left.any():
+            return root
+        a, b, x, y = a[left], b[left], x[left], y[left]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while ((up := root[root]) != root).any():
+            root = up
+
+
+def joined(fps: np.ndarray, first: int, cover: list[tuple[np.ndarray, np.ndarray]], link: int = STAGE_LINK) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) that connect all links between the first so many of fps and the others, if they agree under a mask of
+    cover; between all, if none are others. Groups that are connected already are not compared again.
+    """
+    root, a, b = np.arange(len(fps)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for places, masks in cover if len(fps) else ():
+        value = _values(fps, places)
+        for mask in masks:
+            anchor, order = _dealt(value, mask, len(places))
+            start = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+            roots = root[order]
+            apart = np.minimum.reduceat(roots, start) != np.maximum.reduceat(roots, start)
+            some = np.repeat(apart, np.diff(np.append(start, len(anchor))))
+            rows = order[some]
+            x, y = meet(anchor[some], fps[rows], link, rows < first if first < len(fps) else None)
+            x, y = rows[x], rows[y]
+            new = root[x] != root[y]
+            if new.any():
+                a.append(x[new]), b.append(y[new])
+                root = _merged(root, a[-1], b[-1])
+    return np.concatenate(a), np.concatenate(b)
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -319,8 +377,9 @@ def _forest(fps: np.ndarray, link: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(a), np.concatenate(b)
 
 
-def meet(anchor: np.ndarray, fps: np.ndarray, link: int = STAGE_LINK) -> tuple[np.ndarray, np.ndarray]:
-    """Places (a, b) that connect what links at each anchor, of rows sorted by anchor."""
+def meet(anchor: np.ndarray, fps: np.ndarray, link: int = STAGE_LINK, ours: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) that connect what links at each anchor, of rows sorted by anchor; given ours, rows that come first at
+    each anchor, only what links one of them to one of the others need be connected."""
     start = np.flatnonzero(np.diff(anchor, prepend=anchor[:1] - 1))
     size = np.diff(np.append(start, len(anchor)))
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
@@ -332,15 +391,23 @@ def meet(anchor: np.ndarray, fps: np.ndarray, link: int = STAGE_LINK) -> tuple[n
 
     walk(np.flatnonzero(size > SMALL))
     group = np.repeat(np.arange(len(start)), size)
-    after = np.repeat(start + size, size) - np.arange(len(anchor)) - 1  # rows of the same anchor behind each
-    groups = np.flatnonzero((size > 1) & (size <= SMALL))
-    total, cut = np.cumsum(size[groups] ** 2), 0
+    begin = np.arange(1, len(anchor) + 1)  # each row is compared with those of its anchor from here on
+    if ours is not None:
+        mine = np.add.reduceat(ours, start, dtype=np.int64) if len(start) else size
+        begin = np.where(ours, np.repeat(start + mine, size), np.repeat(start + size, size))
+    after = np.repeat(start + size, size) - begin
+    head = np.ascontiguousarray(fps[:, : LANES // 2].T)
+    listed = (size > 1) & (size <= SMALL)
+    groups, places = np.flatnonzero(listed), np.flatnonzero(listed[group])
+    total, ends, cut = np.cumsum(size[groups] ** 2), np.append(0, np.cumsum(size[groups])), 0
     while cut < len(groups):
         upto = max(cut + 1, int(np.searchsorted(total, (total[cut - 1] if cut else 0) + AT_ONCE, "right")))
-        rows = np.concatenate([np.arange(s, s + n) for s, n in zip(start[groups[cut:upto]], size[groups[cut:upto]])])
+        rows = places[ends[cut] : ends[upto]]
         n = after[rows]
         x = np.repeat(rows, n)
-        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+        y = np.repeat(begin[rows] - np.cumsum(n) + n, n) + np.arange(len(x))
+        near = sum(np.bitwise_count(lane[x] ^ lane[y]) for lane in head) <= link  # most are beyond that in half of the lanes
+        x, y = x[near], y[near]
         hit = _apart(fps[x], fps[y]) <= link
         x, y = x[hit], y[hit]
         found, links_in = np.unique(group[x], return_counts=True)
@@ -353,45 +420,46 @@ def meet(anchor: np.ndarray, fps: np.ndarray, link: int = STAGE_LINK) -> tuple[n
 
 
 def similar(distinct: DataFrame, rows: int, link: int = STAGE_LINK) -> DataFrame:
-    """(a, b) connecting those of distinct(fp binary) that meet at an anchor and differ in at most link bits."""
-    parts = layout(rows)
+    """(a, b) connecting all of distinct(fp binary), so many rows, that differ in at most link bits."""
+    cover = covers(layout(rows), link)
+    blocks = max(1, min(2, -(-rows // SPARSE)), -(-rows // BLOCK))
+    couples = blocks * (blocks + 1) // 2
+    slices = min(len(cover), -(-TASKS // couples))
 
     @lean
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = _unpacked(batch.column(0))
-            for anchor in homes(fps, parts) if len(fps) else ():
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), batch.column(0)], names=["anchor", "fp"])
-
-    def linked(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        if held:
-            fps = np.concatenate([f for _, f in held])
-            a, b = meet(np.concatenate([x for x, _ in held]), fps, link)
-            for i in range(0, len(a), 1 << 16):
-                yield pa.RecordBatch.from_arrays([_packed(fps[a[i : i + (1 << 16)]]), _packed(fps[b[i : i + (1 << 16)]])], names=["a", "b"])
+            block = (_mixed(_unpacked(batch.column(0))[:, 0], LANES) % np.uint64(blocks)).astype(np.int32)
+            for other in range(blocks) if len(block) else ():
+                low, high = np.minimum(block, other), np.maximum(block, other)
+                couple = high * (high + 1) // 2 + low
+                for part in range(slices):
+                    yield pa.RecordBatch.from_arrays([pa.array(couple * slices + part), pa.array(block == low), batch.column(0)], names=["task", "first", "fp"])
 
     @lean
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in batches:
-            if batch.num_rows:
-                anchor, fps = batch.column(0).to_numpy(), _unpacked(batch.column(1))
-                turn = int(np.searchsorted(anchor, anchor[-1]))  # the last anchor may go on in the next batch
-                if turn or (held and held[-1][0][-1] != anchor[0]):
-                    yield from linked([*held, (anchor[:turn], fps[:turn])])
-                    held = []
-                held.append((anchor[turn:], fps[turn:]))
-        yield from linked(held)
+            task, first, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), _unpacked(batch.column(2))
+            for one in np.unique(task):
+                held.setdefault(int(one), []).append((first[task == one], fps[task == one]))
+        while held:
+            task, own = held.popitem()
+            first = np.concatenate([f for f, _ in own])
+            fps = np.concatenate([x[f] for f, x in own] + [x[~f] for f, x in own])
+            a, b = joined(fps, int(first.sum()), cover[task % slices :: slices], link)
+            for i in range(0, len(a), 1 << 16):
+                yield pa.RecordBatch.from_arrays([_packed(fps[a[i : i + (1 << 16)]]), _packed(fps[b[i : i + (1 << 16)]])], names=["a", "b"])
 
-    met = distinct.select("fp").mapInArrow(spread, "anchor long, fp binary").repartition("anchor").sortWithinPartitions("anchor")
-    return met.mapInArrow(compare, "a binary, b binary")
+    dealt = distinct.select("fp").mapInArrow(spread, "task int, first boolean, fp binary")
+    return dealt.repartitionById(couples * slices, "task").mapInArrow(compare, "a binary, b binary")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the smallest doc_id; columns stay.
 
     Near-duplicates are told by fingerprints of 64 * LANES bits over shingles of STAGE_SHINGLE words that differ in at most
-    STAGE_LINK bits, an estimate of a Jaccard similarity of 0.8 or more; groups are the components of such links. Null
+    STAGE_LINK bits, an estimate of a Jaccard similarity of 0.8 or more; groups are the components of all such links. Null
     ids come last; of rows alike in doc_id and text one stays. Other cases are as above.
     """
     marked = durable(sketches(docs), "sketches")

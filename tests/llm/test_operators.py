@@ -284,6 +284,33 @@ def test_wide_fingerprints_meet_as_brute_force(monkeypatch, small, at_once):
     assert sorted({id(x): sorted(x) for x in parent.values()}.values()) == brute_links(anchor, fps, 44)
 
 
+@pytest.mark.parametrize("block", [1 << 20, 100])
+def test_wide_fingerprints_lose_no_link(spark, monkeypatch, block):
+    """Copies with 44 differing bits are linked, all of them, and copies with 45 are not."""
+    monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2, (200, 64 * simhash.LANES), np.uint8)
+    copies = base.repeat(2, axis=0)
+    for i, row in enumerate(copies):
+        row[rng.permutation(len(row))[: 44 + i % 2]] ^= 1
+    fps = [x.tobytes() for x in np.packbits(np.concatenate([base, copies]), axis=1, bitorder="little")]
+    table = spark.createDataFrame([(x,) for x in fps], "fp binary").repartition(3)
+    got = {frozenset((bytes(r.a), bytes(r.b))) for r in simhash.similar(table, len(fps)).collect()}
+    assert got == {frozenset((fps[i], fps[200 + 2 * i])) for i in range(200)}
+
+
+@pytest.mark.parametrize("rows", [0, 1 << 21, 1 << 25, 1 << 30])
+def test_masks_cover_the_hardest_differences(rows):
+    """One part has a bit less than its share differing and each other part its share: 44 in all, found under that part's masks."""
+    rng, cover = np.random.default_rng(8), simhash.covers(simhash.layout(rows), 44)
+    shares = [len(masks).bit_length() for _, masks in cover]
+    assert sum(shares) == 45 and sorted(np.concatenate([p for p, _ in cover]).tolist()) == list(range(64 * simhash.LANES))
+    for (places, masks), share in zip(cover, shares):
+        for _ in range(200):
+            differ = sum(1 << int(bit) for bit in rng.permutation(len(places))[: share - 1])
+            assert (masks & np.uint64(differ) == 0).any()
+
+
 def test_wide_fingerprint_matches_definition():
     text = "One two  three\tfour five six seven one two three four five six"
     words = text.lower().split()
