@@ -3,7 +3,10 @@
 Vectors are cut into pieces of PIECE numbers, each coded by one of 16 centres. Codes and centres minimise a loss in
 which the residual's part along the vector, which changes inner products most, weighs WEIGHT times as much as the rest.
 A scan adds up, for each query and code, table entries of a query's products with the centres; pairs of four-bit codes
-share a table of 256 entries. The best RERANK of each run of rows are measured exactly in double precision.
+share a table of 256 entries. The best RERANK of each run of rows are measured exactly in double precision. Every other
+row whose product could still be among the nearest is measured too: a product differs from its table sum by the query's
+length times the row's distance from its centres at most. So results are exact, whatever the codes are worth; where
+those bound little, more rows are measured.
 
 Centres are fitted on about SAMPLE rows; every row is indexed. Queries go out in blocks of about QUERY_BLOCK, and each
 block scans the whole index once; equal vectors are scanned once and stand for all their ids.
@@ -32,6 +35,11 @@ RUN_ROWS = 8192
 PIECE = 2
 NEAREST = 20
 RERANK = 80
+#: Rounding of the scan's single precision, as a share of the lengths that are multiplied; and of double precision.
+SLACK = 1e-5
+FINE = 1e-12
+#: Pairs of a query and a row that are measured at once.
+PAIRS = 1 << 16
 #: Inner products below this share of the norm matter less; it sets the weight of the parallel residual.
 THRESHOLD = 0.2
 ROUNDS = 12
@@ -107,8 +115,8 @@ def _exact(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _scan(queries: np.ndarray, code: np.ndarray, x: np.ndarray, book: Codebook, rerank: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and exact products of the rerank best rows of each query, in no order."""
+def _scan(queries: np.ndarray, code: np.ndarray, x: np.ndarray, book: Codebook, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers and exact products of the rerank best rows of each query, in no order, and all table sums."""
     parts = _cut(queries.astype(np.float32))
     tables = np.einsum("qmp,mcp->mqc", parts, book.centres)
     pairs = (tables[0::2, :, :, None] + tables[1::2, :, None, :]).reshape(book.pieces // 2, len(queries), 256)
@@ -118,7 +126,37 @@ def _scan(queries: np.ndarray, code: np.ndarray, x: np.ndarray, book: Codebook,
         about += np.take(pairs[m], joint[:, m], axis=1)
     k = min(rerank, len(code))
     best = np.argpartition(-about, k - 1, axis=1)[:, :k] if k < len(code) else np.broadcast_to(np.arange(k), about.shape)
-    return best, _exact(queries, x[best])
+    return best, _exact(queries, x[best]), about
+
+
+def _radius(code: np.ndarray, x: np.ndarray, book: Codebook) -> np.ndarray:
+    """How far each row is from its centres, and what rounding may add."""
+    parts = _cut(x.astype(np.float64))
+    near = np.stack([book.centres[m][code[:, m]] for m in range(book.pieces)], 1).astype(np.float64)
+    length = lambda v: np.sqrt((v**2).sum((1, 2)))
+    return length(parts - near) + SLACK * (length(parts) + length(near))
+
+
+def _missed(queries: np.ndarray, x: np.ndarray, about: np.ndarray, radius: np.ndarray, best: np.ndarray, least: np.ndarray, own: np.ndarray, nearest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Queries, rows and exact products of the pairs outside best that may reach least, which is what each query's last
+    place holds so far. Rows have to differ; own marks the pairs that are no candidates."""
+    q = queries.astype(np.float64)
+    length = np.sqrt((q**2).sum(1))
+    # Written so that what is no number stays open.
+    open_ = ~(about + length[:, None] * radius < least[:, None]) | ~np.isfinite(about)
+    np.put_along_axis(open_, best, False, 1)
+    rows = np.flatnonzero(open_.any(0))
+    if not len(rows):
+        return np.empty(0, np.intp), rows, np.empty(0)
+    far = x[rows].astype(np.float64)
+    score, open_ = q @ far.T, open_[:, rows]
+    slack = FINE * length[:, None] * np.sqrt((far**2).sum(1))
+    if len(rows) > nearest:
+        low = np.where(open_ & ~own[:, rows] & ~np.isnan(score), score - slack, -np.inf)
+        least = np.maximum(least, np.partition(low, len(rows) - nearest, axis=1)[:, len(rows) - nearest])
+    of, at = np.nonzero(open_ & ~(score + slack < least[:, None]))
+    value = [_exact(queries[of[a : a + PAIRS]], x[rows[at[a : a + PAIRS]]][:, None])[:, 0] for a in range(0, len(of), PAIRS)]
+    return of, rows[at], np.concatenate(value) if value else np.empty(0)
 
 
 def _merge(score: np.ndarray, ids: np.ndarray, nearest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,8 +167,9 @@ def _merge(score: np.ndarray, ids: np.ndarray, nearest: int) -> tuple[np.ndarray
     return np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
 
 
-def search_run(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, code: np.ndarray, x: np.ndarray, book: Codebook, nearest: int, rerank: int):
-    """Best scores and ids (queries x nearest) among the rows x; equal rows are scanned once."""
+def search_run(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, code: np.ndarray, x: np.ndarray, book: Codebook, nearest: int, rerank: int, least: np.ndarray | None = None):
+    """Best scores and ids (queries x nearest) among the rows x; equal rows are scanned once. Scores below a query's
+    least may be missing."""
     raw = np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel()
     _, first, of = np.unique(raw, return_index=True, return_inverse=True)
     order = np.lexsort((ids, of))
@@ -143,14 +182,35 @@ def search_run(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, code
         there = starts + k < stops
         table[there, k] = ids[order[starts[there] + k]]
     scores, found = np.full((len(queries), nearest), -np.inf), np.full((len(queries), nearest), -1, np.int64)
-    for a in range(0, len(queries), 256):
-        q = queries[a : a + 256]
-        best, exact = _scan(q, code[first], x[first], book, rerank)
-        owners = table[best].reshape(len(q), -1)
+    code, x = code[first], x[first]
+    radius = _radius(code, x, book)
+
+    def owned(q_ids: np.ndarray, rows: np.ndarray, exact: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and ids of all copies of rows (queries x r), a query's own id and missing copies marked by -inf."""
+        owners = table[rows].reshape(len(q_ids), -1)
         value = np.repeat(exact, copies, axis=1)
         value[(owners < 0) & (np.arange(owners.shape[1]) % copies > 0)[None]] = -np.inf
-        value[owners == query_ids[a : a + 256, None]] = -np.inf
-        s, i = _merge(value, owners, nearest)
+        value[owners == q_ids[:, None]] = -np.inf
+        return value, owners
+
+    for a in range(0, len(queries), 256):
+        q, q_ids = queries[a : a + 256], query_ids[a : a + 256]
+        best, exact, about = _scan(q, code, x, book, rerank)
+        s, i = _merge(*owned(q_ids, best, exact), nearest)
+        last = s[:, -1] if s.shape[1] == nearest else np.full(len(q), -np.inf)
+        last = last if least is None else np.maximum(last, least[a : a + 256])
+        own = (stops - starts == 1) & (table[:, 0] == q_ids[:, None])
+        of, rows, value = _missed(q, x, about, radius, best, last, own, nearest)
+        if len(of):
+            # Lines of equal width: of each query, the rows that were missed.
+            size = np.bincount(of, minlength=len(q))
+            at = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+            for c in range(0, int(size.max()), rerank):
+                own = (at >= c) & (at < c + rerank)
+                more, score = np.zeros((len(q), rerank), np.intp), np.full((len(q), rerank), -np.inf)
+                more[of[own], at[own] - c], score[of[own], at[own] - c] = rows[own], value[own]
+                v, o = owned(q_ids, more, score)
+                s, i = _merge(np.hstack([s, v]), np.hstack([i, o]), nearest)
         scores[a : a + 256, : s.shape[1]], found[a : a + 256, : s.shape[1]] = s, i
     return scores, found
 
@@ -203,7 +263,7 @@ def nearest_neighbours(vectors: DataFrame, asking, nearest: int = NEAREST, reran
             query_ids, q = sent.value
             best = None
             for ids, x, code in _runs(batches, q.shape[1]):
-                found = search_run(query_ids, q, ids, code, x, book, nearest, rerank)
+                found = search_run(query_ids, q, ids, code, x, book, nearest, rerank, None if best is None else best[0][:, -1])
                 best = found if best is None else _merge(np.hstack([best[0], found[0]]), np.hstack([best[1], found[1]]), nearest)
             if best is not None:
                 row, col = np.nonzero(best[0] > -np.inf)

@@ -622,6 +622,22 @@ def test_neighbours_odd_cases(spark):
     assert [(r.query_id, r.rank, r.vec_id) for r in neighbours.nearest_neighbours(one, F.col("vec_id") % 20 == 0).collect()] == [(20, 1, 3)]
 
 
+def test_neighbours_are_exact_where_codes_are_poor(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((3000, 16))
+    x[:, 0] *= 100  # one number decides the codes of its piece, and sixteen centres tell few of its values apart
+    x[1::7] = x[0::7][: len(x[1::7])]  # copies
+    ids = [*range(2990), *range(20, 120, 10)]  # and ids that several vectors share
+    table = spark.createDataFrame(list(zip(ids, x.tolist())), "vec_id long, embedding array<double>").repartition(3)
+    got = defaultdict(list)
+    for r in neighbours.nearest_neighbours(table, F.col("vec_id") % 500 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    for q in range(0, 2990, 500):
+        score = sum(x[q, d] * x[:, d] for d in range(16))
+        assert got[q] == sorted(((i, s) for i, s in zip(ids, score.tolist()) if i != q), key=lambda r: (-r[1], r[0]))[:20]
+    assert len(got) == 6
+
+
 # --- mixing
 
 
