@@ -56,6 +56,35 @@ def test_betweenness_two_ways_and_limit(spark):
         collected(edges, 1)
 
 
+def test_searches_of_a_broadcast_graph_equal_those_by_joins(spark):
+    rng = random.Random(5)
+    ring = [(i, (i + 1) % 90) for i in range(90)]
+    edges = table(spark, [*ring[:60], *((rng.randrange(90), rng.randrange(90)) for _ in range(150)), *((i, i + 1) for i in range(100, 110)), *((200, i) for i in range(201, 205)), *((i, 200) for i in range(201, 204))], directed=True)
+    ids = graph.vertices(edges).unionByName(spark.createDataFrame([(999,), (5,)], "id long"))
+    row = lambda df: sorted(tuple(r) for r in df.collect())
+    for most in (None, 2):
+        assert row(traverse.bfs(edges, ids, most)) == row(traverse.bfs(edges, ids, most, limit=0))
+    assert row(traverse.closeness(edges, ids)) == row(traverse.closeness(edges, ids, limit=0))
+    want = row(traverse.bfs(edges, ids, limit=0).groupBy("source").agg(F.max("dist")))
+    assert row(traverse.eccentricities(edges, ids)) == want == row(traverse.eccentricities(edges, ids, limit=0))
+
+
+def test_a_level_is_found_along_the_fewer_edges(monkeypatch):
+    rng = np.random.default_rng(2)
+    g, seen = csr(rng.integers(400, size=(6000, 2)).tolist(), True), []
+    plain = Csr.expand
+    monkeypatch.setattr(Csr, "expand", lambda self, at, to, border: seen.append(int((at[border + 1] - at[border]).sum())) or plain(self, at, to, border))
+    dist, sigma, _, _ = g.paths(0)
+    assert sum(seen) < g.m / 2  # each vertex's edges are not all looked at
+    want = [1.0 if v == 0 else 0.0 for v in range(g.n)]
+    for d in range(1, dist.max() + 1):
+        for v in np.flatnonzero(dist == d):
+            own = g.in_to[g.in_at[v] : g.in_at[v + 1]]
+            assert dist[own].min() == d - 1
+            want[v] = sum(want[u] for u in own if dist[u] == d - 1)
+    assert sigma.tolist() == want
+
+
 def test_sampled_paths_are_uniform():
     g = csr([(0, 1), (0, 2), (1, 3), (2, 3), (3, 4), (0, 5), (5, 6), (6, 3), (2, 7), (7, 4)])
     # Shortest paths 0 -> 4: over 1-3, 2-3 and 2-7.
