@@ -85,6 +85,25 @@ def test_a_level_is_found_along_the_fewer_edges(monkeypatch):
     assert sigma.tolist() == want
 
 
+def test_nearest_by_cosine_is_that_of_sql(spark):
+    import duckdb
+    import pyarrow as pa
+
+    from centra.plans.queries import ORACLE
+
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((60, 5)).tolist()
+    x += [[v * k for v in x[0]] for k in (1, 2, 3, 7, 0.1)] + [x[1]] * 6 + [[0.0] * 5] * 2 + [None] * 2  # ties, multiples, no direction
+    embeddings = pa.table({"vec_id": pa.array(rng.permutation(len(x))), "embedding": pa.array(x, pa.list_(pa.float64()))})
+    con = duckdb.connect()
+    con.register("embeddings", embeddings)
+    want = sorted(con.execute(ORACLE["embedding_neighbours"]).fetchall())
+    rows = spark.createDataFrame(embeddings).toDF("id", "x").repartition(3)
+    for block in (1000, 20):
+        assert sorted(tuple(r) for r in generators.nearest_by_cosine(rows, 3, block).collect()) == want
+    assert generators.nearest_by_cosine(rows.limit(0), 3).count() == 0
+
+
 def test_sampled_paths_are_uniform():
     g = csr([(0, 1), (0, 2), (1, 3), (2, 3), (3, 4), (0, 5), (5, 6), (6, 3), (2, 7), (7, 4)])
     # Shortest paths 0 -> 4: over 1-3, 2-3 and 2-7.
