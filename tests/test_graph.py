@@ -104,6 +104,19 @@ def test_nearest_by_cosine_is_that_of_sql(spark):
     assert generators.nearest_by_cosine(rows.limit(0), 3).count() == 0
 
 
+def test_betweenness_by_joins_walks_a_broadcast_graph_from_many_sources(spark, monkeypatch):
+    from centra.operators import betweenness as module
+
+    rng = random.Random(6)
+    edges = table(spark, [(rng.randrange(40), rng.randrange(40)) for _ in range(90)], directed=True).where("src != dst")
+    some = graph.vertices(edges).where("id % 2 = 0").unionByName(spark.createDataFrame([(999,)], "id long"))
+    monkeypatch.setattr(module, "SOURCES", 16)
+    want = {r.id: r.score for r in betweenness_by_joins(edges, some, limit=0).collect()}
+    monkeypatch.setattr(module, "dependencies", None)  # no round of joins
+    got = {r.id: r.score for r in betweenness_by_joins(edges, some).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want) and max(want.values()) > 0
+
+
 def test_sampled_paths_are_uniform():
     g = csr([(0, 1), (0, 2), (1, 3), (2, 3), (3, 4), (0, 5), (5, 6), (6, 3), (2, 7), (7, 4)])
     # Shortest paths 0 -> 4: over 1-3, 2-3 and 2-7.
