@@ -88,3 +88,19 @@ def test_improvement(spark):
     assert runlog.improvement(means, "name", "me").first().percent == 50
     assert runlog.grid(spark.createDataFrame([(1, 2, 4.0), (1, 2, 6.0)], "l int, w int, v double"), "l", "w", [2], "v").first()["2"] == 5
     assert runlog.medians(means, ["name"], ["mean"]).where(F.col("name") == "a").first()["mean"] == 2
+
+
+def test_edges_of_order_lines_in_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    from centra.sources import tables
+
+    lines = [(i % 7, i % 3 if i % 5 else None, None if i % 11 == 0 else i % 4) for i in range(60)] + [(1, None, None)] * 2
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(6)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    twice = lambda p: sorted(map(repr, p | {(b, a) for a, b in p}))
+    times = lambda x, k: None if x is None else 2 * x + k
+    sp = {(times(s, 0), times(p, 1)) for _, p, s in lines}
+    cs = {(2 * (o % 2), times(s, 1)) for o, _, s in lines if o < 6}
+    monkeypatch.setattr(tables, "ROWS", 5)
+    for got, want, parts in ((tables.supplier_part(spark, str(tmp_path)), sp, 13), (tables.customer_supplier(spark, str(tmp_path)), cs, 13)):
+        assert sorted(repr(tuple(r)) for r in got.collect()) == twice(want)
+        assert got.rdd.getNumPartitions() == parts  # as many as the rows need
