@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from centra.functions.storage import checkpointed
+from centra.functions.storage import checkpointed, spread
 
 from .graph import transpose, uniform, vertices
 
@@ -16,9 +16,10 @@ from .graph import transpose, uniform, vertices
 EVERY = 4
 
 
-def spmv(edges: DataFrame, x: DataFrame, how=F.sum) -> DataFrame:
-    """(id, value): for each row vertex, how over the values of its neighbours; x(id, value)."""
-    met = edges.join(x.select(F.col("id").alias("dst"), "value"), "dst")
+def spmv(edges: DataFrame, x: DataFrame, how=F.sum, rows: int = 0) -> DataFrame:
+    """(id, value): for each row vertex, how over the values of its neighbours; x(id, value). rows, if known, is how many
+    edges there are, and bounds what a task joins."""
+    met = spread(edges, rows, "dst").join(x.select(F.col("id").alias("dst"), "value"), "dst")
     return met.groupBy("src").agg(how("value").alias("value")).withColumnRenamed("src", "id")
 
 
@@ -38,9 +39,9 @@ def degree_centrality(edges: DataFrame) -> DataFrame:
 def hops(edges: DataFrame, seed: DataFrame, m: int, how=F.sum) -> DataFrame:
     """(id, d1 .. dm): seed(id, value) multiplied by the adjacency m times, 0 where nothing arrives."""
     edges = checkpointed(edges.select("src", "dst"))
-    out, x = seed.select("id"), seed
+    out, x, rows = seed.select("id"), seed, edges.count()
     for k in range(1, m + 1):
-        x = spmv(edges, x, how)
+        x = spmv(edges, x, how, rows)
         if k % EVERY == 0:
             x = checkpointed(x)
         out = out.join(x.withColumnRenamed("value", f"d{k}"), "id", "left").fillna(0, [f"d{k}"])
@@ -111,9 +112,9 @@ def eigenvector(edges: DataFrame, iterations: int = 5) -> DataFrame:
     """(id, value) after power iterations from ones, each scaled to length 1."""
     edges = checkpointed(edges.select("src", "dst"))
     ids = checkpointed(vertices(edges))
-    x = ids.withColumn("value", F.lit(1.0))
+    x, rows = ids.withColumn("value", F.lit(1.0)), edges.count()
     for _ in range(iterations):
-        x = checkpointed(ids.join(spmv(edges, x), "id", "left").fillna(0.0, ["value"]))
+        x = checkpointed(ids.join(spmv(edges, x, rows=rows), "id", "left").fillna(0.0, ["value"]))
         norm = math.sqrt(x.agg(F.sum(F.col("value") ** 2)).first()[0] or 0.0)
         x = x.withColumn("value", F.col("value") / F.lit(norm or 1.0))
     return x
@@ -134,8 +135,10 @@ def eigenvector_mass(edges: DataFrame, m: int = 3, iterations: int = 5, running:
 
 def leverage(edges: DataFrame) -> DataFrame:
     """(id, value): 2 * sum over the row of 1 / (deg_r + deg_c), less 1."""
-    d = degrees(edges).select("id", "deg")
-    met = edges.join(d.select(F.col("id").alias("src"), F.col("deg").alias("a")), "src").join(d.select(F.col("id").alias("dst"), F.col("deg").alias("b")), "dst")
+    edges = checkpointed(edges.select("src", "dst"))
+    d, rows = checkpointed(degrees(edges).select("id", "deg")), edges.count()
+    met = spread(edges, rows, "dst").join(d.select(F.col("id").alias("dst"), F.col("deg").alias("b")), "dst")
+    met = spread(met, rows, "src").join(d.select(F.col("id").alias("src"), F.col("deg").alias("a")), "src")
     got = met.groupBy(F.col("src").alias("id")).agg(F.sum(1.0 / (F.col("a") + F.col("b"))).alias("s"))
     return d.join(got, "id", "left").select("id", (2 * F.coalesce("s", F.lit(0.0)) - 1).alias("value"))
 

@@ -117,6 +117,23 @@ def test_betweenness_by_joins_walks_a_broadcast_graph_from_many_sources(spark, m
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want) and max(want.values()) > 0
 
 
+def test_products_of_large_tables_join_parts_of_bounded_size(spark, monkeypatch):
+    from centra.functions import storage
+
+    e = table(spark, [(i, j) for i in range(12) for j in range(i) if (i + j) % 3])
+    row = lambda df: sorted(tuple(round(x, 9) for x in r) for r in df.collect())
+    want = [row(f(e)) for f in (algebra.leverage, algebra.degree_masses, algebra.eigenvector)]
+    monkeypatch.setattr(storage, "ROWS", 5)
+    assert want == [row(f(e)) for f in (algebra.leverage, algebra.degree_masses, algebra.eigenvector)]
+    assert storage.spread(e, e.count(), "dst").rdd.getNumPartitions() == -(-e.count() // 5)
+
+
+def test_line_graph_pairs_stream(spark):
+    pairs, _ = graph.line_graph(table(spark, STAR + PATH))
+    assert pairs.count() == pairs.distinct().count()
+    assert "Aggregate" not in pairs._jdf.queryExecution().optimizedPlan().toString()  # nothing holds the pairs
+
+
 def test_sampled_paths_are_uniform():
     g = csr([(0, 1), (0, 2), (1, 3), (2, 3), (3, 4), (0, 5), (5, 6), (6, 3), (2, 7), (7, 4)])
     # Shortest paths 0 -> 4: over 1-3, 2-3 and 2-7.
