@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from centra.functions.numbering import numbered
-from centra.operators.graph import distinct_edges, one_based, relabel_first_seen, symmetrise
+from centra.functions.storage import dealt
+from centra.operators.graph import one_based, relabel_first_seen, symmetrise
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -34,8 +35,12 @@ def read_edges(spark: SparkSession, path: str, directed: bool = True, shift: boo
     two integers are skipped, undirected edges stand in both directions, and with shift ids start at 1 if they start at 0."""
     part = F.split("value", separator)
     id_ = lambda i: F.try_element_at(part, F.lit(i)).try_cast("long")
-    edges = distinct_edges(_lines(spark, path).where(~_comment()).select(id_(1).alias("src"), id_(2).alias("dst")))
-    edges = edges if directed else symmetrise(edges)
+    lines = _lines(spark, path)
+    edges = lines.where(~_comment()).select(id_(1).alias("src"), id_(2).alias("dst")).where("src is not null and dst is not null")
+    if not directed:
+        ends = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        edges = edges.select(F.explode(ends).alias("e")).select("e.src", "e.dst")
+    edges = dealt(edges, lines.count() * (1 if directed else 2), "src", "dst").distinct()
     return one_based(edges) if shift else edges
 
 
@@ -128,12 +133,20 @@ def read_runs(spark: SparkSession, path: str, kind: str | None = None, lines: bo
     return runs.where(F.col("file").rlike(pattern)).withColumns(named)
 
 
+#: Lines of a log that a task orders at once.
+LINES = 1 << 17
+
+
 def parse_log(lines: DataFrame, result: str, columns: list[str], header: str = r"seed\s*:\s*(\d+)", carried: str = "seed") -> DataFrame:
     """Rows of lines(log, line, value) that match result, with the last header seen before them in their log, the first
-    of equal ones kept. Logs are windows of their own, and no log outgrows a task."""
-    order = Window.partitionBy("log").orderBy("line")
-    marked = lines.withColumn("__h", F.when(F.col("value").rlike(header), F.regexp_extract("value", header, 1)))
-    held = marked.withColumn(carried, F.last("__h", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    of equal ones kept. Runs of LINES lines are windows of their own, before which the last header of earlier runs holds."""
+    marked = lines.withColumns({"__h": F.when(F.col("value").rlike(header), F.regexp_extract("value", header, 1)), "__run": F.floor(F.col("line") / LINES)})
+    upto = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    runs = marked.groupBy("log", "__run").agg(F.max_by("__h", F.when(F.col("__h").isNotNull(), F.col("line"))).alias("__last"))
+    runs = runs.withColumn("__before", F.last("__last", ignorenulls=True).over(upto("log").orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)))
+    runs = runs.select(F.col("log").alias("__log"), F.col("__run").alias("__of"), "__before")
+    own = marked.withColumn("__own", F.last("__h", ignorenulls=True).over(upto("log", "__run").orderBy("line")))
+    held = own.join(runs, F.col("log").eqNullSafe(F.col("__log")) & (F.col("__run") == F.col("__of"))).withColumn(carried, F.coalesce("__own", "__before"))
     found = held.where(F.col("value").rlike(result)).select("log", "line", carried, *(F.regexp_extract("value", result, i + 1).alias(c) for i, c in enumerate(columns)))
     firsts = found.groupBy("log", carried, *columns[:-1]).agg(F.min_by(columns[-1], "line").alias(columns[-1]), F.min("line").alias("line"))
     return firsts.select("log", "line", carried, *columns)

@@ -91,6 +91,7 @@ def test_improvement(spark):
 
 
 def test_edges_of_order_lines_in_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    from centra.functions import storage
     from centra.sources import tables
 
     lines = [(i % 7, i % 3 if i % 5 else None, None if i % 11 == 0 else i % 4) for i in range(60)] + [(1, None, None)] * 2
@@ -100,7 +101,31 @@ def test_edges_of_order_lines_in_tasks_of_bounded_size(spark, tmp_path, monkeypa
     times = lambda x, k: None if x is None else 2 * x + k
     sp = {(times(s, 0), times(p, 1)) for _, p, s in lines}
     cs = {(2 * (o % 2), times(s, 1)) for o, _, s in lines if o < 6}
-    monkeypatch.setattr(tables, "ROWS", 5)
+    monkeypatch.setattr(storage, "ROWS", 5)
     for got, want, parts in ((tables.supplier_part(spark, str(tmp_path)), sp, 13), (tables.customer_supplier(spark, str(tmp_path)), cs, 13)):
         assert sorted(repr(tuple(r)) for r in got.collect()) == twice(want)
         assert got.rdd.getNumPartitions() == parts  # as many as the rows need
+
+
+def test_headers_hold_across_runs_of_lines(spark, monkeypatch):
+    said = ["graph a tau 1", "seed : 4", "graph a tau 2", "x", "y", "z", "graph b tau 3", "graph a tau 9", "seed : 5", "seed : 6", "graph a tau 7"]
+    rows = [(log, i, v) for log in ("one", None) for i, v in enumerate(said)]
+    want = [(log, *r) for log in ("one", None) for r in ((None, "a", "1"), ("4", "a", "2"), ("4", "b", "3"), ("6", "a", "7"))]
+    lines = spark.createDataFrame(rows, "log string, line long, value string").repartition(3)
+    monkeypatch.setattr(text, "LINES", 3)
+    got = text.parse_log(lines, r"graph (\w+) tau ([.\d]+)", ["graph", "tau"])
+    assert sorted(repr((r.log, r.seed, r.graph, r.tau)) for r in got.collect()) == sorted(map(repr, want))
+    # Only runs, of which there are few, are ordered within a whole log.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert [line for line in plan.splitlines() if "Window [" in line and "__run" not in line.split("], [")[1]] == [line for line in plan.splitlines() if "AS __before" in line and "Window [" in line]
+
+
+def test_edge_lists_are_dealt_by_their_size(spark, tmp_path, monkeypatch):
+    from centra.functions import storage
+
+    spark.createDataFrame([(f"{i % 9},{i % 5}",) for i in range(40)] + [("3,1",), ("# 1,2",)], "value string").write.text(f"{tmp_path}/e")
+    monkeypatch.setattr(storage, "ROWS", 10)
+    got = text.read_edges(spark, f"{tmp_path}/e", directed=False)
+    pairs = {(i % 9, i % 5) for i in range(40)}
+    assert sorted((r.src, r.dst) for r in got.collect()) == sorted(pairs | {(b, a) for a, b in pairs})
+    assert got.rdd.getNumPartitions() == 9
